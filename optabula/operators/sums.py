@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import kernels
+from ..cluster import cut_lineage
 from ..functions.vectors import NARROW_WIDTH
 
 PARTIAL = "partial array<double>"
@@ -58,13 +59,24 @@ def sum_vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     return sum_partials(partials).withColumnRenamed("partial", column)
 
 
-def collect_sum(df: DataFrame, column: str, width: int) -> np.ndarray:
-    """The same sum on the driver; wide vectors arrive as one row per coordinate."""
-    if width <= NARROW_WIDTH:
-        found = sum_vectors(df, column, width).first()[0]
-        return np.array([0.0 if v is None else v for v in found])
-    partials = df.select(column).mapInArrow(kernels.array_partials(width), PARTIAL)
-    return collect_positions(sum_by_position(partials, "partial"), width)
+def cut_and_sum(df: DataFrame, packed: str, width: int) -> tuple[DataFrame, np.ndarray]:
+    """Checkpoints ``df`` and sums the vector expression ``packed`` over its rows.
+
+    Narrow vectors are summed by the job that writes the checkpoint: the writing tasks are
+    result tasks, whose metrics Spark counts once each, also when tasks are retried. Wide
+    vectors are summed by a second job over the written rows.
+    """
+    if width > NARROW_WIDTH:
+        kept = cut_lineage(df)
+        partials = kept.selectExpr(f"{packed} AS packed").mapInArrow(
+            kernels.array_partials(width), PARTIAL)
+        return kept, collect_positions(sum_by_position(partials, "partial"), width)
+    seen = Observation()
+    observed = df.selectExpr("*", f"{packed} AS packed").observe(
+        seen, *[F.expr(f"sum(packed[{i}]) AS s{i}") for i in range(width)])
+    kept = cut_lineage(observed).drop("packed")
+    found = seen.get
+    return kept, np.array([found[f"s{i}"] or 0.0 for i in range(width)])
 
 
 def collect_positions(sums: DataFrame, width: int) -> np.ndarray:

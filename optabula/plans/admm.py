@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
-from ..cluster import check_shipped, cut_lineage
+from ..cluster import check_shipped
 from ..functions.vectors import at, array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
-from ..operators.sums import collect_sum
+from ..operators.sums import cut_and_sum
 from .passes import infer_width
 from .penalties import Penalty, Prox, prox_function
 from .trace import Fit, Trace
@@ -106,17 +106,16 @@ def admm_relax(state: DataFrame, z: Sequence[float], alpha: float) -> DataFrame:
     return state.withColumn("xhat", F.expr(mixed))
 
 
-def admm_packed(state: DataFrame, z: Sequence[float]) -> DataFrame:
-    """``sums`` vectors per block: [u, xhat, x - z, |x - z|^2, r2, 1, steps].
+def admm_packed(z: Sequence[float]) -> str:
+    """SQL vector per block: [u, xhat, x - z, |x - z|^2, r2, 1, steps].
 
-    Their sum over blocks is all a consensus step needs. Differences to the previous z are
+    Its sum over blocks is all a consensus step needs. Differences to the previous z are
     summed instead of x itself, so the residual at the new z follows without cancellation.
     """
-    gaps = state.selectExpr(
-        "u", "xhat", "r2", "steps", f"zip_with(x, {array_sql(z)}, (a, b) -> a - b) AS gap")
-    return gaps.selectExpr(
-        "concat(u, xhat, gap, array(aggregate(gap, 0D, (s, v) -> s + v * v), "
-        "coalesce(r2, 0D), 1D, CAST(steps AS DOUBLE))) AS sums")
+    gap = f"zip_with(x, {array_sql(z)}, (a, b) -> a - b)"
+    return (
+        f"concat(u, xhat, {gap}, array(aggregate({gap}, 0D, (s, v) -> s + v * v), "
+        "coalesce(r2, 0D), 1D, CAST(steps AS DOUBLE)))")
 
 
 def admm_consensus(state: DataFrame, width: int, key: str | None = None) -> DataFrame:
@@ -207,8 +206,8 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
     for k in range(1, max_iter + 1):
         prepared = admm_rescale(admm_dual_update(state, z), state_rho, rho, rescale_eps)
         solved = admm_local_solve(blocks, prepared, z, rho, tol, solution, memory)
-        state, state_rho = cut_lineage(admm_relax(solved, z, alpha)), rho
-        sums = collect_sum(admm_packed(state, z), "sums", 3 * d + 4)
+        state, sums = cut_and_sum(admm_relax(solved, z, alpha), admm_packed(z), 3 * d + 4)
+        state_rho = rho
         u, x, gap = sums[:d] / n_blocks, sums[d:2 * d] / n_blocks, sums[2 * d:3 * d]
         gap2, lagged2, seen, steps = sums[3 * d:]
         if int(seen) != n_blocks:
@@ -269,11 +268,15 @@ def admm_logistic_rows(rows: DataFrame, height: int = 4096, features: str = "fea
 def admm_least_squares(grams: DataFrame, partitions: int | None = None,
                        run_id: str = "admm_least_squares", rescale_eps: float = 1e-2,
                        **options) -> Fit:
-    """Least squares over a per-block gram table; iterations never read raw rows."""
+    """Least squares over a per-block gram table; iterations never read raw rows.
+
+    ``rho`` defaults to the rows per block, the curvature of standardized features.
+    """
     trace = Trace(run_id, "admm_least_squares")
     held = co_partition(grams, partitions)
     try:
         n_blocks, n_rows, d = block_totals(held)
+        options.setdefault("rho", n_rows / n_blocks)
         return consensus_admm(
             held, least_squares_solution, d, n_rows, n_blocks, trace=trace,
             rescale_eps=rescale_eps, **options)

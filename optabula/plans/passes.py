@@ -11,17 +11,31 @@ from pyspark.sql import DataFrame
 from ..operators.objectives import logistic_pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads rows over all cores if the scan has fewer partitions than there are cores.
+
+    So few partitions mean a small table, so this shuffle is small too; a large table has
+    more partitions than cores and passes through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @contextmanager
-def held(df: DataFrame, cache: bool = True):
-    """Keeps the rows of an iterative fit in memory, spilling to disk, and lets go at the end."""
+def held(df: DataFrame, features: str, label: str, cache: bool = True):
+    """The training columns, kept in memory (then on disk) for the length of an iterative fit.
+
+    Rows the caller already caches are used as they are.
+    """
+    rows = df.select(features, label)
     if not cache or df.storageLevel.useMemory or df.storageLevel.useDisk:
-        yield df
+        yield rows
         return
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield df
+        yield rows
     finally:
-        df.unpersist()
+        rows.unpersist()
 
 
 def infer_width(df: DataFrame, features: str = "features") -> int:

@@ -46,7 +46,7 @@ def _remember(pairs, s, y, memory):
 def _minimize(df, l1, m, tol, max_iter, w0, features, label, cache, run_id, method, orthant):
     spark = df.sparkSession
     trace = Trace(run_id, method)
-    with held(df.select(features, label), cache) as rows:
+    with held(df, features, label, cache) as rows:
         objective = MeanLogistic(rows, features, label)
         w = np.array(w0, dtype=float)
         trace.ready()

@@ -34,7 +34,7 @@ def sgd_grid(df: DataFrame, lams: Sequence[float], step: float | None = None, it
     names = run_ids or [f"sgd-lam={lam:g}" for lam in lams]
     traces = [Trace(name, "sgd") for name in names]
     objectives = np.full(len(lams), np.nan)
-    with held(df.select(features, label), cache) as rows:
+    with held(df, features, label, cache) as rows:
         for trace in traces:
             trace.ready()
         for k in range(1, iters + 1):

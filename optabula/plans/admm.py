@@ -19,7 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
 from ..cluster import check_shipped
-from ..functions.vectors import at, array_sql, scale
+from ..functions.vectors import array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
 from ..operators.sums import cut_and_sum
 from .passes import infer_width
@@ -118,22 +118,17 @@ def admm_packed(z: Sequence[float]) -> str:
         "coalesce(r2, 0D), 1D, CAST(steps AS DOUBLE)))")
 
 
-def admm_consensus(state: DataFrame, width: int, key: str | None = None) -> DataFrame:
-    """([key], n_blocks, r, pos, u_mean, x_mean, v): block means, v = u + x being the prox input."""
+def admm_consensus(state: DataFrame, key: str | None = None) -> DataFrame:
+    """([key], pos, n_blocks, r, u_mean, x_mean, v): block means, v = u + x being the prox input.
+
+    One map-side combined aggregation over (key, pos).
+    """
     keys = (key,) if key else ()
-    norms = state.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_blocks"), F.sqrt(F.sum("r2")).alias("r"),
-        *[F.avg(at(F.col("u"), i)).alias(f"u{i}") for i in range(width)],
-        *[F.avg(at(F.col("xhat"), i)).alias(f"x{i}") for i in range(width)],
-    )
-    pairs = F.array(*[
-        F.struct(F.col(f"u{i}").alias("u"), F.col(f"x{i}").alias("x")) for i in range(width)
-    ])
-    rows = norms.select(*keys, "n_blocks", "r", F.posexplode(pairs).alias("pos", "m"))
-    return rows.select(
-        *keys, "n_blocks", "r", "pos", F.col("m.u").alias("u_mean"), F.col("m.x").alias("x_mean"),
-        (F.col("m.u") + F.col("m.x")).alias("v"),
-    )
+    rows = state.selectExpr(*keys, "r2", "posexplode(arrays_zip(u, xhat)) AS (pos, m)")
+    means = rows.groupBy(*keys, "pos").agg(
+        F.expr("count(1) AS n_blocks"), F.expr("sqrt(sum(r2)) AS r"),
+        F.expr("avg(m.u) AS u_mean"), F.expr("avg(m.xhat) AS x_mean"))
+    return means.withColumn("v", F.expr("u_mean + x_mean"))
 
 
 # Steps on a trace table ----------------------------------------------------------------

@@ -60,6 +60,25 @@ EVENTS_SQL = (
 )
 
 
+# P4, numbered rows: event_id is dense, so it places rows in blocks on every engine.
+P4_COLUMNS = {
+    "e1": "(event_id * 7919 % 101) / CAST(50 AS DOUBLE) - 1",
+    "e2": "(user_id * 31 % 53) / CAST(26 AS DOUBLE) - 1",
+}
+P4_Y = (
+    f"CASE WHEN CAST(0.9 AS DOUBLE) * ({P4_COLUMNS['e1']}) - CAST(0.6 AS DOUBLE) * ({P4_COLUMNS['e2']})"
+    " + ((event_id * 104729 % 97) / CAST(48 AS DOUBLE) - 1) * 2"
+    " + CASE WHEN value > 20 THEN CAST(0.5 AS DOUBLE) ELSE CAST(-0.5 AS DOUBLE) END > 0"
+    " THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END"
+)
+# CTE p1 with x1, x2, the intercept x3 and the 0/1 label t.
+P4_SQL = (
+    "p1 AS (SELECT event_id, " + ", ".join(
+        f"{sql} AS x{i + 1}" for i, sql in enumerate(P4_COLUMNS.values()))
+    + f", CAST(1 AS DOUBLE) AS x3, ({P4_Y} + 1) / 2 AS t FROM events)"
+)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,6 +110,12 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "block_id", "array(x1, 1D) AS features", "x2 AS target")
 
 
+def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, values = [e1, e2, y] with y in {-1, 1}."""
+    columns = ", ".join([*P4_COLUMNS.values(), P4_Y])
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"array({columns}) AS values")
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, v = embedding as doubles."""
     return table(spark, sf_dir, "embeddings").selectExpr(

@@ -140,7 +140,7 @@ def relax(spark, sf_dir):
     FROM m JOIN n USING (label)""")
 def consensus(spark, sf_dir):
     updated = A.admm_dual_update(state(spark, sf_dir), Z)
-    means = A.admm_consensus(updated, D, "label")
+    means = A.admm_consensus(updated, "label")
     z = F.when(F.col("pos") == 63, F.col("v")).otherwise(P.soft_threshold(F.col("v"), 0.01))
     return means.select(
         "label", "n_blocks", F.round("r", 8).alias("r"), "pos", F.round("u_mean", 8).alias("u_mean"),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from optabula.cluster import cut_lineage, shared_path
-from optabula.operators.blocks import fold_blocks, to_blocks
-from optabula.operators.gram import gram
+from optabula.cluster import shared_path
+from optabula.functions.prep import target_by_model, training_rows
+from optabula.operators.blocks import fold_blocks, fold_labeled_blocks, to_blocks, unblock
+from optabula.operators.gram import block_gram, gram
 from optabula.operators.report import compare_methods, time_to_tolerance
 from optabula.plans import admm as A
 from optabula.plans.ml_baseline import ml_logistic
@@ -15,9 +16,21 @@ from optabula.plans.quasi_newton import lbfgs, owlqn
 from optabula.plans.sgd import sgd, sgd_grid
 from optabula.plans.sweep import sweep, union_all
 from optabula.plans.trace import iteration_times
-from optabula.sources.tables import write_trace
-
-from .fixtures import BLOCKS, P1_SQL, P3_SQL, p1_training, p2, p3, table
+from optabula.sources.binary import read_binary_blocks, read_binary_rows
+from optabula.sources.tables import random_blocks, read_csv_matrix, write_trace
+
+from .fixtures import (
+    P1_SQL,
+    P3_SQL,
+    P4_SQL,
+    p1,
+    p1_training,
+    p2,
+    p3,
+    p4,
+    table,
+    write_binary,
+)
 from .registry import query, rounded
 
 NAMES = ("x1", "x2", "x3", "x4")
@@ -79,8 +92,8 @@ def last_iterate(cte, steps, digits=DIGITS, d=4):
     return f"WITH RECURSIVE {P1_SQL}, {cte} " + " UNION ALL ".join(parts)
 
 
-def optimum(update, steps=80):
-    return last_iterate(recursion(update, steps, "4e0"), steps)
+def optimum(update, steps=80, digits=DIGITS):
+    return last_iterate(recursion(update, steps, "4e0"), steps, digits)
 
 
 def model(fit, digits=DIGITS):
@@ -128,13 +141,13 @@ def admm_lower_bound(spark, sf_dir):
     return model(A.admm_logistic(p1_blocks(spark, sf_dir), prox=penalty, **ADMM))
 
 
-@query("admm_adaptive_rho", optimum(plain))
+@query("admm_adaptive_rho", optimum(plain, digits=4))
 def admm_adaptive(spark, sf_dir):
     """Starts from a rho far too large and lets the residuals adapt it."""
     fit = A.admm_logistic(
-        p1_blocks(spark, sf_dir), rho=4000.0, factor=1.5, mu=10.0, alpha=1.8, abstol=1e-5,
+        p1_blocks(spark, sf_dir), rho=4000.0, factor=1.5, mu=10.0, alpha=1.8, abstol=1e-6,
         reltol=1e-9, max_iter=100)
-    return model(fit)
+    return model(fit, 4)
 
 
 @query("admm_least_squares", f"""
@@ -147,41 +160,92 @@ def admm_least_squares(spark, sf_dir):
     return model(fit, 6)
 
 
-# Single local solves: per block argmin of sum loss + 150 |x + u - z|^2, two features, by SQL Newton.
-LOCAL_RHO = 300.0
+# Single local solves: per block argmin of sum loss + rho/2 |x + u - z|^2, by SQL Newton.
+LOCAL_RHO, LOCAL_HEIGHT = 30.0, 500
 LOCAL_SQL = f"""
-    WITH RECURSIVE {P1_SQL},
-    it AS (SELECT DISTINCT block_id, 0 AS k, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1 FROM p1
+    WITH RECURSIVE {P4_SQL}, b AS (SELECT event_id // {LOCAL_HEIGHT} AS block_id, * FROM p1),
+    it AS (SELECT DISTINCT block_id, 0 AS k, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1 FROM b
       UNION ALL
       SELECT block_id, k, w0 - (c * g - b * h) / (a * c - b * b), w1 - (a * h - b * g) / (a * c - b * b)
       FROM (SELECT block_id, k + 1 AS k, any_value(w0) AS w0, any_value(w1) AS w1,
           sum(s * (1 - s) * x1 * x1) + {LOCAL_RHO} AS a, sum(s * (1 - s) * x1 * x2) AS b,
           sum(s * (1 - s) * x2 * x2) + {LOCAL_RHO} AS c,
-          sum((s - t) * x1) + {LOCAL_RHO} * (any_value(w0) + block_id / CAST(100 AS DOUBLE) - 0.3e0) AS g,
+          sum((s - t) * x1) + {LOCAL_RHO} * (any_value(w0) + block_id % 7 / CAST(100 AS DOUBLE) - 0.3e0) AS g,
           sum((s - t) * x2) + {LOCAL_RHO} * (any_value(w1) - 0.05e0 + 0.2e0) AS h
         FROM (SELECT it.block_id, k, w0, w1, x1, x2, t, 1 / (1 + exp(-(w0 * x1 + w1 * x2))) AS s
-          FROM it JOIN p1 ON it.block_id = p1.block_id WHERE k < 9) r GROUP BY block_id, k) q)
+          FROM it JOIN b ON it.block_id = b.block_id WHERE k < 9) r GROUP BY block_id, k) q)
     SELECT block_id, {rounded('w0', 8)} AS w0, {rounded('w1', 8)} AS w1, true AS solved FROM it WHERE k = 9"""
 
 
 @query("admm_local_solve", LOCAL_SQL)
 def local_solve(spark, sf_dir):
-    """Blocks given by a key; their rows are numbered inside the key to place them."""
-    rows = p1_training(spark, sf_dir, 2)
-    state = rows.select("block_id").distinct().selectExpr(
-        "block_id", "array(block_id / 100D, -0.05D) AS u", "array(0D, 0D) AS x")
-    solved = A.admm_local_solve(keyed_blocks(rows), state, [0.3, -0.2], LOCAL_RHO, 1e-9)
+    """Blocks are placed by event_id, so none holds more than LOCAL_HEIGHT rows."""
+    folded = p4(spark, sf_dir).selectExpr(
+        "event_id", "transform(slice(values, 1, 2), v -> -values[2] * v) AS values")
+    blocks = to_blocks(folded, LOCAL_HEIGHT, 2, pos="event_id")
+    state = blocks.selectExpr(
+        "block_id", "array(block_id % 7 / 100D, -0.05D) AS u", "array(0D, 0D) AS x")
+    solved = A.admm_local_solve(blocks, state, [0.3, -0.2], LOCAL_RHO, 1e-9)
     return solved.selectExpr(
         "block_id", "round(x[0], 8) AS w0", "round(x[1], 8) AS w1", "grad_norm < 1e-6 AS solved")
 
 
-def keyed_blocks(rows):
-    """One block per block_id, for a key known to hold few rows (16 blocks of a small table)."""
-    folded = rows.selectExpr(
-        "block_id", "CASE WHEN label = 1 THEN transform(features, v -> -v) ELSE features END AS v")
-    return folded.groupBy("block_id").agg(
-        F.expr("CAST(count(1) AS INT) AS n_rows"), F.lit(2).alias("n_cols"),
-        F.expr("flatten(collect_list(v)) AS values"))
+# Fits that start from files and matrices.
+
+P4_NAMES = ("x1", "x2", "x3")
+
+
+def p4_optimum(steps=120):
+    cte = recursion(plain, steps, "4e0", P4_NAMES)
+    return last_iterate(cte, steps, d=3).replace(P1_SQL, P4_SQL)
+
+
+@query("lbfgs_from_binary", p4_optimum())
+def lbfgs_from_binary(spark, sf_dir):
+    """Binary rows -> recoded labels and intercept -> quasi-Newton fit."""
+    path = shared_path(spark, "rows")
+    write_binary(p4(spark, sf_dir), "values", path)
+    return model(lbfgs(training_rows(read_binary_rows(spark, path, 3))))
+
+
+@query("admm_from_binary_blocks", p4_optimum())
+def admm_from_binary_blocks(spark, sf_dir):
+    """Binary block records -> sign-folded blocks -> consensus fit."""
+    path = shared_path(spark, "blocks")
+    write_binary(to_blocks(p4(spark, sf_dir), 500, 3, pos="event_id"), "values", path)
+    blocks = fold_labeled_blocks(read_binary_blocks(spark, path, 500, 3))
+    return model(A.admm_logistic(blocks, **ADMM))
+
+
+CSV_MODEL = [0.4, -0.7, 0.25]
+
+
+@query("admm_from_csv", f"""
+    SELECT CAST(i AS INTEGER) AS pos, CAST(v AS DOUBLE) AS weight, i = 2 AS is_intercept
+    FROM (VALUES (0, 0.4), (1, -0.7), (2, 0.25)) AS m(i, v) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def admm_from_csv(spark, sf_dir):
+    """CSV matrix and a known model as target -> grams of blocks -> least-squares consensus."""
+    path = shared_path(spark, "csv")
+    p1(spark, sf_dir).select("x1", "x2", "x3").write.csv(path)
+    matrix = read_csv_matrix(spark, path, 3)
+    values = matrix.select(F.concat(
+        "values", F.array(target_by_model(F.col("values"), CSV_MODEL))).alias("values"))
+    grams = block_gram(to_blocks(values, 2000, 4))
+    return model(A.admm_least_squares(grams, alpha=1.8, abstol=1e-4, reltol=1e-9))
+
+
+@query("admm_from_random", """
+    SELECT CAST(i AS INTEGER) AS pos, CAST(v AS DOUBLE) AS weight, i = 1 AS is_intercept
+    FROM (VALUES (0, 0.5), (1, -1.5)) AS m(i, v) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def admm_from_random(spark, sf_dir):
+    """A random matrix as tall as lineitem, its product with a model as target -> consensus."""
+    n = table(spark, sf_dir, "lineitem").count()
+    rows = unblock(random_blocks(spark, n, 2, 500, 8, seed=5)).select("values")
+    values = rows.select(F.concat(
+        "values", F.array(target_by_model(F.col("values"), [0.5, -1.5]))).alias("values"))
+    grams = block_gram(to_blocks(values, 500, 3))
+    fit = A.admm_least_squares(grams, rho=0.2 * 500, alpha=1.6, abstol=1e-5, reltol=1e-9)
+    return model(fit)
 
 
 SGD_STEPS = 5
@@ -313,12 +377,40 @@ def time_delta(spark, sf_dir):
     return found.select("user_id", "event_id", F.round("iter_seconds", 6).alias("iter_seconds"))
 
 
-@query("lbfgs_wide")
+def wide_optimum(lam, steps=300):
+    """Accelerated proximal gradient on P2 over DuckDB lists: step 2, momentum 0.8."""
+    new = f"CASE WHEN pos = 64 THEN m ELSE sign(m) * greatest(abs(m) - 2 * {lam}, 0) END"
+    zeros = "list_transform(range(65), lambda i: CAST(0 AS DOUBLE))"
+    return f"""
+    WITH RECURSIVE x AS MATERIALIZED (SELECT list_append(list_transform(embedding,
+        lambda v: 8 * CAST(v AS DOUBLE)), CAST(1 AS DOUBLE)) AS x,
+        CAST(label = 3 AS DOUBLE) AS t FROM embeddings),
+    it AS (SELECT 0 AS k, {zeros} AS w, {zeros} AS y
+      UNION ALL
+      SELECT any_value(k) + 1, list(new ORDER BY pos), list(new + 0.8e0 * (new - w) ORDER BY pos)
+      FROM (SELECT k, pos, w, {new} AS new FROM (
+        SELECT any_value(k) AS k, pos, any_value(w) AS w, any_value(y) - 2 * avg(r * x) AS m
+        FROM (SELECT k, unnest(x) AS x, unnest(range(65)) AS pos, unnest(w) AS w, unnest(y) AS y,
+            1 / (1 + exp(-list_dot_product(x, y))) - t AS r FROM it, x WHERE k < {steps}) q
+        GROUP BY pos) s) u HAVING count(*) > 0)
+    SELECT CAST(pos AS INTEGER) AS pos, {rounded('w', 4)} AS weight, pos = 64 AS is_intercept
+    FROM (SELECT unnest(range(65)) AS pos, unnest(w) AS w FROM it WHERE k = {steps}) f"""
+
+
+@query("lbfgs_wide", wide_optimum("0e0"))
 def lbfgs_wide(spark, sf_dir):
-    """65 coordinates, the Arrow plan; checked in tests against a numpy Newton fit."""
-    return model(lbfgs(p2(spark, sf_dir), tol=1e-7))
+    """65 coordinates: the Arrow plan."""
+    return model(lbfgs(p2(spark, sf_dir), tol=1e-9), 4)
 
 
-@query("owlqn_wide")
+@query("owlqn_wide", wide_optimum("0.01e0"))
 def owlqn_wide(spark, sf_dir):
-    return model(owlqn(p2(spark, sf_dir), 0.01, tol=1e-7))
+    return model(owlqn(p2(spark, sf_dir), 0.01, tol=1e-9), 4)
+
+
+@query("admm_lasso_wide", wide_optimum("0.01e0"))
+def admm_lasso_wide(spark, sf_dir):
+    blocks = to_blocks(fold_blocks(p2(spark, sf_dir)), 250, 65)
+    return model(A.admm_logistic(
+        blocks, rho=25.0, alpha=1.6, abstol=1e-7, reltol=1e-8, max_iter=150,
+        prox=Penalty("l1", 0.01)), 4)

@@ -14,6 +14,9 @@ from ..functions.vectors import dot
 
 BLOCK_SCHEMA = "block_id long, n_rows int, n_cols int, values array<double>"
 
+# Largest block a task has to hold.
+MAX_BLOCK_BYTES = 256 << 20
+
 # Block ids of one partition: partition id in the high bits, running number in the low ones.
 IDS_PER_PARTITION = 1 << 33
 
@@ -31,6 +34,9 @@ def to_blocks(df: DataFrame, height: int, width: int, values: str = "values",
     """
     if height < 1:
         raise ValueError("height must be at least 1")
+    if 8 * height * width > MAX_BLOCK_BYTES:
+        raise ValueError(
+            f"blocks of {height} x {width} values are above {MAX_BLOCK_BYTES} bytes; lower height")
     if pos is None:
         def first_id():
             return TaskContext.get().partitionId() * IDS_PER_PARTITION

@@ -10,6 +10,7 @@ Only sums over blocks (d values) reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import StorageLevel
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
-from ..cluster import check_shipped
+from ..cluster import check_shipped, cut_lineage
 from ..functions.vectors import array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
 from ..operators.sums import cut_and_sum
@@ -229,27 +230,35 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
     return Fit(blocks.sparkSession, z, trace, converged)
 
 
-def co_partition(blocks: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Hash-partitions and sorts blocks by id, once, and keeps them (memory, then disk)."""
+@contextmanager
+def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bool = False):
+    """Hash-partitions and sorts blocks by id, once, and keeps them (memory, then disk).
+
+    ``durable`` writes them to the shared checkpoint folder instead. Use it when the rows
+    below the blocks come in no reproducible order (after a shuffle, say): a lost cached
+    block would then be rebuilt from other rows.
+    """
     if partitions is None:
         partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        blocks.repartition(partitions, "block_id").sortWithinPartitions("block_id")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    placed = blocks.repartition(partitions, "block_id").sortWithinPartitions("block_id")
+    if durable:
+        yield cut_lineage(placed)
+        return
+    placed.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield placed
+    finally:
+        placed.unpersist()
 
 
-def admm_logistic(blocks: DataFrame, partitions: int | None = None, run_id: str = "admm_logistic",
-                  **options) -> Fit:
+def admm_logistic(blocks: DataFrame, partitions: int | None = None, durable: bool = False,
+                  run_id: str = "admm_logistic", **options) -> Fit:
     """Logistic regression over sign-folded blocks (see ``fold_blocks``, ``to_blocks``)."""
     trace = Trace(run_id, "admm_logistic")
-    held = co_partition(blocks, partitions)
-    try:
+    with co_partitioned(blocks, partitions, durable) as held:
         n_blocks, n_rows, d = block_totals(held)
         return consensus_admm(
             held, logistic_solution, d, n_rows, n_blocks, trace=trace, **options)
-    finally:
-        held.unpersist()
 
 
 def admm_logistic_rows(rows: DataFrame, height: int = 4096, features: str = "features",
@@ -260,7 +269,7 @@ def admm_logistic_rows(rows: DataFrame, height: int = 4096, features: str = "fea
     return admm_logistic(blocks, **options)
 
 
-def admm_least_squares(grams: DataFrame, partitions: int | None = None,
+def admm_least_squares(grams: DataFrame, partitions: int | None = None, durable: bool = False,
                        run_id: str = "admm_least_squares", rescale_eps: float = 1e-2,
                        **options) -> Fit:
     """Least squares over a per-block gram table; iterations never read raw rows.
@@ -268,12 +277,9 @@ def admm_least_squares(grams: DataFrame, partitions: int | None = None,
     ``rho`` defaults to the rows per block, the curvature of standardized features.
     """
     trace = Trace(run_id, "admm_least_squares")
-    held = co_partition(grams, partitions)
-    try:
+    with co_partitioned(grams, partitions, durable) as held:
         n_blocks, n_rows, d = block_totals(held)
         options.setdefault("rho", n_rows / n_blocks)
         return consensus_admm(
             held, least_squares_solution, d, n_rows, n_blocks, trace=trace,
             rescale_eps=rescale_eps, **options)
-    finally:
-        held.unpersist()

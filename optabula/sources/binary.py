@@ -12,6 +12,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 READ_BYTES = 8 << 20
 
+# Most byte ranges one scan is cut into; more would burden the driver.
+MAX_SPLITS = 100_000
+
 
 def open_filesystem(path):
     """(filesystem, path) of a local path or of any URI pyarrow knows (file, hdfs, s3, gs)."""
@@ -53,15 +56,19 @@ class FixedDoublesReader(DataSourceReader):
         self.split_bytes = max(1, split_bytes // self.record_bytes) * self.record_bytes
 
     def partitions(self):
+        files = data_files(self.path)
+        # Ranges are read in READ_BYTES pieces, so very large inputs may use larger ranges.
+        fewest = -(-sum(size for _, size in files) // MAX_SPLITS)
+        step = max(self.split_bytes, -(-fewest // self.record_bytes) * self.record_bytes)
         splits, records = [], 0
-        for path, size in data_files(self.path):
+        for path, size in files:
             if size % self.record_bytes:
                 raise ValueError(
                     f"{path}: {size} bytes are no multiple of the record of "
                     f"{self.record_bytes} bytes"
                 )
-            for start in range(0, size, self.split_bytes):
-                length = min(self.split_bytes, size - start)
+            for start in range(0, size, step):
+                length = min(step, size - start)
                 splits.append(Split(path, start, length, records + start // self.record_bytes))
             records += size // self.record_bytes
         return splits

@@ -48,3 +48,9 @@ def check_shipped(n_values: int, what: str) -> None:
             f"{what} takes {n_bytes} bytes, above the bound of {MAX_SHIPPED_BYTES}; "
             "evaluate fewer models per pass"
         )
+
+
+def scan_partitions(df: DataFrame) -> int | None:
+    """Partition count of a plan that shuffles nothing; None where counting would run a shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return None if "Exchange" in plan else df.rdd.getNumPartitions()

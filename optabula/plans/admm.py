@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
-from ..cluster import check_shipped, cut_lineage
+from ..cluster import check_shipped, cut_lineage, scan_partitions
 from ..functions.vectors import array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
 from ..operators.sums import cut_and_sum
@@ -234,12 +234,20 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
 def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bool = False):
     """Hash-partitions and sorts blocks by id, once, and keeps them (memory, then disk).
 
+    The number of partitions defaults to spark.sql.shuffle.partitions, or to the scan's
+    partitions (at least one per core) where the blocks come from fewer.
+
     ``durable`` writes them to the shared checkpoint folder instead. Use it when the rows
     below the blocks come in no reproducible order (after a shuffle, say): a lost cached
     block would then be rebuilt from other rows.
     """
     if partitions is None:
-        partitions = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spark = blocks.sparkSession
+        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        scanned = scan_partitions(blocks)
+        if scanned is not None:
+            cores = spark.sparkContext.defaultParallelism
+            partitions = min(partitions, max(cores, scanned))
     placed = blocks.repartition(partitions, "block_id").sortWithinPartitions("block_id")
     if durable:
         yield cut_lineage(placed)

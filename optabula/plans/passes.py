@@ -8,17 +8,20 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from ..cluster import scan_partitions
 from ..operators.objectives import logistic_pass
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads rows over all cores if the scan has fewer partitions than there are cores.
+    """Spreads rows over all cores if they come from a scan of fewer partitions than cores.
 
     So few partitions mean a small table, so this shuffle is small too; a large table has
     more partitions than cores and passes through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    partitions = scan_partitions(df)
+    small = partitions is not None and partitions < cores
+    return df.repartition(cores) if small else df
 
 
 @contextmanager

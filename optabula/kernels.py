@@ -40,11 +40,13 @@ def as_lists(matrix):
 
 def sigmoid(t):
     e = np.exp(-np.abs(t))
-    return np.where(t >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
+    return np.where(t >= 0, 1.0, e) / (1.0 + e)
 
 
-def softplus(t):
-    return np.logaddexp(0.0, t)
+def loss_and_sigmoid(t):
+    """(log(1 + exp(t)), sigmoid(t)) from one exponential, without overflow."""
+    e = np.exp(-np.abs(t))
+    return np.maximum(t, 0.0) + np.log1p(e), np.where(t >= 0, 1.0, e) / (1.0 + e)
 
 
 def one_partial(values):
@@ -62,10 +64,11 @@ def logistic_partials(candidates, with_gradient):
                 continue
             x = as_matrix(batch.column(0), d)
             y = batch.column(1).to_numpy(zero_copy_only=False)
-            margins = x @ candidates.T
-            losses += softplus((1.0 - 2.0 * y)[:, None] * margins).sum(axis=0)
+            sign = (1.0 - 2.0 * y)[:, None]
+            loss, s = loss_and_sigmoid(sign * (x @ candidates.T))
+            losses += loss.sum(axis=0)
             if with_gradient:
-                grads += (sigmoid(margins) - y[:, None]).T @ x
+                grads += (sign * s).T @ x
             n += len(y)
         if n:
             parts = [losses, grads.ravel()] if with_gradient else [losses]
@@ -147,9 +150,9 @@ def logistic_sums(model):
     """Chunk sums [n, loss, gradient] at one model."""
 
     def sums(a, y):
-        margins = a @ model
-        loss = softplus((1.0 - 2.0 * y) * margins).sum()
-        return np.concatenate([[float(len(y)), loss], a.T @ (sigmoid(margins) - y)])
+        sign = 1.0 - 2.0 * y
+        loss, s = loss_and_sigmoid(sign * (a @ model))
+        return np.concatenate([[float(len(y)), loss.sum()], a.T @ (sign * s)])
 
     return sums
 
@@ -238,27 +241,26 @@ def block_matrices(values, n_rows, n_cols):
 
 
 def augmented_logistic(folded, w, center, rho):
-    """Value and gradient of sum softplus(D w) + rho/2 |w - center|^2 for sign-folded rows D."""
-    margins, shift = folded @ w, w - center
-    value = softplus(margins).sum() + 0.5 * rho * (shift @ shift)
-    return value, rho * shift + folded.T @ sigmoid(margins)
+    """Value, gradient and sigmoids of sum softplus(D w) + rho/2 |w - center|^2, D sign-folded."""
+    loss, s = loss_and_sigmoid(folded @ w)
+    shift = w - center
+    return loss.sum() + 0.5 * rho * (shift @ shift), rho * shift + folded.T @ s, s
 
 
 def newton_block(folded, start, center, rho, tol, max_iter=100):
     """Damped Newton on one block; the quadratic term makes every Hessian definite."""
     w = start.copy()
-    value, grad = augmented_logistic(folded, w, center, rho)
+    value, grad, s = augmented_logistic(folded, w, center, rho)
     for step in range(max_iter):
         size = float(np.linalg.norm(grad))
         if size <= tol:
             return w, step, size
-        s = sigmoid(folded @ w)
         hessian = (folded * (s * (1.0 - s))[:, None]).T @ folded + rho * np.eye(len(w))
         direction = np.linalg.solve(hessian, -grad)
         slope, t = grad @ direction, 1.0
         while t > 1e-10:
             trial = w + t * direction
-            trial_value, trial_grad = augmented_logistic(folded, trial, center, rho)
+            trial_value, trial_grad, trial_s = augmented_logistic(folded, trial, center, rho)
             if trial_value <= value + 1e-4 * t * slope + 1e-12 * abs(value):
                 break
             t *= 0.5
@@ -266,7 +268,7 @@ def newton_block(folded, start, center, rho, tol, max_iter=100):
             return w, step, size
         if np.linalg.norm(trial_grad) >= size and trial_value >= value:
             return w, step, size
-        w, value, grad = trial, trial_value, trial_grad
+        w, value, grad, s = trial, trial_value, trial_grad, trial_s
     return w, max_iter, float(np.linalg.norm(grad))
 
 
@@ -288,7 +290,7 @@ def curvature_direction(grad, pairs):
 def quasi_newton_block(folded, start, center, rho, tol, memory=7, max_iter=500):
     """Limited-memory quasi-Newton on one wide block."""
     w, pairs = start.copy(), []
-    value, grad = augmented_logistic(folded, w, center, rho)
+    value, grad, _ = augmented_logistic(folded, w, center, rho)
     for step in range(max_iter):
         size = float(np.linalg.norm(grad))
         if size <= tol:
@@ -297,7 +299,7 @@ def quasi_newton_block(folded, start, center, rho, tol, memory=7, max_iter=500):
         slope, t = grad @ direction, 1.0 if pairs else 1.0 / size
         while t > 1e-12:
             trial = w + t * direction
-            trial_value, trial_grad = augmented_logistic(folded, trial, center, rho)
+            trial_value, trial_grad, _ = augmented_logistic(folded, trial, center, rho)
             if trial_value <= value + 1e-4 * t * slope + 1e-13 * abs(value):
                 break
             t *= 0.5

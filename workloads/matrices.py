@@ -167,10 +167,10 @@ def gram_wide_by_block(spark, sf_dir):
 
 @query("block_gram", f"""
     WITH {EVENTS_SQL}, b AS (SELECT event_id // {HEIGHT} AS block_id, v1, v2, v3 FROM r)
-    {gram_sql('b', ['v1', 'v2'], 'v3', 'block_id')}""")
+    {gram_sql('b', ['v1', 'v2'], 'v3', 'block_id', digits=6)}""")
 def gram_of_blocks(spark, sf_dir):
     grams = block_gram(event_blocks(spark, sf_dir))
-    return gram_entries(grams, "block_id").withColumn("value", F.round("value", 4))
+    return gram_entries(grams, "block_id").withColumn("value", F.round("value", 6))
 
 
 @query("inverse_hessian_diag", f"""

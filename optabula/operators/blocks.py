@@ -14,6 +14,10 @@ from ..functions.vectors import dot
 
 BLOCK_SCHEMA = "block_id long, n_rows int, n_cols int, values array<double>"
 
+# Status codes of degenerate blocks and the weight of the mirror row.
+ALL_POSITIVE, ALL_NEGATIVE, TOO_FEW, MIN_ROWS = 20, 40, 60, 10
+MIRROR_WEIGHT = 0.2
+
 # Largest block a task has to hold.
 MAX_BLOCK_BYTES = 256 << 20
 
@@ -123,18 +127,18 @@ def fold_labeled_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def block_quality(df: DataFrame, by: str = "block_id", label: str = "label",
-                  min_rows: int = 10) -> DataFrame:
+                  min_rows: int = MIN_ROWS) -> DataFrame:
     """(block_id, n, n_pos, status): 0 usable, 20 all positive, 40 all negative, 60+n too few."""
     n, n_pos = F.count(F.lit(1)), F.count(F.when(F.col(label) > 0, 1))
     status = (
-        F.when(n_pos == n, F.lit(20)).when(n_pos == 0, F.lit(40))
-        .when(n < min_rows, (n + 60).cast("int")).otherwise(F.lit(0))
+        F.when(n_pos == n, F.lit(ALL_POSITIVE)).when(n_pos == 0, F.lit(ALL_NEGATIVE))
+        .when(n < min_rows, (n + TOO_FEW).cast("int")).otherwise(F.lit(0))
     )
     return df.groupBy(by).agg(n.alias("n"), n_pos.alias("n_pos"), status.alias("status"))
 
 
 def mirror_noise(df: DataFrame, model, height: int, block: str = "block_id", pos: str = "pos",
-                 features: str = "features", c: float = 0.2) -> DataFrame:
+                 features: str = "features", c: float = MIRROR_WEIGHT) -> DataFrame:
     """Deterministic label noise inside a block: (block_id, pos, features, label).
 
     The label is the sign of the raw row under ``model`` (0 counts as 1). Features then get c

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prox import sigmoid
-from ..functions.vectors import dot
+from ..functions.vectors import dot, vector_literal
 from .objectives import logistic_pass
 
 # Models evaluated by one scan when they are wide.
@@ -57,8 +57,7 @@ def compare_methods(traces: DataFrame, rows: DataFrame, optimum: Sequence[float]
     losses = spark.createDataFrame(
         [(r["run_id"], r["iteration"], float(v)) for r, v in zip(keyed, values)],
         "run_id string, iteration int, loss double")
-    gap = F.zip_with(
-        "model", F.array(*[F.lit(float(v)) for v in optimum]), lambda a, b: (a - b) * (a - b))
+    gap = F.zip_with("model", vector_literal(optimum), lambda a, b: (a - b) * (a - b))
     measured = traces.join(losses, ["run_id", "iteration"]).select(
         "run_id", "method", "iteration", "elapsed_seconds", F.col("loss").alias("objective"),
         F.sqrt(F.aggregate(gap, F.lit(0.0), lambda acc, v: acc + v)).alias("distance"),

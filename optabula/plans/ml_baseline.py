@@ -13,15 +13,18 @@ from .trace import Fit, Trace
 
 def ml_logistic(df: DataFrame, reg: float | None = None, alpha: float = 1.0, max_iter: int = 200,
                 tol: float = 1e-9, standardization: bool = False, features: str = "features",
-                label: str = "label", run_id: str = "ml_logistic") -> Fit:
+                label: str = "label", aggregation_depth: int = 2, run_id: str = "ml_logistic") -> Fit:
     """reg defaults to 0.1 / d. The intercept slot is dropped; spark.ml fits its own.
 
+    Raise ``aggregation_depth`` for wide models on many partitions.
+
     ``standardization`` changes the L1 optimum; leave it off to compare with ``owlqn``.
     """
     d = infer_width(df, features)
     estimator = LogisticRegression(
         regParam=0.1 / d if reg is None else reg, elasticNetParam=alpha, maxIter=max_iter,
         tol=tol, standardization=standardization, fitIntercept=True,
+        aggregationDepth=aggregation_depth,
     )
     trace = Trace(run_id, "ml_logistic")
     frame = to_ml_frame(df, features, label, drop_intercept=True)

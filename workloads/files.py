@@ -12,7 +12,16 @@ from optabula.operators.blocks import to_blocks
 from optabula.sources.binary import read_binary_blocks, read_binary_rows
 from optabula.sources.tables import random_blocks, read_csv_matrix, to_ml_frame
 
-from .fixtures import EVENTS_SQL, P1_SQL, event_rows, p1, p1_training, table, write_binary
+from .fixtures import (
+    EVENTS_SQL,
+    P1_SQL,
+    blocks_per_partition,
+    event_rows,
+    p1,
+    p1_training,
+    table,
+    write_binary,
+)
 from .registry import query, rounded
 
 
@@ -66,7 +75,7 @@ def csv_matrix(spark, sf_dir):
       CAST(count(*) * 5 AS BIGINT) AS n_values, true AS in_range, true AS spread FROM lineitem""")
 def random_matrix(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").count()
-    blocks = random_blocks(spark, n, 5, 1000, 4, seed=11)
+    blocks = random_blocks(spark, n, 5, 1000, blocks_per_partition(n, 1000), seed=11)
     low, high = "array_min(values)", "array_max(values)"
     return blocks.selectExpr(
         "n_rows", "size(values) AS n", f"{low} AS low", f"{high} AS high",

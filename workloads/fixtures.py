@@ -128,6 +128,11 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", f"array({', '.join(EVENT_COLUMNS.values())}) AS values")
 
 
+def blocks_per_partition(n_rows: int, height: int) -> int:
+    """At least 4 blocks per partition, and no more than 10,000 partitions however tall the table."""
+    return max(4, n_rows // (height * 10_000))
+
+
 def write_binary(df: DataFrame, column: str, path: str) -> None:
     """Writes a vector column as big-endian doubles, one file per partition.
 

@@ -23,6 +23,7 @@ from .fixtures import (
     P1_SQL,
     P3_SQL,
     P4_SQL,
+    blocks_per_partition,
     p1,
     p1_training,
     p2,
@@ -240,7 +241,7 @@ def admm_from_csv(spark, sf_dir):
 def admm_from_random(spark, sf_dir):
     """A random matrix as tall as lineitem, its product with a model as target -> consensus."""
     n = table(spark, sf_dir, "lineitem").count()
-    rows = unblock(random_blocks(spark, n, 2, 500, 8, seed=5)).select("values")
+    rows = unblock(random_blocks(spark, n, 2, 500, blocks_per_partition(n, 500), seed=5)).select("values")
     values = rows.select(F.concat(
         "values", F.array(target_by_model(F.col("values"), [0.5, -1.5]))).alias("values"))
     grams = block_gram(to_blocks(values, 500, 3))
@@ -373,7 +374,7 @@ def trace_sink(spark, sf_dir):
 def time_delta(spark, sf_dir):
     rows = table(spark, sf_dir, "events").selectExpr(
         "user_id", "event_id", "value + event_id / 8D AS elapsed")
-    found = iteration_times(rows, "user_id", "event_id", "elapsed", bucket_rows=4096)
+    found = iteration_times(rows, "user_id", "event_id", "elapsed")
     return found.select("user_id", "event_id", F.round("iter_seconds", 6).alias("iter_seconds"))
 
 

@@ -245,7 +245,7 @@ def admm_from_random(spark, sf_dir):
     values = rows.select(F.concat(
         "values", F.array(target_by_model(F.col("values"), [0.5, -1.5]))).alias("values"))
     grams = block_gram(to_blocks(values, 500, 3))
-    fit = A.admm_least_squares(grams, rho=0.2 * 500, alpha=1.6, abstol=1e-5, reltol=1e-9)
+    fit = A.admm_least_squares(grams, rho=0.2 * 500, alpha=1.8, abstol=1e-4, reltol=1e-9)
     return model(fit)
 
 

@@ -52,22 +52,6 @@ def total(vector: Column) -> Column:
     return F.aggregate(vector, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
 def scale(a: Column, factor: Column | float) -> Column:
     factor = factor if isinstance(factor, Column) else F.lit(float(factor))
     return F.transform(a, lambda x: x * factor)
-
-
-def norm_squared(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
-
-
-def norm_one(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + F.abs(v))

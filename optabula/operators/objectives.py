@@ -17,17 +17,7 @@ from pyspark.sql import functions as F
 from .. import kernels
 from ..cluster import check_shipped
 from ..functions.prox import log1p_exp, sigmoid
-from ..functions.vectors import (
-    NARROW_WIDTH,
-    add,
-    at,
-    dot,
-    norm_one,
-    norm_squared,
-    parameter_sql,
-    subtract,
-    vector_literal,
-)
+from ..functions.vectors import NARROW_WIDTH, at, dot, parameter_sql, vector_literal
 from .sums import PARTIAL, collect_positions, grouped_sums, sum_by_position, sum_partials
 
 # Aggregation buffers that still fit one whole-stage codegen stage.
@@ -251,20 +241,3 @@ def penalty_value(models: DataFrame, kind: str, lam: float = 0.0, gamma: float =
     else:
         raise ValueError(f"unknown penalty {kind!r}")
     return models.groupBy(key).agg(penalty.alias("penalty"))
-
-
-def penalty_of_vector(vector: Column, kind: str, lam: float = 0.0, gamma: float = 0.0) -> Column:
-    """The same penalty values for a vector column, without exploding it."""
-    if kind == "l1":
-        return F.lit(float(lam)) * norm_one(vector)
-    if kind == "elastic_net":
-        return F.lit(float(lam)) * norm_one(vector) + F.lit(gamma / 2) * norm_squared(vector)
-    if kind in ("lower_bound", "zero"):
-        return F.lit(0.0)
-    raise ValueError(f"unknown penalty {kind!r}")
-
-
-def augmented_block_value(margin_loss: Column, w: Column, u: Column, z: Column,
-                          rho: float) -> Column:
-    """Loss of a block plus rho/2 |w + u - z|^2, for vectors held in columns."""
-    return margin_loss + F.lit(rho / 2) * norm_squared(subtract(add(w, u), z))

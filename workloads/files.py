@@ -6,7 +6,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from optabula.cluster import shared_path
-from optabula.functions.prep import add_intercept
 from optabula.functions.vectors import at
 from optabula.operators.blocks import to_blocks
 from optabula.sources.binary import read_binary_blocks, read_binary_rows

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from optabula.functions import prox as P
-from optabula.functions.vectors import at
 from optabula.operators.gram import gram
 from optabula.operators.proximal import prox_least_squares, prox_zip, sgd_update
 from optabula.plans import admm as A

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,18 +11,11 @@ MAX_SHIPPED_BYTES = 64 * 1024 * 1024
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only in local mode."""
+    """The cluster's shared checkpoint folder; unset, a folder below the session's warehouse."""
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        root = context.getCheckpointDir()
-    if root is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(
-                "spark.checkpoint.dir is not set: iterative fits need a folder "
-                "that all executors share"
-            )
-        root = tempfile.mkdtemp(prefix="optabula-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/optabula-checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

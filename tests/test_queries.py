@@ -5,8 +5,9 @@ import pytest
 import __spark_entry__ as entry
 from tests.compare import connect, differences
 from tests.conftest import SMALL
+from workloads import registry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +15,11 @@ def con():
     return connect(SMALL)
 
 
+def test_entry_registers_all():
+    assert QUERIES.items() <= entry.queries().items()
+    assert ORACLES.items() <= entry.oracle_sql().items()
+
+
 def test_every_twin_belongs_to_a_query():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) - set(ORACLES) == {"sgd_minibatch"}

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .chat import format_chats
 from .common import table
+from .decontaminate import contaminated
+from .line_runs import dedup_lines
 from .packing import pack
+from .phrases import dedup_substrings
+from .quality_rules import quality_rules
+from .sharding import even_tree, shard_documents
+from .simhash import hex_digits, simhash_groups
 from .training_order import training_order
 
 QUERIES = {}
@@ -32,3 +39,164 @@ def op1(spark, sf_dir):
 @query("op3_best_fit_packing")
 def op3(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))
+
+
+WORD = "'[^\\x20\\x09-\\x0D]+'"
+BASE_MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+@query("op4_chat_formatting", """
+    WITH turns AS (
+      SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')}
+        ORDER BY turn, role, text) AS seq
+      FROM (SELECT DISTINCT * FROM conversations) GROUP BY conv_id),
+    said AS (SELECT conv_id, seq, list_transform(seq, lambda x: {'role': x.role, 'text': x.text}) AS key FROM turns),
+    inner_keys AS (SELECT DISTINCT key[1:n] AS key FROM (
+      SELECT key, unnest(range(1, len(key))) AS n FROM said)),
+    whole AS (SELECT key, min(conv_id) AS conv_id, count(*) AS n_copies FROM said GROUP BY key)
+    SELECT conv_id, CAST(len(key) AS BIGINT) AS n_turns, n_copies, list_aggregate(list_transform(key,
+        lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)),
+        'string_agg', '') AS text
+    FROM whole w WHERE NOT EXISTS (SELECT 1 FROM inner_keys i WHERE i.key = w.key)""")
+def op4(spark, sf_dir):
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op5_decontamination", """
+    WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+    ds AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (
+      SELECT doc_id, w, unnest(range(len(w) - 4)) AS p FROM dw WHERE len(w) >= 5)),
+    its AS (SELECT item_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (
+      SELECT item_id, w, len(w) AS n, unnest(range(len(w) - 4)) AS p FROM iw WHERE len(w) >= 5)),
+    st AS (SELECT DISTINCT doc_id, item_id, n,
+        greatest(0, least(ds.p - its.p, len(w) - n)) AS start
+      FROM ds JOIN its USING (s) JOIN dw USING (doc_id)),
+    win AS (SELECT doc_id, item_id, start, n, s, count(*) AS c
+      FROM st JOIN ds USING (doc_id) WHERE p BETWEEN start AND start + n - 5 GROUP BY ALL),
+    ic AS (SELECT item_id, s, count(*) AS ci FROM its GROUP BY ALL),
+    sim AS (SELECT doc_id, item_id, start, sum(least(c, coalesce(ci, 0))) / (sum(c) + any_value(n) - 4
+        - sum(least(c, coalesce(ci, 0)))) AS similarity
+      FROM win LEFT JOIN ic USING (item_id, s) GROUP BY ALL)
+    SELECT doc_id, item_id, CAST(arg_min(start, (-similarity, start)) AS INTEGER) AS start,
+      round(max(similarity), 9) AS similarity
+    FROM sim WHERE similarity >= 0.8 GROUP BY ALL""")
+def op5(spark, sf_dir):
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 9).alias("similarity"))
+
+
+@query("op6_line_dedup", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+          lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+    ln AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+    pairs AS (SELECT doc_id, i, row_number() OVER (PARTITION BY l[i], l[i + 1] ORDER BY doc_id, i) AS k
+      FROM ln WHERE i < len(l)),
+    gone AS (SELECT DISTINCT doc_id, i + o AS i FROM pairs, (VALUES (0), (1)) v(o) WHERE k > 1),
+    kept AS (SELECT doc_id, count(gone.i) AS n_removed,
+        string_agg(CASE WHEN gone.i IS NULL THEN l[ln.i] END, chr(10) ORDER BY ln.i) AS text
+      FROM ln LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(l) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+      sha256(CASE WHEN n_removed > 0 THEN coalesce(kept.text, '') ELSE d.text END) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)""")
+def op6(spark, sf_dir):
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed",
+                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def tree_sql(shards: int) -> str:
+    """The descent through the tree of `shards` equal shards, level by level in joins."""
+    bits = "CAST(('0x' || substr(md5(name || '/' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT)"
+    draw = f"-ln(({bits} + 0.5e0) / 4503599627370496e0) / weight"
+    return f"""
+    t{shards} AS (SELECT s, '/region' || (s // 4) AS region,
+        '/region' || (s // 4) || '/rack' || (s // 2) AS rack,
+        '/region' || (s // 4) || '/rack' || (s // 2) || '/' || s AS leaf
+      FROM (SELECT unnest(range({shards})) AS s)),
+    r{shards} AS (SELECT doc_id, arg_min(name, {draw}) AS region
+      FROM ids, (SELECT region AS name, count(*) AS weight FROM t{shards} GROUP BY ALL) GROUP BY doc_id),
+    k{shards} AS (SELECT doc_id, arg_min(name, {draw}) AS rack
+      FROM r{shards} JOIN (SELECT region, rack AS name, count(*) AS weight FROM t{shards} GROUP BY ALL)
+        USING (region) GROUP BY doc_id),
+    s{shards} AS (SELECT doc_id, arg_min(s, {draw}) AS s
+      FROM k{shards} JOIN (SELECT rack, s, leaf AS name, 1 AS weight FROM t{shards}) USING (rack)
+      GROUP BY doc_id)"""
+
+
+@query("op7_sharding", f"""
+    WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+        lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+    bytes AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+        lambda x: CAST('0x' || x AS BIGINT)) AS b FROM documents),
+    sized AS (SELECT doc_id, CAST(len(b) + 1 AS BIGINT) AS size, CAST(xor(list_reduce(
+        list_prepend(CAST(4294967295 AS BIGINT), b),
+        lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS BIGINT) AS text_crc32
+      FROM bytes, crc),
+    ids AS (SELECT DISTINCT doc_id FROM documents), {tree_sql(8)}, {tree_sql(9)},
+    placed AS (SELECT doc_id, size, text_crc32, CAST(s8.s AS INTEGER) AS shard, CAST(s9.s AS INTEGER) AS grown_shard
+      FROM sized JOIN s8 USING (doc_id) JOIN s9 USING (doc_id))
+    SELECT *, 'key' AS law, row_number() OVER (PARTITION BY shard
+      ORDER BY (doc_id % 4096 + text_crc32) % 4096, doc_id, text_crc32, size) - 1 AS slot FROM placed""")
+def op7(spark, sf_dir):
+    return shard_documents(table(spark, sf_dir, "documents"), even_tree(8), even_tree(9))
+
+
+@query("op8_substring_dedup", f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+    win AS (SELECT doc_id, p, array_to_string(w[p:p + 49], ' ') AS s FROM (
+      SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+    later AS (SELECT doc_id, p FROM (
+      SELECT *, min(doc_id) OVER (PARTITION BY s) AS first FROM win) WHERE doc_id > first),
+    gone AS (SELECT DISTINCT doc_id, p + o AS i FROM later, (SELECT unnest(range(50)) AS o)),
+    pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+    kept AS (SELECT doc_id, count(gone.i) AS n_removed,
+        string_agg(CASE WHEN gone.i IS NULL THEN w[pos.i] END, ' ' ORDER BY pos.i) AS text
+      FROM pos LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+      sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""")
+def op8(spark, sf_dir):
+    out = dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def stop_words_sql() -> str:
+    from .quality_rules import STOP_WORDS
+
+    return ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+
+@query("op9_quality_rules", f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORD}) AS w,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+          lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+    win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p:p + 4], ' ')) AS c
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+    rep AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM win, (SELECT unnest(range(5)) AS o)
+      WHERE c > 1 GROUP BY doc_id),
+    m AS (SELECT doc_id, len(w) AS n_words,
+        coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars,
+        len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(l) AS n_lines,
+        len(list_filter(w, lambda x: x IN ({stop_words_sql()}))) AS stops,
+        len(list_filter(l, lambda x: regexp_matches(x, '^[ \\t]*[-*\u2022]'))) AS bullets,
+        len(list_filter(l, lambda x: regexp_matches(x, '([.][.][.]|\u2026)[ \\t\\r]*$'))) AS cuts
+      FROM d LEFT JOIN rep USING (doc_id)),
+    b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+      base_failed, NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words
+        AND n_symbols <= 0.1e0 * n_words AND (n_words < 50 OR stops / n_words >= 0.02e0)
+        AND n_dup_lines <= 0.5e0 * n_lines AND bullets <= 0.9e0 * n_lines AND cuts <= 0.3e0 * n_lines AS kept
+    FROM b""")
+def op9(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", *BASE_MEASURES, "base_failed", "kept")
+
+
+@query("op10_simhash")
+def op10(spark, sf_dir):
+    out = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
+    return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")

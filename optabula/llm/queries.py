@@ -8,6 +8,7 @@ from .chat import format_chats
 from .common import table
 from .decontaminate import contaminated
 from .line_runs import dedup_lines
+from .ordinal import classify
 from .packing import pack
 from .phrases import dedup_substrings
 from .quality_rules import quality_rules
@@ -36,6 +37,14 @@ def op1(spark, sf_dir):
     return read.select("slot", "doc_id", "piece", "n_tokens", F.xxhash64("ids").alias("ids_digest"))
 
 
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    """Every document with its expected grade, the probability of the top grade and the verdict."""
+    out = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", F.round("quality.expected_grade", 6).alias("expected_grade"),
+                      F.round("quality.p_keep", 6).alias("p_keep"), "quality.kept")
+
+
 @query("op3_best_fit_packing")
 def op3(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"))

@@ -41,10 +41,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     groups = simhash_groups(docs, shingle=4, distance=4).withColumn(
         "place", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
-    # A group without any doc_id has no component_id; its fingerprints are told apart instead.
-    first = written(groups.groupBy("component_id", F.when(
-        F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(
-        F.min("place").alias("p")).select(
+    first = written(groups.groupBy("root").agg(F.min("place").alias("p")).select(
         F.coalesce("p.doc_id", F.lit(LAST_ID)).alias("__id"), F.col("p.text_key").alias("__text_key")),
         "first")
     keyed = docs.withColumns({

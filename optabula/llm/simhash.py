@@ -191,8 +191,9 @@ def links(fps: DataFrame, distance: int = 4, node_limit: int = 4096) -> DataFram
 
 def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4,
                    node_limit: int = 4096) -> DataFrame:
-    """One row per document: doc_id, text_key, fp, component_id.
+    """One row per document: doc_id, text_key, fp, root, component_id.
 
+    `root` is the component's least fingerprint (signed).
     `component_id` is the least doc_id among the documents that links of at most `distance` bits
     reach. A null text is empty; texts without words have fingerprint 0 and are linked like any
     other; documents with null doc_id take part, and a component of such documents only has a null
@@ -204,8 +205,8 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4,
     named = fps.join(roots, fps.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(groups, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", "text_key", "fp", "component_id")
+    return rows.join(named.join(groups, "root").select("fp", "root", "component_id"), "fp").select(
+        "doc_id", "text_key", "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

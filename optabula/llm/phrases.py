@@ -237,8 +237,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, shard_bytes: int = 1 <<
         shard_windows(window), STATE), "state")
     windows = state.where("starts IS NOT NULL").select(
         "doc_id", "text_key", F.inline(F.arrays_zip("starts", "h1", "h2")))
-    seen = windows.groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b")
+    # Written, so that the join reads two plain exchanges and can split a very frequent window.
+    seen = written(windows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").drop("b"), "windows")
     flagged = windows.join(seen, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "text_key").agg(
         F.collect_set("starts").alias("flagged"))
     return state.drop("starts", "h1", "h2").join(flagged, ["doc_id", "text_key"], "left").mapInArrow(

@@ -21,9 +21,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme: one without any is the cluster's default file system's."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(where).toString()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/optabula/{name}-{uuid.uuid4().hex}"
+    root = qualified(spark, checkpoint_root(spark)).rstrip("/")
+    return f"{root}/optabula/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

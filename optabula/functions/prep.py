@@ -11,8 +11,8 @@ from .vectors import dot
 
 
 def label01(label: Column) -> Column:
-    """-1 becomes 0, any other label becomes 1."""
-    return F.when(label == -1, F.lit(0.0)).otherwise(F.lit(1.0))
+    """-1 becomes 0, any other label becomes 1; NULL and NaN are no labels and become NULL."""
+    return F.when(label == -1, F.lit(0.0)).when(label.isNotNull() & ~F.isnan(label), F.lit(1.0))
 
 
 def features_only(values: Column) -> Column:
@@ -40,8 +40,8 @@ def sign_fold(features: Column, label_pm: Column) -> Column:
 
 
 def label_by_model(features: Column, model: Sequence[float] | Column) -> Column:
-    """0 where x.m < 0, else 1."""
-    return F.when(dot(features, model) < 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    """0 where x.m < 0, else 1; NULL where x.m is no number."""
+    return sign_class(dot(features, model))
 
 
 def target_by_model(features: Column, model: Sequence[float] | Column) -> Column:
@@ -49,6 +49,11 @@ def target_by_model(features: Column, model: Sequence[float] | Column) -> Column
     return dot(features, model)
 
 
+def sign_class(margin: Column) -> Column:
+    """0 below zero, else 1; NULL for a NULL or NaN margin."""
+    return F.when(margin < 0, F.lit(0.0)).when(margin.isNotNull() & ~F.isnan(margin), F.lit(1.0))
+
+
 def training_rows(df: DataFrame, values: str = "values") -> DataFrame:
     """Raw records (label in the last slot) -> (features with intercept, label 0/1)."""
     raw = F.col(values)

@@ -36,16 +36,37 @@ def at(vector: Column, i: int) -> Column:
 
 
 def dot(vector: Column, weights: Sequence[float] | Column) -> Column:
-    """Scalar product with a fixed model (list of floats) or with another vector column."""
+    """Scalar product with a fixed model (list of floats) or with another vector column.
+
+    NULL for vectors of another length and for vectors with a NULL.
+    """
     if isinstance(weights, Column):
-        return total(F.zip_with(vector, weights, lambda a, b: a * b))
+        product = total(F.zip_with(vector, weights, lambda a, b: a * b))
+        return F.when(F.size(vector) == F.size(weights), product)
     if len(weights) > NARROW_WIDTH:
         return dot(vector, vector_literal(weights))
     terms = [at(vector, i) * float(w) for i, w in enumerate(weights)]
     product = terms[0]
     for term in terms[1:]:
         product = product + term
-    return product
+    return F.when(F.size(vector) == len(weights), product)
+
+
+def finite(value: Column) -> Column:
+    """True for numbers; false for NULL, NaN and infinity."""
+    return F.coalesce(F.abs(value) < float("inf"), F.lit(False))
+
+
+def checked(value: Column | str) -> Column:
+    """A result next to ``n_rows`` of ``rows_counted``, tied to that check: neither is pruned alone."""
+    return F.when(F.col("n_rows") >= 0, F.col(value) if isinstance(value, str) else value)
+
+
+def rows_counted(usable: Column, what: str) -> Column:
+    """Aggregate: the number of rows, an error if any of them is not usable."""
+    n = F.count(F.lit(1))
+    return F.when(F.count(F.when(usable, 1)) == n, n).otherwise(
+        F.raise_error(F.lit(f"a row is not {what}")).cast("long"))
 
 
 def total(vector: Column) -> Column:

@@ -38,6 +38,12 @@ def as_lists(matrix):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
 
 
+def checked_rows(x, y):
+    """Refuses NULL (read as NaN), NaN and infinite numbers: one of them shows in the sums."""
+    if not np.isfinite(x.sum() + y.sum()):
+        raise ValueError("a row is not finite, or lacks its label or target")
+
+
 def sigmoid(t):
     e = np.exp(-np.abs(t))
     return np.where(t >= 0, 1.0, e) / (1.0 + e)
@@ -64,6 +70,7 @@ def logistic_partials(candidates, with_gradient):
                 continue
             x = as_matrix(batch.column(0), d)
             y = batch.column(1).to_numpy(zero_copy_only=False)
+            checked_rows(x, y)
             sign = (1.0 - 2.0 * y)[:, None]
             loss, s = loss_and_sigmoid(sign * (x @ candidates.T))
             losses += loss.sum(axis=0)
@@ -114,6 +121,7 @@ def grouped_partials(chunk_sums, width, size, keyed):
                 continue
             a = as_matrix(batch.column(0), width)
             b = batch.column(1).to_numpy(zero_copy_only=False)
+            checked_rows(a, b)
             if keyed:
                 keys = batch.column(2).to_numpy(zero_copy_only=False)
                 order = np.argsort(keys, kind="stable")
@@ -240,6 +248,73 @@ def block_matrices(values, n_rows, n_cols):
         start += n * d
 
 
+def mirror_rows(model, c, block, pos):
+    """Grouped function: rows of a block -> rows mixed with their mirror, labelled by ``model``."""
+    d = len(model)
+
+    def run(rows):
+        place = rows[pos].to_numpy()
+        order = np.argsort(place)
+        n = len(order)
+        if not np.array_equal(place[order], np.arange(n)):
+            raise ValueError("the positions of a block are not 0 to n-1, each once")
+        x = as_matrix(rows["features"].combine_chunks(), d)[order]
+        label = np.where(x @ model < 0, -1.0, 1.0)
+        half = n // 2
+        mixed = x + c * x[::-1]
+        mixed[half:] = x[half:] + c * mixed[::-1][half:]  # rows behind the middle
+        if n % 2:
+            mixed[half] = (1.0 + c) * x[half]
+        mixed[-1] = x[-1]
+        mixed[:, -2], mixed[:, -1] = x[:, -2], label
+        return pa.Table.from_arrays(
+            [rows[block].take(pa.array(order)), pa.array(np.arange(n)), as_lists(mixed),
+             pa.array(label)], names=[block, pos, "features", "label"])
+
+    return run
+
+
+def fold_blocks():
+    """Column function body: rows of blocks with a last -1/1 label -> -y * (features, 1)."""
+
+    def run(values, n_rows, n_cols):
+        pieces = []
+        for block in block_matrices(values, n_rows, n_cols):
+            y = block[:, -1:]
+            if not np.isin(y, (-1.0, 1.0)).all():
+                raise ValueError("a block has a label that is not -1 or 1")
+            pieces.append((np.hstack([block[:, :-1], np.ones_like(y)]) * -y).ravel())
+        offsets = np.cumsum([0, *(p.size for p in pieces)]).astype(np.int32)
+        flat = np.concatenate(pieces) if pieces else np.empty(0)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    return run
+
+
+def checked_start(value, grad):
+    """Rows that are no numbers would pin a block to its start: they are an error."""
+    if not (np.isfinite(value) and np.isfinite(grad).all()):
+        raise ValueError("a block holds values that are not finite; run require_clean on the rows")
+
+
+def at_precision(value, slope):
+    """No step can gain more than the rounding of the value."""
+    return -slope <= 1e-10 * max(1.0, abs(value))
+
+
+def block_losses(models):
+    """Partition function: blocks -> one vector, the summed loss of every model."""
+
+    def run(batches):
+        total = np.zeros(len(models))
+        for batch in batches:
+            for folded in block_matrices(*batch.columns):
+                total += np.logaddexp(0.0, folded @ models.T).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([as_lists(total[None, :])], names=["partial"])
+
+    return run
+
+
 def augmented_logistic(folded, w, center, rho):
     """Value, gradient and sigmoids of sum softplus(D w) + rho/2 |w - center|^2, D sign-folded."""
     loss, s = loss_and_sigmoid(folded @ w)
@@ -248,13 +323,18 @@ def augmented_logistic(folded, w, center, rho):
 
 
 def newton_block(folded, start, center, rho, tol, max_iter=100):
-    """Damped Newton on one block; the quadratic term makes every Hessian definite."""
+    """Damped Newton on one block; the quadratic term makes every Hessian definite.
+
+    Returns (w, steps, gradient norm, solved): solved is within ``tol``, or at the precision
+    of the value.
+    """
     w = start.copy()
     value, grad, s = augmented_logistic(folded, w, center, rho)
+    checked_start(value, grad)
     for step in range(max_iter):
         size = float(np.linalg.norm(grad))
         if size <= tol:
-            return w, step, size
+            return w, step, size, True
         hessian = (folded * (s * (1.0 - s))[:, None]).T @ folded + rho * np.eye(len(w))
         direction = np.linalg.solve(hessian, -grad)
         slope, t = grad @ direction, 1.0
@@ -265,11 +345,12 @@ def newton_block(folded, start, center, rho, tol, max_iter=100):
                 break
             t *= 0.5
         else:
-            return w, step, size
+            return w, step, size, at_precision(value, slope)
         if np.linalg.norm(trial_grad) >= size and trial_value >= value:
-            return w, step, size
+            return w, step, size, at_precision(value, slope)
         w, value, grad, s = trial, trial_value, trial_grad, trial_s
-    return w, max_iter, float(np.linalg.norm(grad))
+    size = float(np.linalg.norm(grad))
+    return w, max_iter, size, size <= tol or at_precision(value, slope)
 
 
 def curvature_direction(grad, pairs):
@@ -288,13 +369,14 @@ def curvature_direction(grad, pairs):
 
 
 def quasi_newton_block(folded, start, center, rho, tol, memory=7, max_iter=500):
-    """Limited-memory quasi-Newton on one wide block."""
+    """Limited-memory quasi-Newton on one wide block; returns what ``newton_block`` does."""
     w, pairs = start.copy(), []
     value, grad, _ = augmented_logistic(folded, w, center, rho)
+    checked_start(value, grad)
     for step in range(max_iter):
         size = float(np.linalg.norm(grad))
         if size <= tol:
-            return w, step, size
+            return w, step, size, True
         direction = curvature_direction(grad, pairs)
         slope, t = grad @ direction, 1.0 if pairs else 1.0 / size
         while t > 1e-12:
@@ -304,12 +386,13 @@ def quasi_newton_block(folded, start, center, rho, tol, memory=7, max_iter=500):
                 break
             t *= 0.5
         else:
-            return w, step, size
+            return w, step, size, at_precision(value, slope)
         s, y = trial - w, trial_grad - grad
         if s @ y > 1e-16 * (y @ y):
             pairs = [*pairs, (s, y)][-memory:]
         w, value, grad = trial, trial_value, trial_grad
-    return w, max_iter, float(np.linalg.norm(grad))
+    size = float(np.linalg.norm(grad))
+    return w, max_iter, size, size <= tol or at_precision(value, slope)
 
 
 def solve_logistic_blocks(z, rho, tol, memory):
@@ -318,18 +401,21 @@ def solve_logistic_blocks(z, rho, tol, memory):
 
     def run(values, n_rows, n_cols, u, x):
         duals, starts = as_matrix(u, d), as_matrix(x, d)
-        models, steps, norms = np.empty_like(starts), [], []
+        models, steps, norms, solved = np.empty_like(starts), [], [], []
         for i, folded in enumerate(block_matrices(values, n_rows, n_cols)):
             center = z - duals[i]
             if d <= NEWTON_WIDTH:
-                models[i], n, g = newton_block(folded, starts[i], center, rho, tol)
+                models[i], n, g, done = newton_block(folded, starts[i], center, rho, tol)
             else:
-                models[i], n, g = quasi_newton_block(folded, starts[i], center, rho, tol, memory)
+                models[i], n, g, done = quasi_newton_block(
+                    folded, starts[i], center, rho, tol, memory)
             steps.append(n)
             norms.append(g)
+            solved.append(done)
         return pa.StructArray.from_arrays(
-            [as_lists(models), pa.array(steps, pa.int32()), pa.array(norms, pa.float64())],
-            names=["x", "steps", "grad_norm"],
+            [as_lists(models), pa.array(steps, pa.int32()), pa.array(norms, pa.float64()),
+             pa.array(solved, pa.bool_())],
+            names=["x", "steps", "grad_norm", "solved"],
         )
 
     return run
@@ -341,6 +427,8 @@ def solve_grams(d, rho):
     def run(ata, atb, v):
         left = as_matrix(ata, d * d).reshape(-1, d, d) + rho * np.eye(d)
         right = as_matrix(atb, d) + rho * as_matrix(v, d)
+        if not (np.isfinite(left).all() and np.isfinite(right).all()):
+            raise ValueError("a gram holds values that are not finite; check the rows")
         return as_lists(np.linalg.solve(left, right[:, :, None])[:, :, 0])
 
     return run

@@ -10,7 +10,6 @@ from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
 from ..cluster import check_shipped
-from ..functions.vectors import dot
 
 BLOCK_SCHEMA = "block_id long, n_rows int, n_cols int, values array<double>"
 
@@ -107,23 +106,23 @@ def multiply(blocks: DataFrame, matrix) -> DataFrame:
 
 
 def fold_blocks(rows: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
-    """Training rows (label 0/1) -> a ``values`` column of sign-folded rows, ready to block."""
+    """Training rows (label 0/1) -> a ``values`` column of sign-folded rows, ready to block.
+
+    Any other label, NULL included, is an error.
+    """
     return rows.selectExpr(
-        f"CASE WHEN {label} = 1 THEN transform({features}, v -> -v) ELSE {features} END AS values")
+        f"CASE WHEN {label} = 1 THEN transform({features}, v -> -v) WHEN {label} = 0 THEN {features} "
+        "ELSE raise_error('a label is not 0 or 1') END AS values")
 
 
 def fold_labeled_blocks(blocks: DataFrame) -> DataFrame:
-    """Raw blocks whose last column is a -1/1 label -> sign-folded blocks with intercept."""
-    width = F.col("n_cols")
-
-    def folded(row):
-        values = F.slice("values", row * width + 1, width)
-        y = F.when(F.element_at(values, -1) == 1.0, F.lit(-1.0)).otherwise(F.lit(1.0))
-        kept = F.concat(F.slice(values, F.lit(1), width - 1), F.array(F.lit(1.0)))
-        return F.transform(kept, lambda v: v * y)
+    """Raw blocks whose last column is a -1/1 label -> sign-folded blocks with intercept.
 
-    rows = F.transform(F.sequence(F.lit(0), F.col("n_rows") - 1), folded)
-    return blocks.select("block_id", "n_rows", "n_cols", F.flatten(rows).alias("values"))
+    One multiplication per block; any other label is an error.
+    """
+    folded = arrow_udf(kernels.fold_blocks(), "array<double>")
+    return blocks.select(
+        "block_id", "n_rows", "n_cols", folded("values", "n_rows", "n_cols").alias("values"))
 
 
 def block_quality(df: DataFrame, by: str = "block_id", label: str = "label",
@@ -144,27 +143,14 @@ def mirror_noise(df: DataFrame, model, height: int, block: str = "block_id", pos
     The label is the sign of the raw row under ``model`` (0 counts as 1). Features then get c
     times the mirror row n-1-pos, rows behind the middle seeing an already noised mirror;
     the last feature stays raw, and so does row n-1. The label also takes the last slot.
-    A self equi-join on (block, mirror position). Positions are unique and below ``height``
-    (checked), so no block is larger than that and no join key is hot.
+    One shuffle by block. Positions of a block are 0 .. n-1 and below ``height``, so that a block
+    fits a task; missing or repeated positions are an error.
     """
     position = F.when(F.col(pos) < height, F.col(pos)).otherwise(
         F.raise_error(F.lit(f"position not below the block height {height}")).cast("long"))
-    placed = df.select(block, position.alias(pos), features)
-    sizes = placed.groupBy(block).agg(F.count(F.lit(1)).alias("n"))
-    other = placed.select(block, F.col(pos).alias("mirror"), F.col(features).alias("other"))
-    x, m, n = F.col(pos), F.col("mirror"), F.col("n")
-    joined = (
-        placed.join(sizes, block).withColumn("mirror", n - 1 - x).join(other, [block, "mirror"])
-    )
-    kept = (x == n - 1) | (x == m)
-    own = F.when(x == n - 1, 1.0).when(x < m, 1.0).when(x == m, 1.0 + c).otherwise(1.0 + c * c)
-    mixed = F.when(kept, 0.0).otherwise(c)
-    pairs = F.arrays_zip(F.col(features).alias("a"), F.col("other").alias("b"))
-    noised = F.transform(
-        F.slice(pairs, F.lit(1), F.size(features) - 2), lambda e: own * e["a"] + mixed * e["b"])
-    label = F.when(dot(F.col(features), list(model)) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    last_feature = F.element_at(features, -2)
-    return joined.select(
-        block, pos, F.concat(noised, F.array(last_feature, label)).alias("features"),
-        label.alias("label"),
-    )
+    placed = df.select(block, position.cast("long").alias(pos),
+                       F.col(features).cast("array<double>").alias("features"))
+    kind = placed.schema[block].dataType.simpleString()
+    return placed.groupBy(block).applyInArrow(
+        kernels.mirror_rows(np.asarray(model, dtype=float), c, block, pos),
+        f"{block} {kind}, {pos} long, features array<double>, label double")

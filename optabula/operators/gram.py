@@ -9,7 +9,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
 from ..functions.prox import sigmoid
-from ..functions.vectors import at, dot
+from ..functions.vectors import at, checked, dot, finite, rows_counted
 from .sums import grouped_sums
 
 # Widths up to this one sum the upper triangle with generated columns.
@@ -44,16 +44,18 @@ def gram(df: DataFrame, width: int, by: str | None = None, features: str = "feat
     if weights_at is not None:
         s = sigmoid(dot(x, list(weights_at)))
         weight = s * (F.lit(1.0) - s)
+    all_of = b + F.when(F.size(x) == width, sum((at(x, i) for i in range(width)), F.lit(0.0)))
     rows = df.select(
         *keys, *[at(x, i).alias(f"x{i}") for i in range(width)],
-        b.alias("b"), weight.alias("weight"),
+        b.alias("b"), weight.alias("weight"), finite(all_of).alias("usable"),
     )
     product = {
         (i, j): F.sum(F.col("weight") * F.col(f"x{i}") * F.col(f"x{j}"))
         for i in range(width) for j in range(i, width)
     }
     sums = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        rows_counted(F.col("usable"), f"a complete vector of {width} features with a target")
+        .alias("n_rows"),
         *[v.alias(f"s{i}_{j}") for (i, j), v in product.items()],
         *[F.sum(F.col("weight") * F.col(f"x{i}") * F.col("b")).alias(f"t{i}")
           for i in range(width)],
@@ -61,8 +63,8 @@ def gram(df: DataFrame, width: int, by: str | None = None, features: str = "feat
     )
     ata = [f"s{min(i, j)}_{max(i, j)}" for i in range(width) for j in range(width)]
     return sums.select(
-        *keys, "n_rows", F.lit(width).alias("n_cols"), F.array(*ata).alias("ata"),
-        F.array(*[f"t{i}" for i in range(width)]).alias("atb"), "btb",
+        *keys, "n_rows", F.lit(width).alias("n_cols"), checked(F.array(*ata)).alias("ata"),
+        checked(F.array(*[f"t{i}" for i in range(width)])).alias("atb"), checked("btb").alias("btb"),
     )
 
 
@@ -95,11 +97,12 @@ def total_gram(grams: DataFrame, width: int) -> DataFrame:
 def gram_entries(grams: DataFrame, *keys: str) -> DataFrame:
     """Vectors of a gram table -> (keys, i, j, value); j = n_cols stands for A'b."""
     d = F.col("n_cols")
-    square = grams.select(*keys, d, F.posexplode("ata").alias("p", "value")).select(
-        *keys, F.floor(F.col("p") / d).cast("int").alias("i"), (F.col("p") % d).alias("j"), "value")
-    right = grams.select(*keys, d, F.posexplode("atb").alias("i", "value")).select(
-        *keys, "i", d.alias("j"), "value")
-    return square.unionByName(right)
+    p = F.col("p")
+    entries = grams.select(*keys, d, F.posexplode(F.concat("ata", "atb")).alias("p", "value"))
+    square = p < d * d
+    return entries.select(
+        *keys, F.when(square, F.floor(p / d)).otherwise(p - d * d).cast("int").alias("i"),
+        F.when(square, p % d).otherwise(d).alias("j"), "value")
 
 
 def inverse_hessian_diag(df: DataFrame, w, rho: float, features: str = "features") -> DataFrame:

@@ -11,13 +11,23 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import kernels
 from ..cluster import check_shipped
 from ..functions.prox import log1p_exp, sigmoid
-from ..functions.vectors import NARROW_WIDTH, at, dot, parameter_sql, vector_literal
+from ..functions.vectors import (
+    NARROW_WIDTH,
+    at,
+    checked,
+    dot,
+    finite,
+    parameter_sql,
+    rows_counted,
+    vector_literal,
+)
 from .sums import PARTIAL, collect_positions, grouped_sums, sum_by_position, sum_partials
 
 # Aggregation buffers that still fit one whole-stage codegen stage.
@@ -69,9 +79,10 @@ def _narrow_sums(df, models, with_gradient, features, label):
         sums += [
             f"sum((1D / (1D + exp(-m{j})) - y) * x[{i}])" for j in range(k) for i in range(d)
         ]
-    problem = f"raise_error('a row is no complete vector of {d} features with a label')"
+    problem = f"raise_error('a row is no complete, finite vector of {d} features with a label')"
     count = (
-        f"CASE WHEN count(m0 + y) = count(1) THEN CAST(count(1) AS DOUBLE) ELSE {problem} END"
+        "CASE WHEN count(CASE WHEN abs(m0 + y) < double('inf') THEN 1 END) = count(1) "
+        f"THEN CAST(count(1) AS DOUBLE) ELSE {problem} END"
     )
     return rows.selectExpr(f"array({', '.join([*sums, count])}) AS partial")
 
@@ -99,14 +110,19 @@ def logistic_pass(df: DataFrame, models, with_gradient: bool = True, features: s
     """Runs one pass and brings the d-sized sums to the driver."""
     models, narrow = _candidates(models, with_gradient, narrow)
     k, d = models.shape
-    if narrow:
-        found = _narrow_sums(df, models, with_gradient, features, label).first()["partial"]
-        sums = np.array([np.nan if v is None else v for v in found])
-    else:
-        body = kernels.logistic_partials(models, with_gradient)
-        partials = df.select(features, label).mapInArrow(body, PARTIAL)
-        width = k * (d + 1) + 1 if with_gradient else k + 1
-        sums = collect_positions(sum_by_position(partials, "partial"), width)
+    try:
+        if narrow:
+            found = _narrow_sums(df, models, with_gradient, features, label).first()["partial"]
+            sums = np.array([np.nan if v is None else v for v in found])
+        else:
+            body = kernels.logistic_partials(models, with_gradient)
+            partials = df.select(features, label).mapInArrow(body, PARTIAL)
+            width = k * (d + 1) + 1 if with_gradient else k + 1
+            sums = collect_positions(sum_by_position(partials, "partial"), width)
+    except PySparkException as error:
+        if "finite" in str(error):
+            raise ValueError("a row is not complete and finite; run require_clean on the rows") from error
+        raise
     if not sums[-1]:
         raise ValueError("no training rows")
     if not np.isfinite(sums).all():
@@ -115,11 +131,28 @@ def logistic_pass(df: DataFrame, models, with_gradient: bool = True, features: s
     return Pass(int(sums[-1]), sums[:k], grad)
 
 
+def batch_of(key: str, fraction: float, seed: int, iteration: int | str) -> str:
+    """SQL condition that draws about ``fraction`` of the rows, by an integer key.
+
+    Squaring modulo a prime, in whole numbers that every engine computes alike.
+    """
+    prime = 2_147_483_647
+    x = f"((CAST(({key}) AS BIGINT) % {prime} + {prime}) % {prime})"
+    for term in (f"{int(seed)} * 7919 + ({iteration}) * 104729 + 1", "12345"):
+        x = f"(({x} * {x} + {x} * 48271 + {term}) % {prime})"
+    return f"{x} < {int(fraction * prime)}"
+
+
 def logistic_value_grad(df: DataFrame, w: Sequence[float], batch_fraction: float = 1.0,
-                        seed: int = 42, **columns) -> DataFrame:
-    """Mean logistic loss and gradient at ``w``: one row (n_rows, loss, gradient)."""
+                        seed: int = 42, key: str | None = None, **columns) -> DataFrame:
+    """Mean logistic loss and gradient at ``w``: one row (n_rows, loss, gradient).
+
+    ``batch_fraction`` below 1 takes the rows that ``batch_of`` draws by ``key``.
+    """
     d = len(w)
-    sampled = df if batch_fraction >= 1.0 else df.sample(batch_fraction, seed)
+    if batch_fraction < 1.0 and key is None:
+        raise ValueError("a batch needs key, an integer expression that tells rows apart")
+    sampled = df if batch_fraction >= 1.0 else df.where(batch_of(key, batch_fraction, seed, 0))
     sums = F.col("partial")
     n = F.element_at(sums, -1)
     return logistic_sums(sampled, [w], **columns).select(
@@ -152,12 +185,13 @@ def augmented_value_grad(df: DataFrame, w: Sequence[float], u: Sequence[float],
     d = len(w)
     keys = (by,) if by else ()
     x, y = F.col(features), F.col(label)
-    n = F.count(F.lit(1))
     if d <= NARROW_WIDTH:
         rows = df.select(*keys, x.alias("x"), y.alias("y"), dot(x, list(w)).alias("m"))
         residual = sigmoid(F.col("m")) - F.col("y")
+        usable = finite(F.col("m") + F.col("y"))
         sums = rows.groupBy(*keys).agg(
-            n.alias("n_rows"), F.sum(row_loss(F.col("m"), F.col("y"))).alias("loss"),
+            rows_counted(usable, f"a complete vector of {d} features with a label").alias("n_rows"),
+            F.sum(row_loss(F.col("m"), F.col("y"))).alias("loss"),
             F.array(*[F.sum(residual * at(F.col("x"), i)) for i in range(d)]).alias("g"),
         )
     else:
@@ -169,8 +203,8 @@ def augmented_value_grad(df: DataFrame, w: Sequence[float], u: Sequence[float],
     penalty = vector_literal(rho * shift)
     return sums.select(
         *keys, "n_rows",
-        (F.col("loss") + times * F.lit(float(rho / 2 * (shift @ shift)))).alias("value"),
-        F.zip_with("g", penalty, lambda g, p: g + times * p).alias("gradient"),
+        checked(F.col("loss") + times * F.lit(float(rho / 2 * (shift @ shift)))).alias("value"),
+        checked(F.zip_with("g", penalty, lambda g, p: g + times * p)).alias("gradient"),
     )
 
 
@@ -180,9 +214,10 @@ def least_squares_value(df: DataFrame, w: Sequence[float], by: str | None = None
     residual = dot(F.col(features), list(w)) - F.col(target)
     keys = (by,) if by else ()
     sse = F.sum(residual * residual)
+    n = rows_counted(finite(residual), f"a complete vector of {len(w)} features with a target")
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"), sse.alias("sse"), (sse * 0.5).alias("half_sse")
-    )
+        n.alias("n_rows"), sse.alias("sum")).select(
+        *keys, "n_rows", checked("sum").alias("sse"), (checked("sum") * 0.5).alias("half_sse"))
 
 
 def total_value(df: DataFrame, objective: str, w: Sequence[float], by: str = "block_id",
@@ -190,13 +225,15 @@ def total_value(df: DataFrame, objective: str, w: Sequence[float], by: str = "bl
     """Value of a function that is a sum over blocks: one row (n_blocks, value)."""
     if objective == "logistic":
         x, y = columns.get("features", "features"), columns.get("label", "label")
-        value = F.sum(row_loss(dot(F.col(x), list(w)), F.col(y)))
-        parts = df.groupBy(by).agg(value.alias("value"))
+        margin = dot(F.col(x), list(w))
+        n = rows_counted(finite(margin + F.col(y)), f"a complete vector of {len(w)} features with a label")
+        parts = df.groupBy(by).agg(
+            n.alias("n_rows"), F.sum(row_loss(margin, F.col(y))).alias("value"))
     elif objective == "least_squares":
         parts = least_squares_value(df, w, by, **columns).withColumnRenamed("sse", "value")
     else:
         raise ValueError(f"unknown objective {objective!r}")
-    return parts.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum("value").alias("value"))
+    return parts.agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(checked("value")).alias("value"))
 
 
 def pseudo_gradient(models: DataFrame, weight: str = "w", gradient: str = "g",

@@ -8,25 +8,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cluster import MAX_SHIPPED_BYTES
+from ..functions.prep import sign_class
 from ..functions.prox import sigmoid
 from ..functions.vectors import dot, vector_literal
 from .objectives import logistic_pass
 
-# Models evaluated by one scan when they are wide.
+# Most models evaluated by one scan; fewer where their values pass the bound on what is shipped.
 MODELS_PER_PASS = 256
 
 
 def score(df: DataFrame, w: Sequence[float], features: str = "features") -> DataFrame:
-    """Adds probability and prediction (0/1) of a model."""
+    """Adds probability and prediction (0/1) of a model; both NULL where the margin is no number."""
     margin = dot(F.col(features), list(w))
     return df.withColumns({
-        "probability": sigmoid(margin),
-        "prediction": F.when(margin < 0, F.lit(0.0)).otherwise(F.lit(1.0)),
+        "probability": F.when(~F.isnan(margin), sigmoid(margin)),
+        "prediction": sign_class(margin),
     })
 
 
 def accuracy(scored: DataFrame, label: str = "label") -> DataFrame:
-    """One row (n_rows, accuracy)."""
+    """One row (n_rows, accuracy); a row without prediction or label is no hit."""
     hit = F.when(F.col("prediction") == F.col(label), 1.0).otherwise(0.0)
     return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(hit).alias("accuracy"))
 
@@ -35,10 +37,11 @@ def evaluate_models(rows: DataFrame, models: Sequence[Sequence[float]],
                     features: str = "features", label: str = "label") -> np.ndarray:
     """Mean logistic loss of every model; many models share one scan."""
     models = np.atleast_2d(np.asarray(models, dtype=float))
+    step = max(1, min(MODELS_PER_PASS, MAX_SHIPPED_BYTES // (8 * models.shape[1])))
     found = [
-        logistic_pass(rows, models[i:i + MODELS_PER_PASS], with_gradient=False,
+        logistic_pass(rows, models[i:i + step], with_gradient=False,
                       features=features, label=label).mean_loss
-        for i in range(0, len(models), MODELS_PER_PASS)
+        for i in range(0, len(models), step)
     ]
     return np.concatenate(found)
 

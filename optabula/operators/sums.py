@@ -76,7 +76,10 @@ def cut_and_sum(df: DataFrame, packed: str, width: int) -> tuple[DataFrame, np.n
         seen, *[F.expr(f"sum(packed[{i}]) AS s{i}") for i in range(width)])
     kept = cut_lineage(observed).drop("packed")
     found = seen.get
-    return kept, np.array([found[f"s{i}"] or 0.0 for i in range(width)])
+    sums = [found[f"s{i}"] for i in range(width)]
+    if any(v is None or v != v for v in sums):
+        raise ValueError("a sum over blocks is not a number")
+    return kept, np.array(sums)
 
 
 def collect_positions(sums: DataFrame, width: int) -> np.ndarray:

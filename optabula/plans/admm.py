@@ -22,12 +22,13 @@ from .. import kernels
 from ..cluster import check_shipped, cut_lineage, scan_partitions
 from ..functions.vectors import array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
-from ..operators.sums import cut_and_sum
+from ..operators.gram import total_gram
+from ..operators.sums import PARTIAL, collect_positions, cut_and_sum, sum_by_position
 from .passes import infer_width
 from .penalties import Penalty, Prox, prox_function
 from .trace import Fit, Trace
 
-SOLVE_SCHEMA = "struct<x:array<double>,steps:int,grad_norm:double>"
+SOLVE_SCHEMA = "struct<x:array<double>,steps:int,grad_norm:double,solved:boolean>"
 
 
 # Steps on the state table --------------------------------------------------------------
@@ -80,14 +81,15 @@ def least_squares_solution(z: Sequence[float], rho: float, inner_tol: float = 0.
     """Column of x-updates for rows holding a gram and its state."""
     center = F.expr(f"zip_with({array_sql(z)}, u, (a, b) -> a - b)")
     x = arrow_udf(kernels.solve_grams(len(z), rho), "array<double>")("ata", "atb", center)
-    return F.struct(x.alias("x"), F.lit(1).alias("steps"), F.lit(0.0).alias("grad_norm"))
+    return F.struct(x.alias("x"), F.lit(1).alias("steps"), F.lit(0.0).alias("grad_norm"),
+                    F.lit(True).alias("solved"))
 
 
 def admm_local_solve(blocks: DataFrame, state: DataFrame, z: Sequence[float], rho: float,
                      inner_tol: float = 1e-8,
                      solution: Callable[..., Column] = logistic_solution,
                      memory: int = 7) -> DataFrame:
-    """(block_id, u, x, r2, steps, grad_norm): argmin of loss + rho/2 |x + u - z|^2 per block.
+    """(block_id, u, x, r2, steps, grad_norm, solved): argmin of loss + rho/2 |x + u - z|^2 per block.
 
     The merge join keeps the blocks' partitioning and order; only the state moves.
     """
@@ -96,7 +98,7 @@ def admm_local_solve(blocks: DataFrame, state: DataFrame, z: Sequence[float], rh
     solved = blocks.join(state.hint("merge"), "block_id").select(
         "block_id", "u", "r2", solution(z, rho, inner_tol, memory).alias("solved"))
     return solved.select(
-        "block_id", "u", "solved.x", "r2", "solved.steps", "solved.grad_norm")
+        "block_id", "u", "solved.x", "r2", "solved.steps", "solved.grad_norm", "solved.solved")
 
 
 def admm_relax(state: DataFrame, z: Sequence[float], alpha: float) -> DataFrame:
@@ -108,7 +110,7 @@ def admm_relax(state: DataFrame, z: Sequence[float], alpha: float) -> DataFrame:
 
 
 def admm_packed(z: Sequence[float]) -> str:
-    """SQL vector per block: [u, xhat, x - z, |x - z|^2, r2, 1, steps].
+    """SQL vector per block: [u, xhat, x - z, |x - z|^2, r2, 1, steps, unsolved].
 
     Its sum over blocks is all a consensus step needs. Differences to the previous z are
     summed instead of x itself, so the residual at the new z follows without cancellation.
@@ -116,7 +118,7 @@ def admm_packed(z: Sequence[float]) -> str:
     gap = f"zip_with(x, {array_sql(z)}, (a, b) -> a - b)"
     return (
         f"concat(u, xhat, {gap}, array(aggregate({gap}, 0D, (s, v) -> s + v * v), "
-        "coalesce(r2, 0D), 1D, CAST(steps AS DOUBLE)))")
+        "coalesce(r2, 0D), 1D, CAST(steps AS DOUBLE), CAST(NOT solved AS DOUBLE)))")
 
 
 def admm_consensus(state: DataFrame, key: str | None = None) -> DataFrame:
@@ -184,12 +186,15 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
                    reltol: float = 1e-10, max_iter: int = 100, prox: Prox = Penalty(),
                    residual: str = "current", inner_tol: float = 1e-8,
                    inner_schedule: bool = False, memory: int = 7, rescale_eps: float = 1e-10,
-                   run_id: str = "admm", method: str = "admm",
-                   trace: Trace | None = None) -> Fit:
+                   run_id: str = "admm", method: str = "admm", trace: Trace | None = None,
+                   losses: Callable[[DataFrame, np.ndarray], np.ndarray] | None = None) -> Fit:
     """The loop shared by all local problems; ``blocks`` must be held and keyed by block_id.
 
     ``residual="lagged"`` measures the old x against the old z, one iteration late.
     ``inner_schedule`` solves blocks to max(residuals of the last iteration, inner_tol).
+    The fit has converged when the residuals are within their tolerances and every block of that
+    iteration was solved; the trace counts unsolved blocks. Blocks with values that are not finite
+    raise an error.
     """
     if residual not in ("current", "lagged"):
         raise ValueError(f"unknown residual {residual!r}")
@@ -202,10 +207,10 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
     for k in range(1, max_iter + 1):
         prepared = admm_rescale(admm_dual_update(state, z), state_rho, rho, rescale_eps)
         solved = admm_local_solve(blocks, prepared, z, rho, tol, solution, memory)
-        state, sums = cut_and_sum(admm_relax(solved, z, alpha), admm_packed(z), 3 * d + 4)
+        state, sums = cut_and_sum(admm_relax(solved, z, alpha), admm_packed(z), 3 * d + 5)
         state_rho = rho
         u, x, gap = sums[:d] / n_blocks, sums[d:2 * d] / n_blocks, sums[2 * d:3 * d]
-        gap2, lagged2, seen, steps = sums[3 * d:]
+        gap2, lagged2, seen, steps, unsolved = sums[3 * d:]
         if int(seen) != n_blocks:
             raise RuntimeError(f"{int(seen)} of {n_blocks} blocks answered: block ids changed")
         z_new = apply_prox(x + u, n_blocks * rho / n_rows) + 0.0  # no -0.0
@@ -220,22 +225,48 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
         dual_tol = float(np.sqrt(d) * abstol + next_rho * reltol * np.linalg.norm(u))
         trace.add(
             k, z_new, n_eval=int(steps), rho=next_rho, dual_residual=dual, dual_tol=dual_tol,
-            primal_residual=primal, primal_tol=primal_tol, inner_tol=tol)
+            primal_residual=primal, primal_tol=primal_tol, inner_tol=tol,
+            unsolved_blocks=unsolved)
         z, rho = z_new, next_rho
         if inner_schedule:
             tol = max(dual + primal, inner_tol)
-        if primal <= primal_tol and dual <= dual_tol:
+        if primal <= primal_tol and dual <= dual_tol and not unsolved:
             converged = True
             break
-    return Fit(blocks.sparkSession, z, trace, converged)
+    if losses is not None and trace.rows:
+        # One more pass over the blocks gives the objective of every iterate.
+        models = np.array([r["model"] for r in trace.rows])
+        for row, w, loss in zip(trace.rows, models, losses(blocks, models) / n_rows):
+            extra = prox.value(w) if isinstance(prox, Penalty) else 0.0
+            row["objective"] = float(loss + extra)
+    return Fit(blocks.sparkSession, z, trace, converged,
+               trace.rows[-1]["objective"] if trace.rows else None,
+               stop_reason="residuals" if converged else "iterations")
+
+
+def logistic_losses(blocks: DataFrame, models: np.ndarray) -> np.ndarray:
+    """Summed logistic loss of every model over sign-folded blocks."""
+    check_shipped(models.size, "the iterates")
+    partials = blocks.select("values", "n_rows", "n_cols").mapInArrow(
+        kernels.block_losses(models), PARTIAL)
+    return collect_positions(sum_by_position(partials, "partial"), len(models))
+
+
+def least_squares_losses(grams: DataFrame, models: np.ndarray) -> np.ndarray:
+    """Half the summed squared residuals of every model, from the total gram."""
+    d = models.shape[1]
+    total = total_gram(grams, d).first()
+    ata, atb = np.array(total["ata"]).reshape(d, d), np.array(total["atb"])
+    return 0.5 * (np.einsum("ki,ij,kj->k", models, ata, models) - 2.0 * models @ atb + total["btb"])
 
 
 @contextmanager
 def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bool = False):
     """Hash-partitions and sorts blocks by id, once, and keeps them (memory, then disk).
 
-    The number of partitions defaults to spark.sql.shuffle.partitions, or to the scan's
-    partitions (at least one per core) where the blocks come from fewer.
+    The number of partitions defaults to the scan's (at least one per core), so that a task
+    sorts about one input split; where the rows were shuffled before, to
+    spark.sql.shuffle.partitions.
 
     ``durable`` writes them to the shared checkpoint folder instead. Use it when the rows
     below the blocks come in no reproducible order (after a shuffle, say): a lost cached
@@ -247,7 +278,7 @@ def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bo
         scanned = scan_partitions(blocks)
         if scanned is not None:
             cores = spark.sparkContext.defaultParallelism
-            partitions = min(partitions, max(cores, scanned))
+            partitions = max(cores, scanned)
     placed = blocks.repartition(partitions, "block_id").sortWithinPartitions("block_id")
     if durable:
         yield cut_lineage(placed)
@@ -266,7 +297,8 @@ def admm_logistic(blocks: DataFrame, partitions: int | None = None, durable: boo
     with co_partitioned(blocks, partitions, durable) as held:
         n_blocks, n_rows, d = block_totals(held)
         return consensus_admm(
-            held, logistic_solution, d, n_rows, n_blocks, trace=trace, **options)
+            held, logistic_solution, d, n_rows, n_blocks, trace=trace, losses=logistic_losses,
+            **options)
 
 
 def admm_logistic_rows(rows: DataFrame, height: int = 4096, features: str = "features",
@@ -290,4 +322,4 @@ def admm_least_squares(grams: DataFrame, partitions: int | None = None, durable:
         options.setdefault("rho", n_rows / n_blocks)
         return consensus_admm(
             held, least_squares_solution, d, n_rows, n_blocks, trace=trace,
-            rescale_eps=rescale_eps, **options)
+            rescale_eps=rescale_eps, losses=least_squares_losses, **options)

@@ -7,7 +7,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame
 
 from ..sources.tables import to_ml_frame
-from .passes import infer_width
+from .passes import held, infer_width
 from .trace import Fit, Trace
 
 
@@ -27,11 +27,15 @@ def ml_logistic(df: DataFrame, reg: float | None = None, alpha: float = 1.0, max
         aggregationDepth=aggregation_depth,
     )
     trace = Trace(run_id, "ml_logistic")
-    frame = to_ml_frame(df, features, label, drop_intercept=True)
-    trace.ready()
-    fitted = estimator.fit(frame)
+    with held(df, features, label, True) as rows:
+        frame = to_ml_frame(rows, features, label, drop_intercept=True)
+        trace.ready()
+        fitted = estimator.fit(frame)
     weights = np.append(fitted.coefficients.toArray(), fitted.intercept)
     history = list(fitted.summary.objectiveHistory)
     for k, value in enumerate(history):
-        trace.add(k, weights if k == len(history) - 1 else [], value)
-    return Fit(df.sparkSession, weights, trace, len(history) <= max_iter, history[-1])
+        # spark.ml tells the objective of each iteration, but neither its model nor its time.
+        trace.add(k, weights if k == len(history) - 1 else None, value, timed=k == len(history) - 1)
+    done = len(history) <= max_iter
+    return Fit(df.sparkSession, weights, trace, done, history[-1],
+               stop_reason="spark.ml" if done else "iterations")

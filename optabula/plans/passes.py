@@ -25,12 +25,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def held(df: DataFrame, features: str, label: str, cache: bool = True):
+def held(df: DataFrame, features: str, label: str, cache: bool = True, *others: str):
     """The training columns, kept in memory (then on disk) for the length of an iterative fit.
 
     Rows the caller already caches are used as they are.
     """
-    rows = df.select(features, label)
+    rows = df.select(features, label, *others)
     if not cache or df.storageLevel.useMemory or df.storageLevel.useDisk:
         yield rows
         return

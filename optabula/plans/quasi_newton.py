@@ -52,12 +52,12 @@ def _minimize(df, l1, m, tol, max_iter, w0, features, label, cache, run_id, meth
         trace.ready()
         loss, grad = objective.one(w)
         value = loss + np.abs(l1 * w).sum()
-        pairs, converged, counted = [], False, 0
+        pairs, reason, counted = [], "iterations", 0
         for k in range(1, max_iter + 1):
             slope = pseudo_gradient(w, grad, l1) if orthant else grad
             size = np.linalg.norm(slope)
             if size <= tol * max(1.0, np.linalg.norm(w)):
-                converged = True
+                reason = "gradient"
                 break
             direction = curvature_direction(slope, pairs)
             if orthant:
@@ -80,7 +80,7 @@ def _minimize(df, l1, m, tol, max_iter, w0, features, label, cache, run_id, meth
             shrink = 0.1 if orthant and k == 1 else 0.5
             found = _search(objective, moved, first, shrink, accept)
             if found is None:
-                converged = True  # no descent left at machine precision
+                reason = "precision"  # no descent left
                 break
             trial, loss, trial_grad = found
             pairs = _remember(pairs, trial - w, trial_grad - grad, m)
@@ -90,9 +90,13 @@ def _minimize(df, l1, m, tol, max_iter, w0, features, label, cache, run_id, meth
             trace.add(k, w, value, n_eval=objective.passes - counted, inner_tol=tol)
             counted = objective.passes
             if stalled:
-                converged = True
+                reason = "precision"
                 break
-    return Fit(spark, w, trace, converged, value)
+        else:
+            slope = pseudo_gradient(w, grad, l1) if orthant else grad
+            if np.linalg.norm(slope) <= tol * max(1.0, np.linalg.norm(w)):
+                reason = "gradient"
+    return Fit(spark, w, trace, reason == "gradient", value, stop_reason=reason)
 
 
 def lbfgs(df: DataFrame, m: int = 20, tol: float = 1e-9, max_iter: int = 1000, w0=None,

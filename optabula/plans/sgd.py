@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators.objectives import logistic_pass
+from ..operators.objectives import batch_of, logistic_pass
 from .passes import held, infer_width, penalized_mask
 from .trace import Fit, Trace
 
@@ -17,14 +18,19 @@ def _soft(v, t):
 
 
 def sgd_grid(df: DataFrame, lams: Sequence[float], step: float | None = None, iters: int = 600,
-             fraction: float = 1.0, seed: int = 42, w0=None, features: str = "features",
+             fraction: float = 1.0, seed: int = 42, key: str | None = None, w0=None, features: str = "features",
              label: str = "label", cache: bool = True, run_ids: Sequence[str] | None = None,
              penalize_intercept_in_value: bool = False) -> list[Fit]:
     """One fit per penalty weight, all advanced by the same scan in every iteration.
 
     The recorded objective of iteration k is the batch loss at the incoming model plus the
-    penalty value of the incoming model.
+    penalty value of the incoming model. A fraction below 1 takes, in iteration k, the rows that
+    ``batch_of`` draws by ``key``, an integer SQL expression that tells rows apart: the same
+    batches for any partitioning and on any engine. The fit ends after ``iters`` iterations; there
+    is no test of convergence.
     """
+    if fraction < 1.0 and key is None:
+        raise ValueError("mini-batches need key, an integer expression that tells rows apart")
     d = infer_width(df, features)
     lams = np.asarray(lams, dtype=float)
     step = 0.3 * np.sqrt(d) if step is None else step
@@ -34,11 +40,13 @@ def sgd_grid(df: DataFrame, lams: Sequence[float], step: float | None = None, it
     names = run_ids or [f"sgd-lam={lam:g}" for lam in lams]
     traces = [Trace(name, "sgd") for name in names]
     objectives = np.full(len(lams), np.nan)
-    with held(df, features, label, cache) as rows:
+    keyed = df if key is None else df.withColumn("batch_key", F.expr(key))
+    with held(keyed, features, label, cache, *(["batch_key"] if key else [])) as rows:
         for trace in traces:
             trace.ready()
         for k in range(1, iters + 1):
-            batch = rows if fraction >= 1.0 else rows.sample(fraction, seed + k)
+            batch = rows if fraction >= 1.0 else rows.where(
+                batch_of("batch_key", fraction, seed, k))
             found = logistic_pass(batch, models, features=features, label=label)
             objectives = found.mean_loss + lams * (np.abs(models) * in_value).sum(axis=1)
             size = step / np.sqrt(k)
@@ -48,7 +56,8 @@ def sgd_grid(df: DataFrame, lams: Sequence[float], step: float | None = None, it
                 trace.add(k, w, value)
     spark = df.sparkSession
     return [
-        Fit(spark, w, trace, True, value) for w, trace, value in zip(models, traces, objectives)
+        Fit(spark, w, trace, False, value, stop_reason="iterations")
+        for w, trace, value in zip(models, traces, objectives)
     ]
 
 

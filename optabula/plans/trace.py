@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 TRACE_SCHEMA = """
     run_id string, method string, iteration int, n_eval int, elapsed_seconds double,
     iter_seconds double, rho double, dual_residual double, dual_tol double,
-    primal_residual double, primal_tol double, inner_tol double, objective double,
+    primal_residual double, primal_tol double, inner_tol double, unsolved_blocks double,
+    objective double,
     model array<double>
 """
 SUMMARY_SCHEMA = """
     run_id string, method string, init_seconds double, total_seconds double,
-    iterations int, n_eval int, converged boolean, objective double,
+    iterations int, n_eval int, converged boolean, stop_reason string, objective double,
     expected array<double>, final array<double>
 """
 _ORDER = [part.split()[0] for part in TRACE_SCHEMA.split(",")]
@@ -37,14 +38,17 @@ class Trace:
         """Marks the end of initialization."""
         self.init_seconds = time.perf_counter() - self.start
 
-    def add(self, iteration: int, model, objective=None, n_eval: int = 1, **values) -> None:
+    def add(self, iteration: int, model, objective=None, n_eval: int = 1, timed: bool = True,
+            **values) -> None:
+        """Adds a row; ``model=None`` and ``timed=False`` leave what is not known NULL."""
         elapsed = time.perf_counter() - self.start - self.init_seconds
-        before = self.rows[-1]["elapsed_seconds"] if self.rows else 0.0
+        before = max((r["elapsed_seconds"] or 0.0 for r in self.rows[-1:]), default=0.0)
         row = {
             "run_id": self.run_id, "method": self.method, "iteration": iteration,
-            "n_eval": n_eval, "elapsed_seconds": elapsed, "iter_seconds": elapsed - before,
+            "n_eval": n_eval, "elapsed_seconds": elapsed if timed else None,
+            "iter_seconds": elapsed - before if timed else None,
             "objective": None if objective is None else float(objective),
-            "model": [float(v) for v in model],
+            "model": None if model is None else [float(v) for v in model],
         }
         row.update({k: None if v is None else float(v) for k, v in values.items()})
         self.rows.append(row)
@@ -56,7 +60,11 @@ class Trace:
 
 @dataclass
 class Fit:
-    """A fitted model: ``weights`` on the driver, everything else as tables on demand."""
+    """A fitted model: ``weights`` on the driver, everything else as tables on demand.
+
+    ``converged`` is true only if the test that was asked for held at the end; ``stop_reason``
+    says what ended the fit: that test (gradient, residuals, spark.ml), precision or iterations.
+    """
 
     spark: SparkSession
     weights: np.ndarray
@@ -64,6 +72,7 @@ class Fit:
     converged: bool
     objective: float | None = None
     expected: np.ndarray | None = None
+    stop_reason: str | None = None
 
     @property
     def model(self) -> DataFrame:
@@ -85,7 +94,7 @@ class Fit:
             self.trace_rows.run_id, self.trace_rows.method, self.trace_rows.init_seconds,
             rows[-1]["elapsed_seconds"] if rows else 0.0, len(rows),
             sum(r["n_eval"] for r in rows), self.converged,
-            None if self.objective is None else float(self.objective),
+            self.stop_reason, None if self.objective is None else float(self.objective),
             expected, [float(v) for v in self.weights],
         )
         return self.spark.createDataFrame([row], SUMMARY_SCHEMA)

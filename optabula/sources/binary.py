@@ -7,9 +7,10 @@ tasks, and every record knows its global position (files in name order).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..cluster import qualified
+
 READ_BYTES = 8 << 20
 
 # Most byte ranges one scan is cut into; more would burden the driver.
@@ -17,12 +18,15 @@ MAX_SPLITS = 100_000
 
 
 def open_filesystem(path):
-    """(filesystem, path) of a local path or of any URI pyarrow knows (file, hdfs, s3, gs)."""
+    """(filesystem, path) of a qualified URI of a scheme pyarrow knows (file, hdfs, s3, s3a, gs)."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
-    return fs.LocalFileSystem(), path
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        raise ValueError(f"{path} names no file system; qualify it first")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri("s3:" + rest if scheme == "s3a" else path)
 
 
 def data_files(path):
@@ -44,34 +48,70 @@ def data_files(path):
 
 
 class Split(InputPartition):
-    def __init__(self, path, start, length, first_record):
-        self.path, self.start, self.length = path, start, length
-        self.first_record = first_record
+    def __init__(self, ranges, first_record):
+        self.ranges, self.first_record = ranges, first_record
+
+
+def cut_ranges(files, step):
+    """Cuts the files, one after the other, into splits of ``step`` bytes: lists of byte ranges."""
+    splits, ranges, room = [], [], step
+    for path, size in files:
+        start = 0
+        while start < size:
+            length = min(room, size - start)
+            ranges.append((path, start, length))
+            start, room = start + length, room - length
+            if not room:
+                splits.append(ranges)
+                ranges, room = [], step
+    return [*splits, ranges] if ranges else splits
 
 
 class FixedDoublesReader(DataSourceReader):
-    def __init__(self, path, record_values, split_bytes):
-        self.path, self.record_values = path, record_values
+    """Rows, or blocks of ``block_rows`` rows of which the last one may be shorter.
+
+    Splits are whole blocks of all files in a row, so blocks may go over file ends and many small
+    files share a split.
+    """
+
+    def __init__(self, path, record_values, split_bytes, block_rows=None):
+        self.path, self.record_values, self.block_rows = path, record_values, block_rows
         self.record_bytes = 8 * record_values
-        self.split_bytes = max(1, split_bytes // self.record_bytes) * self.record_bytes
+        self.unit_bytes = self.record_bytes * (block_rows or 1)
+        self.split_bytes = max(1, split_bytes // self.unit_bytes) * self.unit_bytes
 
     def partitions(self):
         files = data_files(self.path)
-        # Ranges are read in READ_BYTES pieces, so very large inputs may use larger ranges.
-        fewest = -(-sum(size for _, size in files) // MAX_SPLITS)
-        step = max(self.split_bytes, -(-fewest // self.record_bytes) * self.record_bytes)
-        splits, records = [], 0
         for path, size in files:
             if size % self.record_bytes:
                 raise ValueError(
                     f"{path}: {size} bytes are no multiple of the record of "
                     f"{self.record_bytes} bytes"
                 )
-            for start in range(0, size, step):
-                length = min(step, size - start)
-                splits.append(Split(path, start, length, records + start // self.record_bytes))
-            records += size // self.record_bytes
-        return splits
+        # Ranges are read in READ_BYTES pieces, so very large inputs may use larger splits.
+        fewest = -(-sum(size for _, size in files) // MAX_SPLITS)
+        step = max(self.split_bytes, -(-fewest // self.unit_bytes) * self.unit_bytes)
+        return [Split(ranges, k * step // self.record_bytes)
+                for k, ranges in enumerate(cut_ranges(files, step))]
+
+    def pieces(self, ranges):
+        """Bytes of whole units, then what is left of the last block."""
+        system, _ = open_filesystem(self.path)
+        held = b""
+        for path, start, length in ranges:
+            with system.open_input_file(path) as source:
+                for at in range(start, start + length, READ_BYTES):
+                    size = min(READ_BYTES, start + length - at)
+                    data = source.read_at(size, at)
+                    if len(data) != size:
+                        raise ValueError(f"{path}: short read at {at}")
+                    held += data
+                    whole = len(held) // self.unit_bytes * self.unit_bytes
+                    if whole:
+                        yield held[:whole]
+                        held = held[whole:]
+        if held:
+            yield held
 
     def read(self, split):
         import numpy as np
@@ -79,36 +119,39 @@ class FixedDoublesReader(DataSourceReader):
 
         if split is None:  # no data files: Spark asks for one read without a partition
             return
-        system, _ = open_filesystem(self.path)
-        step = max(1, READ_BYTES // self.record_bytes) * self.record_bytes
         position = split.first_record
-        with system.open_input_file(split.path) as source:
-            for start in range(split.start, split.start + split.length, step):
-                length = min(step, split.start + split.length - start)
-                data = source.read_at(length, start)
-                if len(data) != length:
-                    raise ValueError(f"{split.path}: short read at {start}")
-                values = np.frombuffer(data, dtype=">f8").astype(np.float64)
-                n = length // self.record_bytes
-                offsets = np.arange(n + 1, dtype=np.int32) * self.record_values
+        for data in self.pieces(split.ranges):
+            values = np.frombuffer(data, dtype=">f8").astype(np.float64)
+            n = len(data) // self.record_bytes
+            step = self.block_rows or 1
+            starts = np.arange(0, n, step)
+            rows = np.minimum(step, n - starts)
+            offsets = np.append(starts, n).astype(np.int32) * self.record_values
+            vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+            ids = pa.array((position + starts) // step)
+            if self.block_rows is None:
+                yield pa.RecordBatch.from_arrays([ids, vectors], ["pos", "values"])
+            else:
+                width = np.full(len(starts), self.record_values, np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(position, position + n)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    ],
-                    ["pos", "values"],
-                )
-                position += n
+                    [ids, pa.array(rows.astype(np.int32)), pa.array(width), vectors],
+                    ["block_id", "n_rows", "n_cols", "values"])
+            position += n
 
 
 class FixedDoubles(DataSource):
-    """``spark.read.format("fixed_doubles").option("record_values", d).load(path)``"""
+    """``spark.read.format("fixed_doubles").option("record_values", d).load(path)``
+
+    With option ``block_rows`` it gives blocks of so many records.
+    """
 
     @classmethod
     def name(cls):
         return "fixed_doubles"
 
     def schema(self):
+        if "block_rows" in self.options:
+            return "block_id long, n_rows int, n_cols int, values array<double>"
         return "pos long, values array<double>"
 
     def reader(self, schema):
@@ -116,24 +159,26 @@ class FixedDoubles(DataSource):
         if values < 1:
             raise ValueError("option record_values is required and must be positive")
         split_bytes = int(self.options.get("split_bytes", str(128 << 20)))
-        return FixedDoublesReader(self.options["path"], values, split_bytes)
+        rows = self.options.get("block_rows")
+        if rows is not None and int(rows) < 1:
+            raise ValueError("option block_rows must be positive")
+        return FixedDoublesReader(
+            self.options["path"], values, split_bytes, None if rows is None else int(rows))
+
+
+def _load(spark, path, split_bytes, **options):
+    spark.dataSource.register(FixedDoubles)
+    return (spark.read.format("fixed_doubles").options(split_bytes=split_bytes, **options)
+            .load(qualified(spark, path)))
 
 
 def read_binary_rows(spark: SparkSession, path: str, n_cols: int,
                      split_bytes: int = 128 << 20) -> DataFrame:
     """Row scan: (pos, values), one record of n_cols doubles per row."""
-    spark.dataSource.register(FixedDoubles)
-    return (
-        spark.read.format("fixed_doubles").option("record_values", n_cols)
-        .option("split_bytes", split_bytes).load(path)
-    )
+    return _load(spark, path, split_bytes, record_values=n_cols)
 
 
 def read_binary_blocks(spark: SparkSession, path: str, n_rows: int, n_cols: int,
                        split_bytes: int = 128 << 20) -> DataFrame:
-    """Block scan: (block_id, n_rows, n_cols, values), one record of n_rows * n_cols doubles."""
-    rows = read_binary_rows(spark, path, n_rows * n_cols, split_bytes)
-    return rows.select(
-        F.col("pos").alias("block_id"), F.lit(n_rows).alias("n_rows"),
-        F.lit(n_cols).alias("n_cols"), "values",
-    )
+    """Block scan: (block_id, n_rows, n_cols, values), n_rows rows each; the last may be shorter."""
+    return _load(spark, path, split_bytes, record_values=n_cols, block_rows=n_rows)

@@ -107,9 +107,14 @@ def test_sgd_steps(rows):
 
 
 def test_sampled_sgd_is_reproducible(rows):
-    a, b = (sgd(rows, iters=3, fraction=0.4, seed=s).weights for s in (5, 5))
-    assert np.array_equal(a, b)
-    assert not np.allclose(a, sgd(rows, iters=3, fraction=0.4, seed=6).weights)
+    """The same batches for any partitioning."""
+    keyed = rows.withColumn("k", F.expr("CAST(abs(xxhash64(features)) % 1000000 AS BIGINT)"))
+    fits = [sgd(keyed.repartition(n), iters=3, fraction=0.4, seed=5, key="k") for n in (2, 7)]
+    assert np.allclose(fits[0].weights, fits[1].weights, atol=1e-12)
+    assert not np.allclose(
+        fits[0].weights, sgd(keyed, iters=3, fraction=0.4, seed=6, key="k").weights, atol=1e-6)
+    with pytest.raises(ValueError, match="key"):
+        sgd(rows, iters=3, fraction=0.4)
 
 
 def test_admm_reaches_the_optimum_for_any_blocking(rows, blocks):

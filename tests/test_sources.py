@@ -35,6 +35,16 @@ def test_blocks(spark, tmp_path):
     assert np.array_equal(np.concatenate([r["values"] for r in rows]), data)
 
 
+@pytest.mark.parametrize("split_bytes", [1, 200, 1 << 20])
+def test_blocks_go_over_file_ends_and_end_short(spark, tmp_path, split_bytes):
+    data = np.arange(23 * 3.0)
+    for k, part in enumerate(np.split(data, [15, 18, 18, 60])):
+        write(tmp_path / f"{k}.bin", part)
+    rows = read_binary_blocks(spark, str(tmp_path), 5, 3, split_bytes).orderBy("block_id").collect()
+    assert [(r["block_id"], r["n_rows"]) for r in rows] == [(0, 5), (1, 5), (2, 5), (3, 5), (4, 3)]
+    assert np.array_equal(np.concatenate([r["values"] for r in rows]), data)
+
+
 def test_partial_record_is_refused(spark, tmp_path):
     write(tmp_path / "a.bin", np.arange(7.0))
     with pytest.raises(Exception, match="no multiple of the record"):

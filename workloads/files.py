@@ -7,18 +7,15 @@ from pyspark.sql import functions as F
 
 from optabula.cluster import shared_path
 from optabula.functions.vectors import at
-from optabula.operators.blocks import to_blocks
 from optabula.sources.binary import read_binary_blocks, read_binary_rows
-from optabula.sources.tables import random_blocks, read_csv_matrix, to_ml_frame
+from optabula.sources.tables import read_csv_matrix, to_ml_frame
 
 from .fixtures import (
     EVENTS_SQL,
     P1_SQL,
-    blocks_per_partition,
     event_rows,
     p1,
     p1_training,
-    table,
     write_binary,
 )
 from .registry import query, rounded
@@ -46,14 +43,14 @@ def binary_positions(spark, sf_dir):
 
 
 @query("binary_blocks", f"""
-    WITH {EVENTS_SQL} SELECT CAST(100 AS INTEGER) AS n_rows, 3 AS n_cols, min_by(v1, event_id) AS first_value,
+    WITH {EVENTS_SQL} SELECT CAST(count(*) AS INTEGER) AS n_rows, 3 AS n_cols, min_by(v1, event_id) AS first_value,
       max_by(v3, event_id) AS last_value, {rounded('sum(v1 + v2 + v3)', 6)} AS total
-    FROM r GROUP BY event_id // 100 HAVING count(*) = 100""")
+    FROM r GROUP BY event_id // 70""")
 def binary_blocks(spark, sf_dir):
     path = shared_path(spark, "blocks")
-    full = to_blocks(event_rows(spark, sf_dir), 100, 3, pos="event_id").where("n_rows = 100")
-    write_binary(full, "values", path)
-    return read_binary_blocks(spark, path, 100, 3).selectExpr(
+    ordered = event_rows(spark, sf_dir).repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    write_binary(ordered, "values", path)  # files that end within blocks
+    return read_binary_blocks(spark, path, 70, 3).selectExpr(
         "n_rows", "n_cols", "values[0] AS first_value", "element_at(values, -1) AS last_value",
         "round(aggregate(values, 0D, (s, v) -> s + v), 6) AS total")
 
@@ -69,22 +66,6 @@ def csv_matrix(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
-@query("random_blocks", """
-    SELECT count(*) AS n_rows, CAST(ceil(count(*) / 1000e0) AS BIGINT) AS n_blocks,
-      CAST(count(*) * 5 AS BIGINT) AS n_values, true AS in_range, true AS spread FROM lineitem""")
-def random_matrix(spark, sf_dir):
-    n = table(spark, sf_dir, "lineitem").count()
-    blocks = random_blocks(spark, n, 5, 1000, blocks_per_partition(n, 1000), seed=11)
-    low, high = "array_min(values)", "array_max(values)"
-    return blocks.selectExpr(
-        "n_rows", "size(values) AS n", f"{low} AS low", f"{high} AS high",
-        "aggregate(values, 0D, (s, v) -> s + v) AS total",
-    ).selectExpr(
-        "sum(n_rows) AS n_rows", "count(1) AS n_blocks", "sum(n) AS n_values",
-        "min(low) >= 0 AND max(high) < 1 AS in_range",
-        "abs(sum(total) / sum(n) - 0.5) < 0.02 AS spread")
-
-
 @query("ml_frame", f"""
     WITH {P1_SQL} SELECT t AS label, x1 AS f0, x2 AS f1, x3 AS f2, count(*) AS n FROM p1 GROUP BY ALL""")
 def ml_frame(spark, sf_dir):

@@ -8,7 +8,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from optabula.sources.binary import open_filesystem
+from optabula.cluster import qualified
+from optabula.sources.binary import data_files, open_filesystem
 
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 BLOCKS = 16
@@ -128,17 +129,13 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", f"array({', '.join(EVENT_COLUMNS.values())}) AS values")
 
 
-def blocks_per_partition(n_rows: int, height: int) -> int:
-    """At least 4 blocks per partition, and no more than 10,000 partitions however tall the table."""
-    return max(4, n_rows // (height * 10_000))
-
-
 def write_binary(df: DataFrame, column: str, path: str) -> None:
     """Writes a vector column as big-endian doubles, one file per partition.
 
     Each attempt writes under its own name and then moves the file into place, so retried
     and speculative tasks leave one complete file.
     """
+    path = qualified(df.sparkSession, path)
     open_filesystem(path)[0].create_dir(open_filesystem(path)[1])
 
     def write(batches):
@@ -151,9 +148,13 @@ def write_binary(df: DataFrame, column: str, path: str) -> None:
         with system.open_output_stream(attempt) as sink:
             for batch in batches:
                 flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-                sink.write(flat.astype(">f8").tobytes())
-                n += batch.num_rows
+                data = flat.astype(">f8").tobytes()
+                sink.write(data)
+                n += len(data)
         system.move(attempt, f"{root}/part-{part:06d}.bin")
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    df.select(column).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    written = df.select(column).mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    listed = sum(size for _, size in data_files(path))
+    if listed != written:
+        raise OSError(f"{path} lists {listed} of {written} bytes: executors do not share it")

@@ -121,6 +121,47 @@ def scores(spark, sf_dir):
         *KEYS, F.round("probability", 9).alias("probability"), "prediction")
 
 
+@query("score_defects", """
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_discount < 0.02e0 OR l_tax = 0.08e0 THEN NULL
+        ELSE round(1 / (1 + exp(-(0.5e0 * l_discount - 0.2e0))), 9) END AS probability,
+      CASE WHEN l_discount < 0.02e0 OR l_tax = 0.08e0 THEN NULL
+        ELSE CAST(0.5e0 * l_discount - 0.2e0 >= 0 AS DOUBLE) END AS prediction FROM lineitem""")
+def score_defects(spark, sf_dir):
+    """Rows with a NULL, a NaN or a missing feature have no score."""
+    scored = score(defective_rows(spark, sf_dir), [0.5, -0.2])
+    return scored.select("l_orderkey", "l_linenumber", F.round("probability", 9).alias("probability"),
+                         "prediction")
+
+
+@query("label_defects", """
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 OR l_discount < 0.02e0 THEN NULL
+        WHEN l_linenumber < 3 THEN 0e0 ELSE 1e0 END AS label,
+      CASE WHEN l_discount < 0.02e0 OR l_tax = 0.08e0 THEN NULL
+        ELSE CAST(0.5e0 * l_discount - 0.02e0 >= 0 AS DOUBLE) END AS by_model,
+      CASE WHEN l_discount < 0.02e0 OR l_tax = 0.08e0 THEN NULL
+        ELSE round(0.5e0 * l_discount - 0.02e0, 9) END AS target FROM lineitem""")
+def label_defects(spark, sf_dir):
+    """NULL and NaN labels stay unknown, and so do labels and targets of defective rows."""
+    raw = F.expr("CASE WHEN l_linenumber = 7 THEN CAST(NULL AS DOUBLE) WHEN l_discount < 0.02D "
+                 "THEN CAST('NaN' AS DOUBLE) WHEN l_linenumber < 3 THEN -1D ELSE 1D END")
+    rows, model = defective_rows(spark, sf_dir), [0.5, -0.02]
+    target = target_by_model(F.col("features"), model)
+    return rows.select(
+        "l_orderkey", "l_linenumber", label01(raw).alias("label"),
+        label_by_model(F.col("features"), model).alias("by_model"),
+        F.round(F.when(~F.isnan(target), target), 9).alias("target"))
+
+
+def defective_rows(spark, sf_dir):
+    """features = [l_discount, 1], with NULLs, NaNs and missing values in some rows."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "l_discount",
+        "CASE WHEN l_discount = 0 THEN CAST(NULL AS DOUBLE) WHEN l_discount < 0.02D "
+        "THEN CAST('NaN' AS DOUBLE) ELSE l_discount END AS x", "l_tax").selectExpr(
+        "l_orderkey", "l_linenumber", "l_discount",
+        "CASE WHEN l_tax = 0.08D THEN array(x) ELSE array(x, 1D) END AS features")
+
+
 @query("score_accuracy", f"""
     WITH {P1_SQL} SELECT count(*) AS n_rows,
       round(avg(CASE WHEN ({MARGIN} < 0) = (t = 0) THEN 1e0 ELSE 0e0 END), 9) AS accuracy FROM p1""")

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from optabula.cluster import shared_path
 from optabula.functions.prep import target_by_model, training_rows
-from optabula.operators.blocks import fold_blocks, fold_labeled_blocks, to_blocks, unblock
+from optabula.operators.blocks import fold_blocks, fold_labeled_blocks, to_blocks
 from optabula.operators.gram import block_gram, gram
+from optabula.operators.objectives import batch_of, logistic_value_grad
 from optabula.operators.report import compare_methods, time_to_tolerance
 from optabula.plans import admm as A
 from optabula.plans.ml_baseline import ml_logistic
 from optabula.plans.penalties import Penalty
 from optabula.plans.quasi_newton import lbfgs, owlqn
 from optabula.plans.sgd import sgd, sgd_grid
-from optabula.plans.sweep import sweep, union_all
+from optabula.plans.sweep import Problem, run_sweep, summaries, sweep, union_all
 from optabula.plans.trace import iteration_times
 from optabula.sources.binary import read_binary_blocks, read_binary_rows
-from optabula.sources.tables import random_blocks, read_csv_matrix, write_trace
+from optabula.sources.tables import read_csv_matrix, write_trace
 
 from .fixtures import (
     P1_SQL,
     P3_SQL,
     P4_SQL,
-    blocks_per_partition,
     p1,
     p1_training,
     p2,
@@ -161,6 +162,110 @@ def admm_least_squares(spark, sf_dir):
     return model(fit, 6)
 
 
+def p3_optimum(update, steps=400):
+    """Proximal gradient on half the mean squared residual, from the 2 x 2 moments of p3."""
+    moved = ["(w0 - 0.5e0 * (a * w0 + m * w1 - c))", "(w1 - 0.5e0 * (m * w0 + w1 - d))"]
+    new = ", ".join(f"{update(i, moved[i])}" for i in range(2))
+    return f"""
+    WITH RECURSIVE {P3_SQL}, g AS MATERIALIZED (SELECT avg(x1 * x1) AS a, avg(x1) AS m, avg(x1 * b) AS c, avg(b) AS d FROM p3),
+    it AS (SELECT 0 AS k, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w1 UNION ALL
+      SELECT k + 1, {new} FROM it, g WHERE k < {steps})
+    SELECT 0 AS pos, {rounded('w0', 6)} AS weight, false AS is_intercept FROM it WHERE k = {steps}
+    UNION ALL SELECT 1, {rounded('w1', 6)}, true FROM it WHERE k = {steps}"""
+
+
+def p3_soft(lam, gamma="0e0"):
+    return lambda i, v: v if i == 1 else (
+        f"sign({v}) * greatest(abs({v}) - 0.5e0 * {lam}, 0) / (1 + 0.5e0 * {gamma})")
+
+
+def p3_fit(spark, sf_dir, prox):
+    grams = gram(p3(spark, sf_dir), 2, by="block_id")
+    return A.admm_least_squares(
+        grams, alpha=1.8, abstol=1e-5, reltol=1e-9, max_iter=150, prox=prox)
+
+
+@query("admm_least_squares_bound", p3_optimum(lambda i, v: f"greatest({v}, 0.25e0)"))
+def admm_least_squares_bound(spark, sf_dir):
+    """Least squares with a lower bound on every coefficient."""
+    return model(p3_fit(spark, sf_dir, Penalty("lower_bound", threshold=0.25)), 6)
+
+
+@query("admm_least_squares_lasso", p3_optimum(p3_soft("0.1e0")))
+def admm_least_squares_lasso(spark, sf_dir):
+    return model(p3_fit(spark, sf_dir, Penalty("l1", 0.1)), 6)
+
+
+@query("admm_least_squares_elastic_net", p3_optimum(p3_soft("0.1e0", "0.2e0")))
+def admm_least_squares_elastic_net(spark, sf_dir):
+    return model(p3_fit(spark, sf_dir, Penalty("elastic_net", 0.1, gamma=0.2)), 6)
+
+
+# The trace of a consensus fit: blocks of p3 have closed-form solutions, so SQL can run the
+# method itself and reach the same iterates, residuals and tolerances.
+TRACE_STEPS, TRACE_RHO, TRACE_ALPHA = 6, 40.0, 1.6
+
+
+def admm_trace_sql(residual="current"):
+    gap = "z" if residual == "current" else "pz"
+    held = "x" if residual == "current" else "px"
+    return f"""
+    WITH RECURSIVE {P3_SQL},
+    g AS MATERIALIZED (SELECT block_id, count(*) AS n, sum(x1 * x1) + {TRACE_RHO}e0 AS a, sum(x1) AS m,
+      count(*) + {TRACE_RHO}e0 AS e, sum(x1 * b) AS c, sum(b) AS d FROM p3 GROUP BY block_id),
+    it AS (SELECT block_id, 0 AS k, 0e0 AS u0, 0e0 AS u1, 0e0 AS x0, 0e0 AS x1, 0e0 AS h0, 0e0 AS h1,
+        0e0 AS z0, 0e0 AS z1, 0e0 AS pz0, 0e0 AS pz1, 0e0 AS px0, 0e0 AS px1 FROM g
+      UNION ALL
+      SELECT block_id, k, u0, u1, x0, x1, h0, h1, avg(u0 + h0) OVER (), avg(u1 + h1) OVER (), z0, z1, px0, px1
+      FROM (SELECT *, {TRACE_ALPHA}e0 * x0 + (1 - {TRACE_ALPHA}e0) * z0 AS h0,
+          {TRACE_ALPHA}e0 * x1 + (1 - {TRACE_ALPHA}e0) * z1 AS h1
+        FROM (SELECT block_id, k, u0, u1, z0, z1, px0, px1,
+            (e * (c + {TRACE_RHO}e0 * (z0 - u0)) - m * (d + {TRACE_RHO}e0 * (z1 - u1))) / (a * e - m * m) AS x0,
+            (a * (d + {TRACE_RHO}e0 * (z1 - u1)) - m * (c + {TRACE_RHO}e0 * (z0 - u0))) / (a * e - m * m) AS x1
+          FROM (SELECT block_id, k + 1 AS k, u0 + h0 - z0 AS u0, u1 + h1 - z1 AS u1, z0, z1, x0 AS px0, x1 AS px1
+            FROM it WHERE k < {TRACE_STEPS}) s JOIN g USING (block_id)) q) r),
+    t AS (SELECT k, any_value(z0) AS z0, any_value(z1) AS z1, count(*) AS n_blocks,
+        sqrt(sum(power({held}0 - {gap}0, 2) + power({held}1 - {gap}1, 2))) AS primal,
+        {TRACE_RHO}e0 * sqrt(count(*)) * sqrt(power(any_value(z0 - pz0), 2) + power(any_value(z1 - pz1), 2)) AS dual,
+        sqrt(2e0) * 1e-4 + 1e-3 * greatest(sqrt(power(avg(h0), 2) + power(avg(h1), 2)),
+          sqrt(power(any_value(z0), 2) + power(any_value(z1), 2))) AS primal_tol,
+        sqrt(2e0) * 1e-4 + {TRACE_RHO}e0 * 1e-3 * sqrt(power(avg(u0), 2) + power(avg(u1), 2)) AS dual_tol
+      FROM it WHERE k > 0 GROUP BY k)
+    SELECT k AS iteration, {TRACE_RHO}e0 AS rho, {rounded('primal', 6)} AS primal_residual,
+      {rounded('dual', 6)} AS dual_residual, {rounded('primal_tol', 8)} AS primal_tol,
+      {rounded('dual_tol', 7)} AS dual_tol, CAST(0 AS DOUBLE) AS unsolved_blocks,
+      (SELECT {rounded('avg(power(p3.b - z0 * p3.x1 - z1, 2)) / 2', 7)} FROM p3) AS objective
+    FROM t"""
+
+
+def admm_trace_query(residual):
+    def run(spark, sf_dir):
+        grams = gram(p3(spark, sf_dir), 2, by="block_id")
+        fit = A.admm_least_squares(
+            grams, rho=TRACE_RHO, alpha=TRACE_ALPHA, abstol=1e-4, reltol=1e-3, max_iter=TRACE_STEPS,
+            residual=residual)
+        places = {"primal_residual": 6, "dual_residual": 6, "primal_tol": 8, "dual_tol": 7, "objective": 7}
+        return fit.trace.select("iteration", "rho", "unsolved_blocks", *[
+            F.round(name, digits).alias(name) for name, digits in places.items()])
+
+    return run
+
+
+query("admm_trace", admm_trace_sql())(admm_trace_query("current"))
+query("admm_trace_lagged", admm_trace_sql("lagged"))(admm_trace_query("lagged"))
+
+
+@query("admm_unsolved", """
+    SELECT CAST(k AS INTEGER) AS iteration, CAST(0 AS DOUBLE) AS unsolved_blocks, true AS objective_falls
+    FROM range(2, 7) r(k) WHERE (SELECT count(*) FROM lineitem) > 0""")
+def admm_unsolved(spark, sf_dir):
+    """Blocks that were not solved in each iteration of a logistic consensus fit."""
+    fit = A.admm_logistic(p1_blocks(spark, sf_dir), rho=400.0, max_iter=6, abstol=1e-12, reltol=1e-12)
+    step = Window.orderBy("iteration")  # one row per iteration
+    return fit.trace.withColumn("before", F.lag("objective").over(step)).where("iteration > 1").select(
+        "iteration", "unsolved_blocks", (F.col("objective") <= F.col("before")).alias("objective_falls"))
+
+
 # Single local solves: per block argmin of sum loss + rho/2 |x + u - z|^2, by SQL Newton.
 LOCAL_RHO, LOCAL_HEIGHT = 30.0, 500
 LOCAL_SQL = f"""
@@ -211,10 +316,10 @@ def lbfgs_from_binary(spark, sf_dir):
 
 @query("admm_from_binary_blocks", p4_optimum())
 def admm_from_binary_blocks(spark, sf_dir):
-    """Binary block records -> sign-folded blocks -> consensus fit."""
+    """Binary records -> blocks, the last one short -> sign-folded blocks -> consensus fit."""
     path = shared_path(spark, "blocks")
-    write_binary(to_blocks(p4(spark, sf_dir), 500, 3, pos="event_id"), "values", path)
-    blocks = fold_labeled_blocks(read_binary_blocks(spark, path, 500, 3))
+    write_binary(p4(spark, sf_dir), "values", path)
+    blocks = fold_labeled_blocks(read_binary_blocks(spark, path, 470, 3))
     return model(A.admm_logistic(blocks, **ADMM))
 
 
@@ -235,20 +340,6 @@ def admm_from_csv(spark, sf_dir):
     return model(A.admm_least_squares(grams, alpha=1.8, abstol=1e-4, reltol=1e-9))
 
 
-@query("admm_from_random", """
-    SELECT CAST(i AS INTEGER) AS pos, CAST(v AS DOUBLE) AS weight, i = 1 AS is_intercept
-    FROM (VALUES (0, 0.5), (1, -1.5)) AS m(i, v) WHERE (SELECT count(*) FROM lineitem) > 0""")
-def admm_from_random(spark, sf_dir):
-    """A random matrix as tall as lineitem, its product with a model as target -> consensus."""
-    n = table(spark, sf_dir, "lineitem").count()
-    rows = unblock(random_blocks(spark, n, 2, 500, blocks_per_partition(n, 500), seed=5)).select("values")
-    values = rows.select(F.concat(
-        "values", F.array(target_by_model(F.col("values"), [0.5, -1.5]))).alias("values"))
-    grams = block_gram(to_blocks(values, 500, 3))
-    fit = A.admm_least_squares(grams, rho=0.2 * 500, alpha=1.8, abstol=1e-4, reltol=1e-9)
-    return model(fit)
-
-
 SGD_STEPS = 5
 
 
@@ -283,11 +374,33 @@ def sgd_lasso_iterates(spark, sf_dir):
     return trace_rows(sgd(p1_training(spark, sf_dir), 0.05, iters=SGD_STEPS).trace)
 
 
-@query("sgd_minibatch")
+ROW_KEY = "l_orderkey * 8 + l_linenumber"
+
+
+@query("sgd_minibatch", f"""
+    WITH RECURSIVE {P1_SQL}, {iterates('0.01e0', SGD_STEPS).replace(
+        f'WHERE k < {SGD_STEPS}',
+        f'WHERE k < {SGD_STEPS} AND ' + batch_of(ROW_KEY, 0.5, 7, 'k + 1'))}
+    {iterate_rows('', SGD_STEPS)}""")
 def sgd_minibatch(spark, sf_dir):
-    """Sampled batches: no SQL twin, since samples differ between engines."""
-    fit = sgd(p1_training(spark, sf_dir), 0.01, iters=SGD_STEPS, fraction=0.5, seed=7)
-    return trace_rows(fit.trace)
+    """Batches drawn by a row key: the same rows on every engine."""
+    rows = p1_training(spark, sf_dir)
+    return trace_rows(sgd(rows, 0.01, iters=SGD_STEPS, fraction=0.5, seed=7, key=ROW_KEY).trace)
+
+
+@query("batch_value_grad", f"""
+    WITH {P1_SQL} SELECT count(*) AS n_rows, {rounded('avg(ln(1 + exp(m)) - t * m)', 8)} AS loss,
+      {rounded('avg((1 / (1 + exp(-m)) - t) * x1)', 8)} AS g0,
+      {rounded('avg((1 / (1 + exp(-m)) - t) * x2)', 8)} AS g1,
+      {rounded('avg((1 / (1 + exp(-m)) - t) * x3)', 8)} AS g2,
+      {rounded('avg(1 / (1 + exp(-m)) - t)', 8)} AS g3
+    FROM (SELECT *, 0.5e0 * x1 - 0.3e0 * x2 + 0.2e0 * x3 + 0.1e0 AS m FROM p1
+      WHERE {batch_of(ROW_KEY, 0.3, 11, 0)}) q""")
+def batch_value_grad(spark, sf_dir):
+    found = logistic_value_grad(p1_training(spark, sf_dir), [0.5, -0.3, 0.2, 0.1],
+                                batch_fraction=0.3, seed=11, key=ROW_KEY)
+    return found.select("n_rows", F.round("loss", 8).alias("loss"), *[
+        F.round(F.get("gradient", F.lit(i)), 8).alias(f"g{i}") for i in range(4)])
 
 
 def sweep_sql(settings):
@@ -308,6 +421,39 @@ def sweep_query(spark, sf_dir):
     return trace_rows(traces, "problem", "setting", "rep")
 
 
+SWEEP_MODELS = {"given": [[0.8, -0.5, 0.0, 0.1], [0.7, -0.4, 0.1, 0.0]],
+                "turned": [[-0.8, 0.5, 0.0, -0.1], [-0.7, 0.4, -0.1, 0.0]]}
+
+
+def problems_sql():
+    """Three iterates on either half of p1, with labels as they are or turned around."""
+    ctes, rows = [], []
+    for problem, label in (("given", "t"), ("turned", "1 - t AS t")):
+        for rep in (1, 2):
+            name = f"it_{problem}{rep}"
+            ctes.append(iterates("0.05e0", 3).replace("it AS", f"{name} AS", 1)
+                        .replace("FROM it, p1 WHERE", f"FROM {name}, p1 WHERE l_orderkey % 2 = {rep - 1} AND")
+                        .replace("w3, t, x1", f"w3, {label}, x1"))
+            rows += [f"""SELECT '{problem}' AS problem, {rep} AS rep, {i} AS pos,
+              CAST({SWEEP_MODELS[problem][rep - 1][i]} AS DOUBLE) AS expected,
+              {rounded(f'w{i}', 8)} AS final, 3 AS iterations FROM {name} WHERE k = 3""" for i in range(4)]
+    return f"WITH RECURSIVE {P1_SQL}, {', '.join(ctes)} " + " UNION ALL ".join(rows)
+
+
+@query("sweep_summary", problems_sql())
+def sweep_summary(spark, sf_dir):
+    """Two problems with rows and an expected model for each of two repetitions."""
+    rows = p1_training(spark, sf_dir)
+    halves = [rows.where(f"l_orderkey % 2 = {r}").select("features", "label") for r in (0, 1)]
+    turned = [h.withColumn("label", 1 - F.col("label")) for h in halves]
+    problems = {"given": Problem(halves, SWEEP_MODELS["given"]),
+                "turned": Problem(turned, SWEEP_MODELS["turned"])}
+    found = summaries(run_sweep(problems, {"lasso": {"lam": 0.05, "iters": 3}}, sgd, 2))
+    return found.select("problem", "rep", "iterations", F.posexplode(
+        F.arrays_zip("expected", "final")).alias("pos", "m")).select(
+        "problem", "rep", "pos", "m.expected", F.round("m.final", 8).alias("final"), "iterations")
+
+
 def comparison_sql():
     runs, steps = {"plain": "0", "lasso": "0.05e0"}, 4
     ctes, rows = [recursion(plain, 80, "4e0").replace("it AS", "best AS", 1)

@@ -105,6 +105,26 @@ def test_contaminated(spark):
     assert contaminated(frame(spark, docs), table.limit(0)).count() == 0
 
 
+def test_contaminated_in_another_order(spark):
+    rng = random.Random(6)
+    item, other = [f"i{k}" for k in range(60)], [f"o{k}" for k in range(300)]
+    items = [(0, " ".join(item)), (1, prose(rng, 40, other))]
+    second = items[1][1].split()
+
+    def around(words, before=50, after=50):
+        return " ".join([*rng.choices(other, k=before), *words, *rng.choices(other, k=after)])
+
+    docs = [(0, around(item[30:] + item[:30])), (1, around(item[30:] + item[:30], 0, 0)),
+            (2, around(item[45:] + item[20:45] + item[:20])), (3, around(second[13:] + second[:13])),
+            (4, around(item[20:] + item[:20], 3, 0)), (5, around(item[10:20] + item[:10] + item[20:], 0, 9)),
+            (6, around(item[30:] + ["x"] * 40 + item[:30])), (7, around(item[30:] + ["x"] + item[:30]))]
+    docs += [(8, docs[0][1] + " " + docs[2][1])]
+    got = contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.item_id, r.start, round(r.similarity, 9))) for r in got) == \
+        brute_contaminated(docs, items)
+    assert {0, 1, 3, 4, 8} <= {r.doc_id for r in got} and 6 not in {r.doc_id for r in got}
+
+
 def test_sharding_places_all_rows(spark):
     rows = documents()
     got = shard_documents(frame(spark, rows), even_tree(8), even_tree(9)).collect()

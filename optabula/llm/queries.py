@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from .chat import format_chats
 from .common import table
 from .decontaminate import contaminated
+from .fill_middle import fill_in_middle, restored
 from .line_runs import dedup_lines
+from .lsh_forest import minhash_groups
 from .ordinal import classify
 from .packing import pack
 from .phrases import dedup_substrings
@@ -15,6 +17,7 @@ from .quality_rules import quality_rules
 from .sharding import even_tree, shard_documents
 from .simhash import hex_digits, simhash_groups
 from .training_order import training_order
+from .vector_codes import vector_codes
 
 QUERIES = {}
 ORACLES = {}
@@ -209,3 +212,82 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     out = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, distance=4)
     return out.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def lloyd_sql(rounds: int) -> str:
+    """Codebooks c0, c1 .. and assignments a0, a1 .. of parts of four components, by full scans."""
+    steps = ["""
+    c0 AS (SELECT * FROM (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k,
+        x1, x2, x3, x4 FROM p) WHERE k < 64)"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+    a{r} AS (SELECT vec_id, label, part, x1, x2, x3, x4, arg_min(k, (d, k)) AS k, min(d) AS d
+      FROM (SELECT p.*, c.k, (p.x1 - c.x1) * (p.x1 - c.x1) + (p.x2 - c.x2) * (p.x2 - c.x2)
+          + (p.x3 - c.x3) * (p.x3 - c.x3) + (p.x4 - c.x4) * (p.x4 - c.x4) AS d
+        FROM p JOIN c{r} c USING (part)) GROUP BY vec_id, label, part, x1, x2, x3, x4)""")
+        if r < rounds:
+            mean = ", ".join(f"(sum(x{i}) - ((sum(x{i}) % count(*)) + count(*)) % count(*)) // count(*) AS m{i}"
+                             for i in range(1, 5))
+            steps.append(f"""
+    c{r + 1} AS (SELECT part, k, {", ".join(f"coalesce(m{i}, x{i}) AS x{i}" for i in range(1, 5))}
+      FROM c{r} LEFT JOIN (SELECT part, k, {mean} FROM a{r} GROUP BY part, k) USING (part, k))""")
+    return ",".join(steps)
+
+
+@query("op11_vector_codes", f"""
+    WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x:
+        CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT vec_id, label, part, v[4 * part + 1] AS x1, v[4 * part + 2] AS x2, v[4 * part + 3] AS x3,
+        v[4 * part + 4] AS x4 FROM v, (SELECT unnest(range(16)) AS part)),{lloyd_sql(2)},
+    books AS (SELECT sha256(string_agg(concat_ws(',', x1, x2, x3, x4), ',' ORDER BY part, k)) AS h FROM c2),
+    coded AS (SELECT vec_id, label, string_agg(lpad(lower(hex(k)), 2, '0'), '' ORDER BY part) AS code,
+        CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      h AS codebooks_sha256 FROM coded, books""")
+def op11(spark, sf_dir):
+    return vector_codes(table(spark, sf_dir, "embeddings")).select(
+        "vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op12_minhash", f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(
+        range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM d),
+    class AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+    e AS (SELECT c, n, unnest(s) AS g FROM class),
+    link AS (SELECT a.c AS u, b.c AS v FROM e a JOIN e b ON a.g = b.g AND a.c <> b.c
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.c, a.n, b.c, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    reach AS (SELECT c, c AS root FROM class UNION SELECT reach.c, link.v FROM reach JOIN link ON root = u),
+    least AS (SELECT s, c, min(root) AS root FROM reach JOIN class USING (c) GROUP BY s, c)
+    SELECT doc_id, len(s.s) AS n_shingles, coalesce(root, doc_id) AS component_id,
+      doc_id = coalesce(root, doc_id) AS kept FROM s LEFT JOIN least USING (s)""")
+def op12(spark, sf_dir):
+    return minhash_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80).select(
+        "doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op13_fill_in_middle", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''),
+        '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+        sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    drawn AS (SELECT doc_id, text, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i:
+        CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM d),
+    cut AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain'
+          WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+    part AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle,
+        array_to_string(u[b + 1:], '') AS suffix FROM cut)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(text) AS restored_sha256 FROM part""")
+def op13(spark, sf_dir):
+    cut = fill_in_middle(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                      F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                      F.sha2(restored().cast("binary"), 256).alias("restored_sha256"))

@@ -15,7 +15,7 @@ from .test_dedup import LAST, brute_components, brute_fingerprint, brute_lines,
 from .test_select import brute_contaminated
 from .test_tokens_out import direct
 
-EXPECTED = {f"op{n}" for n in range(1, 11)}
+EXPECTED = {f"op{n}" for n in range(1, 14)}
 
 
 def test_one_query_for_each_operator():

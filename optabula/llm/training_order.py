@@ -1,14 +1,15 @@
 """Training order: token sequences in a keyed random order, in files of fixed-stride records.
 
-1. Every document owns as many consecutive indices as its size in bytes can give sequences (an id
-   covers a byte at least). The sizes alone fix all indices, so texts are tokenized once.
-2. A keyed Feistel permutation of the index space, with cycle-walking for spaces that are no power
-   of four, gives each sequence its place. Places are random, so equal ranges of places hold about
-   equally many sequences: ranges are the partitions, and one shuffle by range id moves the ids.
-3. Each range is sorted by place and written as one file of records of one size. A record's slot is
-   the count of records in the ranges before it plus its number in the file, gapless from 0.
-
-Reading from slot s on is a seek: find the file by its first slot, skip whole records.
+1. A first pass counts the sequences of every split of the table. Splits are numbered by their least
+   doc_id, rows within a split by their order in it: every sequence has an index, gapless from 0.
+   For a table whose files follow the doc_id, indices do not depend on where splits are cut.
+2. A keyed Feistel permutation of the indices, with cycle-walking for sizes that are no power of
+   four, gives each sequence its slot. The slot fixes the shard and the record in it: shard
+   `slot // shard_records`, record `slot % shard_records`.
+3. One shuffle by shard moves the ids; each shard is sorted by slot and written as one file of
+   records of one size.
+
+Reading from slot s on needs no index: the file's number gives its first slot, the stride the place.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from optabula.cluster import shared_path
@@ -29,12 +30,21 @@ ROUNDS = 6
 RECORD_END = "\x1eSEQEND\n"
 # Marks a record whose doc_id is null.
 NULL_ID = 1
+# Records that leave a task at once.
+BATCH_RECORDS = 1024
+# The last id that a record of two bytes an id can hold.
+LAST_TOKEN = (1 << 16) - 1
+SEQUENCES = "slot long, doc_id long, piece int, n_tokens int, ids array<int>"
+
+
+def record_body(length: int) -> np.dtype:
+    """A record without its end mark."""
+    return np.dtype([("doc_id", "<i8"), ("slot", "<i8"), ("piece", "<u4"), ("flags", "<u2"),
+                     ("n_tokens", "<u2"), ("ids", "<u2", (length,))])
 
 
 def record_type(length: int) -> np.dtype:
-    return np.dtype([("doc_id", "<i8"), ("place", "<i8"), ("piece", "<u4"), ("flags", "<u2"),
-                     ("n_tokens", "<u2"), ("ids", "<u2", (length,)),
-                     ("end", f"S{len(RECORD_END)}")])
+    return np.dtype([*record_body(length).descr, ("end", f"S{len(RECORD_END)}")])
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -46,15 +56,18 @@ def _mixed(x: np.ndarray, key: int) -> np.ndarray:
 
 
 def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
-    """The place of each index: a keyed bijection of 0 .. size-1.
+    """The slot of each index: a keyed bijection of 0 .. size-1.
 
     A balanced Feistel network permutes the next power of four, which is less than four times
-    `size` large; what leaves the space is put through it again until it comes back.
+    `size` large; what leaves the space is put through it again until it comes back, which it does
+    as its cycle holds the index it came from.
     """
+    out = np.asarray(index).astype(np.uint64)
+    if len(out) and not 0 <= int(np.min(index)) <= int(np.max(index)) < size:
+        raise ValueError(f"an index is outside the {size} sequences")
     half = max(1, (max(size - 1, 1).bit_length() + 1) // 2)
     mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
     keys = np.random.default_rng(key).integers(0, 2**63, ROUNDS)
-    out = np.asarray(index).astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
         x = out[todo]
@@ -67,9 +80,30 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _index_bound(length: int):
-    """Sequences that a text can give at most: one id a byte, and the end."""
-    return F.ceil((F.octet_length("text") + 1) / length)
+def _splits(docs: DataFrame) -> DataFrame:
+    """doc_id, text and `split`, a number of the scan's partition and of the file range in it."""
+    return texts(docs).select("doc_id", "text", F.xxhash64(
+        F.spark_partition_id(), F.input_file_name(), F.input_file_block_start()).alias("split"))
+
+
+def _counts(rows: DataFrame, source: str, length: int) -> DataFrame:
+    """split, n, least: the sequences of every split, and its least doc_id."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        n_ids, n, least = tokenizer(source).count, {}, {}
+        for batch in batches:
+            for doc_id, text, split in zip(*batch.columns):
+                split, doc_id = split.as_py(), doc_id.as_py()
+                n[split] = n.get(split, 0) + n_ids(text.as_py()) // length + 1
+                if doc_id is not None and doc_id < least.get(split, 1 << 63):
+                    least[split] = doc_id
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()),
+             pa.array([least.get(s) for s in n], pa.int64())], names=["split", "n", "least"])
+
+    return rows.mapInArrow(count, "split long, n long, least long")
 
 
 def write_in_training_order(
@@ -78,126 +112,150 @@ def write_in_training_order(
 ) -> None:
     """Tokenizes `docs`, cuts each document into sequences of `length` ids and writes them to `path`.
 
-    The order is fixed by `key` and the layout of `docs`, which is scanned twice and must be a
-    table or a checkpoint. `shard_records` is the mean number of records that a file's range could
-    hold. A null text is empty and gives one sequence, the end id; null doc_ids are marked in the
-    record; repeated rows give sequences each; an empty table gives no files; other columns are
-    ignored. Ids must be below 65,536. Lost tasks write again: files appear when the job commits.
+    `docs` is scanned twice and must be a table or a checkpoint; the order is fixed by `key` and by
+    the order of its rows (see above). Every file but the last holds `shard_records` records. A null
+    text is empty and gives one sequence, the end id; null doc_ids are marked in the record;
+    repeated rows give sequences each; an empty table gives no files; other columns are ignored.
+    Ids of 65,536 and more raise an error. Lost tasks write again: files appear when the job commits.
     """
-    spark, source = docs.sparkSession, tokenizer_path or default_path()
-    rows = texts(docs)
-    # One row per scan partition reaches the driver.
-    sizes = {r.part: r.n for r in rows.groupBy(F.spark_partition_id().alias("part"))
-             .agg(F.sum(_index_bound(length)).alias("n")).collect()}
+    if length < 1 or shard_records < 1 or not 0 <= end_id <= LAST_TOKEN:
+        raise ValueError("length and shard_records are above 0, end_id fits two bytes")
+    source, rows = tokenizer_path or default_path(), _splits(docs)
+    # One row per split of the scan reaches the driver.
+    splits = sorted(_counts(rows, source, length).collect(),
+                    key=lambda r: (r.least is None, r.least or 0, r.split))
     firsts, size = {}, 0
-    for part in sorted(sizes):
-        firsts[part], size = size, size + sizes[part]
+    for r in splits:
+        firsts[r.split], size = (size, size + r.n), size + r.n
     if not size:
         return
-    ranges = -(-size // shard_records)
-    dtype, end = record_type(length), end_id.to_bytes(4, "little")
+    body, end = record_body(length), end_id.to_bytes(4, "little")
 
     def sequences(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        at, encode = firsts.get(TaskContext.get().partitionId(), 0), tokenizer(source).encode
+        encode, at = tokenizer(source).encode, {}
+        held = np.zeros(BATCH_RECORDS, body)
+        ids = np.zeros((BATCH_RECORDS, length), np.uint16)
+        index, n = np.zeros(BATCH_RECORDS, np.int64), 0
+
+        def flush() -> pa.RecordBatch:
+            records = held[:n].copy()
+            records["ids"] = ids[:n]
+            records["slot"] = permuted(index[:n], size, key)
+            ends = np.arange(0, (n + 1) * body.itemsize, body.itemsize, dtype=np.int32)
+            slot = records["slot"].copy()
+            return pa.RecordBatch.from_arrays(
+                [pa.array((slot // shard_records).astype(np.int32)), pa.array(slot),
+                 pa.Array.from_buffers(pa.binary(), n, [
+                     None, pa.py_buffer(ends), pa.py_buffer(records.view(np.uint8))])],
+                names=["shard", "slot", "record"])
+
         for batch in batches:
-            texts_in, index, owner, parts = batch.column(1).to_pylist(), [], [], []
-            for row, text in enumerate(texts_in):
-                ids = np.frombuffer(encode(text) + end, "<u4")
-                n = -(-len(ids) // length)
-                parts += [ids[k * length:(k + 1) * length] for k in range(n)]
-                index += range(at, at + n)
-                owner += [row] * n
-                at += -(-(len(text.encode()) + 1) // length)
-            if not parts:
-                continue
-            owner = np.array(owner)
-            first = np.r_[True, owner[1:] != owner[:-1]]
-            doc_ids, nulls = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_null()
-            records = np.zeros(len(parts), dtype)
-            records["doc_id"] = doc_ids[owner]
-            records["flags"] = nulls.to_numpy(zero_copy_only=False)[owner] * NULL_ID
-            records["piece"] = np.arange(len(owner)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-            records["n_tokens"] = [len(p) for p in parts]
-            records["place"] = permuted(np.array(index), size, key)
-            for record, part in zip(records["ids"], parts):
-                record[:len(part)] = part
-            body = dtype.itemsize - len(RECORD_END)
-            data = records.tobytes()
-            place = records["place"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place * ranges // size if size * ranges < 2**62 else
-                          [int(p) * ranges // size for p in place], pa.int32()),
-                 pa.array(place),
-                 pa.array([data[k:k + body] for k in range(0, len(data), dtype.itemsize)])],
-                names=["range", "place", "record"])
-
-    (rows.mapInArrow(sequences, "range int, place long, record binary")
-     .repartitionById(ranges, "range").sortWithinPartitions("place")
+            for doc_id, text, split in zip(*batch.columns):
+                doc_id, split = doc_id.as_py(), split.as_py()
+                tokens = np.frombuffer(encode(text.as_py()) + end, "<u4")
+                if int(tokens.max()) > LAST_TOKEN:
+                    raise ValueError(f"the id {tokens.max()} does not fit two bytes")
+                pieces, first = -(-len(tokens) // length), at.get(split)
+                first = firsts[split][0] if first is None else first
+                at[split] = first + pieces
+                if at[split] > firsts[split][1]:
+                    raise ValueError("a split gives more sequences than it was counted with")
+                done = 0
+                while done < pieces:
+                    take = min(pieces - done, BATCH_RECORDS - n)
+                    part = tokens[done * length:(done + take) * length]
+                    flat = ids[n:n + take].reshape(-1)
+                    flat[:len(part)], flat[len(part):] = part, 0
+                    rows = held[n:n + take]
+                    rows["doc_id"], rows["flags"] = doc_id or 0, NULL_ID if doc_id is None else 0
+                    rows["piece"] = np.arange(done, done + take)
+                    rows["n_tokens"] = length
+                    rows["n_tokens"][-1] = len(part) - (take - 1) * length
+                    index[n:n + take] = np.arange(first + done, first + done + take)
+                    done, n = done + take, n + take
+                    if n == BATCH_RECORDS:
+                        yield flush()
+                        n = 0
+        if n:
+            yield flush()
+
+    shards = -(-size // shard_records)
+    (rows.mapInArrow(sequences, "shard int, slot long, record binary")
+     .repartitionById(shards, "shard").sortWithinPartitions("slot")
      # Bytes go out as they are: the text writer copies them and adds the record's end.
      .select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", RECORD_END).text(path))
 
 
-def manifest(spark: SparkSession, path: str, length: int = 256) -> DataFrame:
-    """One row per file, in order: path, records, first_slot. File contents are not read."""
+def manifest(spark: SparkSession, path: str, length: int = 256,
+             shard_records: int = 32_768) -> DataFrame:
+    """One row per file: path, shard, records, first_slot. File contents are not read.
+
+    An empty folder gives no rows; a file's shard is the number in its name.
+    """
     stride = record_type(length).itemsize
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-             .where("length > 0")
-             .select("path", F.expr(f"length div {stride}").alias("records")))
-    return files.withColumn("first_slot", F.coalesce(
-        F.sum("records").over(Window.orderBy("path").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)))
+    shard = F.regexp_extract("path", "part-([0-9]+)[^/]*$", 1).cast("long")
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+            .where("length > 0")
+            .select("path", shard.alias("shard"), F.expr(f"length div {stride}").alias("records"))
+            .withColumn("first_slot", F.col("shard") * shard_records))
 
 
-def read_training_order(spark: SparkSession, path: str, from_slot: int = 0,
-                        length: int = 256) -> DataFrame:
+def read_training_order(spark: SparkSession, path: str, from_slot: int = 0, length: int = 256,
+                        shard_records: int = 32_768) -> DataFrame:
     """The sequences from `from_slot` on: slot, doc_id, piece, n_tokens, ids.
 
-    Files before `from_slot` are left out by name, and records before it are skipped by seeking.
+    Files before `from_slot` are left out by their number; the file that holds it is read and its
+    earlier records are passed over. A `from_slot` beyond the last gives no rows. A record without
+    its end mark, or whose slot is not the one its place says, raises an error.
     """
-    files = manifest(spark, path, length).where(f"first_slot + records > {from_slot}").collect()
+    files = manifest(spark, path, length, shard_records).where(
+        f"first_slot + records > {from_slot}").select("path").collect()
     if not files:
-        return spark.createDataFrame(
-            [], "slot long, doc_id long, piece int, n_tokens int, ids array<int>")
-    firsts, dtype = {f.path.rsplit("/", 1)[1]: f.first_slot for f in files}, record_type(length)
+        return spark.createDataFrame([], SEQUENCES)
+    dtype = record_type(length)
 
     def parse(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                first = firsts[name.rsplit("/", 1)[1]]
-                skip = max(0, from_slot - first)
-                records = np.frombuffer(content.as_buffer(), dtype)[skip:]
-                if not (records["end"] == RECORD_END.encode()).all():
-                    raise ValueError(f"{name} is torn: a record has no end mark")
-                for lo in range(0, len(records), 4096):
-                    part = records[lo:lo + 4096]
+            for name, shard, content in zip(*batch.columns):
+                first = shard.as_py() * shard_records
+                records = np.frombuffer(content.as_buffer(), dtype)
+                slots = np.arange(first, first + len(records))
+                if not (records["end"] == RECORD_END.encode()).all() or (records["slot"] != slots).any():
+                    raise ValueError(f"{name.as_py()} is torn: a record is not at its place")
+                for lo in range(max(0, from_slot - first), len(records), BATCH_RECORDS):
+                    part = records[lo:lo + BATCH_RECORDS]
                     n = part["n_tokens"].astype(int)
                     held = part["ids"][np.arange(length) < n[:, None]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(len(part)) + first + skip + lo),
+                        [pa.array(slots[lo:lo + BATCH_RECORDS]),
                          pa.array(part["doc_id"], mask=part["flags"] & NULL_ID != 0),
                          pa.array(part["piece"].astype("i4")), pa.array(n.astype("i4")),
                          pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype("i4"),
                                                   pa.array(held.astype("i4")))],
                         names=["slot", "doc_id", "piece", "n_tokens", "ids"])
 
+    shard = F.regexp_extract("path", "part-([0-9]+)[^/]*$", 1).cast("long")
     return (spark.read.format("binaryFile").load([f.path for f in files])
-            .select("path", "content")
-            .mapInArrow(parse, "slot long, doc_id long, piece int, n_tokens int, ids array<int>"))
+            .select("path", shard.alias("shard"), "content").mapInArrow(parse, SEQUENCES))
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
-    """Writes `docs` in training order to the shared folder and gives the records read back."""
-    path = shared_path(docs.sparkSession, "training-order")
+    """Writes `docs` in training order to the shared folder and gives the records read back.
+
+    Nulls, repeated rows and other columns as in `write_in_training_order`; an empty table gives
+    no rows.
+    """
+    spark = docs.sparkSession
+    path = shared_path(spark, "training-order")
     write_in_training_order(docs, path, **options)
-    return read_training_order(docs.sparkSession, path, length=options.get("length", 256)) \
-        if _exists(docs.sparkSession, path) else docs.sparkSession.createDataFrame(
-            [], "slot long, doc_id long, piece int, n_tokens int, ids array<int>")
+    layout = {k: v for k, v in options.items() if k in ("length", "shard_records")}
+    return read_training_order(spark, path, **layout) if _exists(spark, path) else \
+        spark.createDataFrame([], SEQUENCES)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -43,8 +43,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def columns_of(docs: DataFrame, name: str) -> list[str]:
-    """The columns of `docs`, refusing the one helper name an operator adds next to them."""
-    if name in docs.columns:
-        raise ValueError(f"the documents have a column {name}, which the operator needs")
-    return docs.columns
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that `docs` has a column of."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

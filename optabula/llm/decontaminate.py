@@ -1,10 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, then exact weighted similarity.
 
-1. Windows. A window has as many words as a benchmark item. It is formed where it lines one of its
-   word shingles up with the same shingle of the item, and where it ends with a shingle of the item
-   and holds enough of them, at any place, to reach the similarity. Left from there to the next such
-   end no window holds more of them, so the first most similar window is formed, whatever the order
-   of the item's parts. Shingle hashes of whole texts meet the items' in one join.
+1. Windows. A window has as many words as a benchmark item. It is formed where it ends with a shingle
+   of the item, or begins the text, and holds enough of the item's shingles, at any place, to reach
+   the similarity. A window that ends otherwise holds no more of them than the one a word before, so
+   the first most similar window is formed, whatever the order of the item's parts. Shingle hashes
+   of whole texts meet the items' in one join.
 2. Fingerprints. The 64-bit SimHash of a window, shingles weighted by their count, is compared with
    all items of its size: fingerprints are cut into blocks, items are listed under every block value
    within `BLOCK_ERRORS` bits of theirs, and windows look their own blocks up. Two fingerprints
@@ -87,9 +87,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
     """(doc_id, text_key, item_id, start, similarity): the best window of each item in a document.
 
     Words are lower-cased and split at blanks, tabs and line ends; shingles have five words, those
-    of shorter items all of its words; documents shorter than an item are one window. Ties go to
-    windows that line a shingle up with an item of the size, then to the first window. Items and texts without words (null, empty) match nothing; null doc_ids and
-    item_ids stay null and are found as such; rows that repeat doc_id and text are one document;
+    of shorter items all of its words; documents shorter than an item are one window. Of equally
+    similar windows the first counts. Items and texts without words (null, empty) match nothing;
+    null doc_ids and item_ids stay null and are found as such; rows that repeat doc_id and text are one document;
     repeated items of one id count as one; an empty table gives no rows; other columns are ignored.
     """
     rows = texts(docs).select("doc_id", text_key(), lower_words().alias("w"))
@@ -129,29 +129,20 @@ def _of_size(rows: DataFrame, given: DataFrame, shingle: int, similarity: float)
     item_shingles = written(shingles(given.select("item_id", "item_key", "size", "w"), "w", shingle),
                             "item-shingles")
     items = written(simhash(item_shingles.groupBy("item_id", "item_key", "size")), "items")
-    lined_up = _broadcast_small(item_shingles.select(
-        "h", "item_key", "size", F.col("pos").alias("at")).distinct())
-    met = (shingles(rows.withColumn("n_words", F.size("w")), "w", shingle).join(lined_up, "h")
+    held_in = _broadcast_small(item_shingles.select("h", "item_key", "size").distinct())
+    met = (shingles(rows.withColumn("n_words", F.size("w")), "w", shingle).join(held_in, "h")
            .groupBy("doc_id", "text_key", "n_words", "size", "item_key")
-           .agg(F.array_sort(F.collect_set("pos")).alias("places"),
-                F.collect_set(F.col("pos") - F.col("at")).alias("lined")))
-    last = F.greatest(F.lit(0), F.col("n_words") - F.col("size"))
-    starts = written(
-        met.select("doc_id", "text_key", "size", F.explode(F.concat(
-            F.transform("lined", lambda x: F.struct(
-                F.greatest(F.lit(0), F.least(x, last)).alias("start"), F.lit(True).alias("aligned"))),
-            F.transform(_full_windows(shingle, similarity), lambda x: F.struct(
-                x.alias("start"), F.lit(False).alias("aligned"))))).alias("s"))
-        .groupBy("doc_id", "text_key", "size", "s.start").agg(F.max("s.aligned").alias("aligned")),
-        "starts")
+           .agg(F.array_sort(F.collect_set("pos")).alias("places")))
+    starts = written(met.select("doc_id", "text_key", "size", F.explode(
+        _full_windows(shingle, similarity)).alias("start")).distinct(), "starts")
     same_doc = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (
         F.col("d.text_key") == F.col("s.text_key"))
     windows = (rows.alias("d").join(starts.alias("s"), same_doc)
-               .select("s.doc_id", "s.text_key", "size", "start", "aligned",
+               .select("s.doc_id", "s.text_key", "size", "start",
                        F.slice("w", F.col("start") + 1, F.col("size")).alias("w"))
                .dropDuplicates(["doc_id", "text_key", "size", "start"]))
     window_shingles = written(shingles(windows, "w", shingle), "window-shingles")
-    window = ["doc_id", "text_key", "size", "start", "aligned"]
+    window = ["doc_id", "text_key", "size", "start"]
     prints = simhash(window_shingles.groupBy(*window))
     near = (prints.select(*window, "fp", F.inline(blocks(F.col("fp"))))
             .join(near_blocks(items),
@@ -177,6 +168,6 @@ def _of_size(rows: DataFrame, given: DataFrame, shingle: int, similarity: float)
         "similarity", F.col("shared") / (F.col("held") + item_held - F.col("shared")))
     return (scored.where(F.col("similarity") >= similarity)
             .groupBy("doc_id", "text_key", "item_id")
-            .agg(F.min(F.struct((-F.col("similarity")).alias("s"), ~F.col("aligned"), "start")).alias("best"))
+            .agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best"))
             .select("doc_id", "text_key", "item_id", F.col("best.start").cast("int").alias("start"),
                     (-F.col("best.s")).alias("similarity")))

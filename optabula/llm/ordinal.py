@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from optabula.kernels import curvature_direction
 
+from .common import fresh
+
 SIZE_BITS = 18
 GRADES = 3
 # Features of fewer sampled documents have weight 0.
@@ -46,7 +48,7 @@ def features(text: str) -> np.ndarray:
               f"\x01length{len(letters).bit_length()}"}
     mask = (1 << SIZE_BITS) - 1
     return np.unique(np.fromiter(
-        (zlib.crc32(k[:32].encode("utf-8", "replace")) & mask for k in kinds), np.int32, len(kinds)))
+        (zlib.crc32(k.encode("utf-8", "replace")) & mask for k in kinds), np.int32, len(kinds)))
 
 
 class Ordinal(NamedTuple):
@@ -134,7 +136,10 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, rated: DataFrame, sample: int = 20_000) -> Ordinal:
-    """Fits on at most `sample` rated documents; equal rows of a document are each a case."""
+    """Fits on at most `sample` rated texts, those whose doc_id and text hash least.
+
+    Rows that repeat a doc_id and its text are one case; other texts of the doc_id are cases too.
+    """
     from collections.abc import Iterator
 
     def hashed(batches: Iterator) -> Iterator:
@@ -142,14 +147,20 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 20_000) -> Ordinal:
 
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([features(t.as_py()) for t in batch.column(1)],
-                                           pa.list_(pa.int32()))], names=["grade", "features"])
+                [*batch.columns[:3], pa.array([features(t.as_py()) for t in batch.column(3)],
+                                              pa.list_(pa.int32()))],
+                names=["doc_id", "text_key", "grade", "features"])
 
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    cases = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                         F.coalesce("text", F.lit("")).alias("text"))
-             .join(F.broadcast(chosen), "doc_id").select("grade", "text")  # at most `sample` ids
-             .mapInArrow(hashed, "grade int, features array<int>").toArrow())
+    text = F.coalesce("text", F.lit(""))
+    cases = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
+                         text.alias("text"))
+             .join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+             .select("doc_id", "text_key", "grade", "text")
+             .mapInArrow(hashed, "doc_id long, text_key long, grade int, features array<int>")
+             .dropDuplicates(["doc_id", "text_key"])
+             .orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(sample)
+             .select("grade", "features").toArrow())
     sets = [np.asarray(x.values) for x in cases.column("features").combine_chunks()] if len(cases) else []
     return fit_ordinal(sets, cases.column("grade").to_numpy().astype(np.int64))
 
@@ -173,14 +184,14 @@ def scored(spark, model: Ordinal, keep_from: int = 2, least: float = 0.5):
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = 20_000, keep_from: int = 2,
              least: float = 0.5) -> DataFrame:
-    """`docs` with the struct `quality` beside its columns, from a model trained on its ratings.
+    """`docs` with the struct `quality` behind its columns, from a model trained on its ratings.
 
     Null texts are empty; null doc_ids are scored and never rated; repeated rows are scored each;
     ties of the sample's hash go to the lesser doc_id; an empty table gives no rows; without any
-    rating all texts are kept; other columns are kept as they are.
+    rating all texts are kept; other columns are kept as they are. Where `docs` has a column
+    `quality`, the struct's name gets an underscore.
     """
-    if "quality" in docs.columns:
-        raise ValueError("the documents have a column quality")
+    name, = fresh(docs, "quality")
     model = train(docs, ratings(labels), sample)
     score = scored(docs.sparkSession, model, keep_from, least)
-    return docs.withColumn("quality", score(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, score(F.coalesce("text", F.lit(""))))

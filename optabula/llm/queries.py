@@ -83,9 +83,10 @@ def op4(spark, sf_dir):
       SELECT doc_id, w, unnest(range(len(w) - 4)) AS p FROM dw WHERE len(w) >= 5)),
     its AS (SELECT item_id, n, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM (
       SELECT item_id, w, len(w) AS n, unnest(range(len(w) - 4)) AS p FROM iw WHERE len(w) >= 5)),
-    st AS (SELECT DISTINCT doc_id, item_id, n,
-        greatest(0, least(ds.p - its.p, len(w) - n)) AS start
-      FROM ds JOIN its USING (s) JOIN dw USING (doc_id)),
+    met AS (SELECT doc_id, item_id, n, m FROM (SELECT DISTINCT doc_id, ds.p, item_id, n, len(w) AS m
+        FROM ds JOIN its USING (s) JOIN dw USING (doc_id)) GROUP BY doc_id, item_id, n, m
+      HAVING count(*) >= 0.8 / 1.8 * (least(m, n) + n - 8) - 1e-6),
+    st AS (SELECT doc_id, item_id, n, unnest(range(greatest(1, m - n + 1))) AS start FROM met),
     win AS (SELECT doc_id, item_id, start, n, s, count(*) AS c
       FROM st JOIN ds USING (doc_id) WHERE p BETWEEN start AND start + n - 5 GROUP BY ALL),
     ic AS (SELECT item_id, s, count(*) AS ci FROM its GROUP BY ALL),
@@ -105,9 +106,8 @@ def op5(spark, sf_dir):
         list_filter(string_split(coalesce(text, ''), chr(10)),
           lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
     ln AS (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d),
-    pairs AS (SELECT doc_id, i, row_number() OVER (PARTITION BY l[i], l[i + 1] ORDER BY doc_id, i) AS k
-      FROM ln WHERE i < len(l)),
-    gone AS (SELECT DISTINCT doc_id, i + o AS i FROM pairs, (VALUES (0), (1)) v(o) WHERE k > 1),
+    gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (
+        PARTITION BY l[i] ORDER BY doc_id, i) AS k FROM ln) WHERE k > 1),
     kept AS (SELECT doc_id, count(gone.i) AS n_removed,
         string_agg(CASE WHEN gone.i IS NULL THEN l[ln.i] END, chr(10) ORDER BY ln.i) AS text
       FROM ln LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)

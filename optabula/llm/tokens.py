@@ -14,9 +14,9 @@ import re
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Bounds of the caches of one Python worker: entries of one generation (two are held). An entry takes
-# 400 bytes at most and 150 as a rule, so that both caches stay below 200 MB and mostly below 80.
-WORDS_KEPT = 160_000
-RUNS_KEPT = 80_000
+# about 150 bytes, so that both caches stay near 200 MB. Smaller ones cost far more than they save.
+WORDS_KEPT = 400_000
+RUNS_KEPT = 300_000
 # Longest word, in bytes, that is kept.
 LONGEST_KEPT = 48
 

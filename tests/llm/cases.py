@@ -32,7 +32,8 @@ def documents(seed=0, n=40):
 
 
 CLASHES = ["piece", "length", "rank", "block", "h", "w", "pos", "fp", "text_key", "shard", "slot",
-           "size", "n", "line", "lines", "start", "phrase", "component_id", "law", "place"]
+           "size", "n", "line", "lines", "start", "phrase", "component_id", "law", "place",
+           "quality", "line_dedup", "__doc_id", "__id", "__text_key", "__gone", "__longest", "__lines"]
 
 
 def frame(spark, rows, extra=True):

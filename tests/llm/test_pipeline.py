@@ -76,7 +76,7 @@ def test_stages(spark, tmp_path):
             want = sorted(repr(tuple(r)[:-1]) for r in rated.collect() if r.quality.kept)
             assert rows_of(docs) == want and 40 < len(want) < len(given)
         if name == "line dedup":
-            new = brute_lines([(d, t) for d, t, *_ in given], 2)
+            new = brute_lines([(d, t) for d, t, *_ in given], 1)
             want = [(d, n, la, s, len(n) if gone else c) for (d, t, la, s, c), (_, n, _, gone) in zip(given, new)]
             assert rows_of(docs) == sorted(map(repr, want)) and any(g[3] for g in new)
         if name == "SimHash near-dedup":

@@ -8,6 +8,11 @@ import pyarrow.compute as pc
 
 DOUBLES = pa.list_(pa.float64())
 
+# Numbers of one piece of a long vector of sums, and the side of a matrix tile of as many numbers.
+PIECE, TILE = 1024, 32
+# Pieces in one Arrow batch: 32 MB.
+PIECES_AT_ONCE = 4096
+
 # Blocks up to this width are solved with Newton steps, wider ones with quasi-Newton steps.
 NEWTON_WIDTH = 256
 
@@ -55,8 +60,221 @@ def loss_and_sigmoid(t):
     return np.maximum(t, 0.0) + np.log1p(e), np.where(t >= 0, 1.0, e) / (1.0 + e)
 
 
+def piece_batches(vectors, keys=None):
+    """Rows of sums -> batches ([block_id], piece, values): vectors cut into pieces of PIECE numbers.
+
+    Long vectors move, and are added, piece by piece: no task needs a group's vectors at once.
+    """
+    vectors = np.ascontiguousarray(vectors, dtype=np.float64)
+    k, size = vectors.shape
+    n = max(1, -(-size // PIECE))
+    cuts = np.minimum(np.arange(n) * PIECE, size)
+    starts = np.append((np.arange(k)[:, None] * size + cuts).ravel(), k * size)
+    flat = vectors.ravel()
+    for lo in range(0, k * n, PIECES_AT_ONCE):
+        hi = min(lo + PIECES_AT_ONCE, k * n)
+        columns = [
+            pa.array((np.arange(lo, hi) % n).astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array((starts[lo:hi + 1] - starts[lo]).astype(np.int32)),
+                                     pa.array(flat[starts[lo]:starts[hi]]))]
+        names = ["piece", "values"]
+        if keys is not None:
+            owner = np.asarray(keys, dtype=np.int64)[np.arange(lo, hi) // n]
+            columns, names = [pa.array(owner), *columns], ["block_id", *names]
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
 def one_partial(values):
-    return pa.RecordBatch.from_arrays([as_lists(np.asarray(values)[None, :])], ["partial"])
+    return piece_batches(np.asarray(values)[None, :])
+
+
+def _runs(batch):
+    """(ids of a run, its lists in one array, its rows) for rows with equal leading columns."""
+    ids = np.stack([c.to_numpy() for c in batch.columns[:-1]], axis=1)
+    lists = batch.column(batch.num_columns - 1)
+    ends = lists.offsets.to_numpy()
+    ends, flat = ends - ends[0], lists.flatten().to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+        yield tuple(ids[lo].tolist()), flat[ends[lo]:ends[hi]], hi - lo
+
+
+def add_pieces(keyed):
+    """mapInArrow body: rows sorted by ([block_id], piece) -> one row of each, with the sum."""
+
+    def emit(done):
+        ids, sums = zip(*done)
+        columns = [pa.array([i[-1] for i in ids], pa.int32()), pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, sums)]).astype(np.int32)), pa.array(np.concatenate(sums)))]
+        names = ["piece", "values"]
+        if keyed:
+            columns, names = [pa.array([i[0] for i in ids], pa.int64()), *columns], ["block_id", *names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches):
+        now, total, done = None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for ids, values, n in _runs(batch):
+                part = values.reshape(n, -1).sum(axis=0)
+                if ids == now:
+                    total = total + part
+                    continue
+                if now is not None:
+                    done.append((now, total))
+                    if len(done) >= PIECES_AT_ONCE:
+                        yield emit(done)
+                        done = []
+                now, total = ids, part
+        if now is not None:
+            yield emit([*done, (now, total)])
+
+    return run
+
+
+def whole_vectors(size, keyed, finish=None):
+    """mapInArrow body: summed pieces sorted by ([block_id], piece) -> one row per vector.
+
+    ``finish`` makes columns and names of a (rows, size) array; by default one column, partial.
+    """
+    most = max(1, (64 << 20) // (8 * size))
+    finish = finish or (lambda vectors: ([as_lists(vectors)], ["partial"]))
+
+    def emit(keys, vectors):
+        if any(len(v) != size for v in vectors):
+            raise ValueError("a sum over rows lacks some of its pieces")
+        columns, names = finish(np.stack(vectors))
+        if keyed:
+            columns, names = [pa.array(keys, pa.int64()), *columns], ["block_id", *names]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches):
+        now, parts, keys, vectors = None, [], [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for ids, values, _ in _runs(batch):
+                key = ids[0] if keyed else 0
+                if key != now and now is not None:
+                    keys.append(now)
+                    vectors.append(np.concatenate(parts))
+                    parts = []
+                    if len(keys) >= most:
+                        yield emit(keys, vectors)
+                        keys, vectors = [], []
+                now = key
+                parts.append(values)
+        if now is not None:
+            yield emit([*keys, now], [*vectors, np.concatenate(parts)])
+
+    return run
+
+
+def pack_symmetric(matrix):
+    """The tiles of TILE x TILE on and above the diagonal, row by row, as one vector."""
+    d = len(matrix)
+    n = -(-d // TILE)
+    padded = np.zeros((n * TILE, n * TILE))
+    padded[:d, :d] = matrix
+    return padded.reshape(n, TILE, n, TILE).swapaxes(1, 2)[np.triu_indices(n)].ravel()
+
+
+def unpack_symmetric(vector, d):
+    n = -(-d // TILE)
+    i, j = np.triu_indices(n)
+    part, tiles = vector.reshape(-1, TILE, TILE), np.empty((n, n, TILE, TILE))
+    tiles[j, i] = part.swapaxes(1, 2)
+    tiles[i, j] = part
+    return tiles.swapaxes(1, 2).reshape(n * TILE, n * TILE)[:d, :d]
+
+
+def packed_size(d):
+    n = -(-d // TILE)
+    return n * (n + 1) // 2 * TILE * TILE
+
+
+def logistic_objective(x, y, models):
+    """Summed logistic loss and its gradient for every model; labels 0/1."""
+    sign = (1.0 - 2.0 * y)[:, None]
+    loss, s = loss_and_sigmoid(sign * (x @ models.T))
+    return loss.sum(axis=0), (sign * s).T @ x
+
+
+def least_squares_objective(x, y, models):
+    """Half the summed squared residuals and their gradient for every model."""
+    residual = x @ models.T - y[:, None]
+    return 0.5 * (residual * residual).sum(axis=0), residual.T @ x
+
+
+def huber_objective(delta):
+    """Squared up to residuals of ``delta``, linear beyond: an objective for targets with outliers."""
+
+    def objective(x, y, models):
+        residual = x @ models.T - y[:, None]
+        clipped = np.clip(residual, -delta, delta)
+        return (clipped * (residual - 0.5 * clipped)).sum(axis=0), clipped.T @ x
+
+    return objective
+
+
+def checked_objective(objective, x, y, models):
+    """The objective's sums of a chunk, with the shapes and numbers that a pass can add up."""
+    losses, grads = objective(x, y, models)
+    losses, grads = np.asarray(losses, dtype=float), np.asarray(grads, dtype=float)
+    if losses.shape != (len(models),) or grads.shape != models.shape:
+        raise ValueError(f"an objective gives losses of shape {(len(models),)} and gradients of "
+                         f"{models.shape}, not {losses.shape} and {grads.shape}")
+    return losses, grads
+
+
+def objective_partials(objective, candidates):
+    """mapInArrow body: [losses, gradients, rows] of one partition, of any objective."""
+    d = candidates.shape[1]
+
+    def run(batches):
+        total, n = 0.0, 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, y = as_matrix(batch.column(0), d), batch.column(1).to_numpy(zero_copy_only=False)
+            checked_rows(x, y)
+            losses, grads = checked_objective(objective, x, y, candidates)
+            total, n = total + np.concatenate([losses, grads.ravel()]), n + len(y)
+        if n:
+            yield from one_partial(np.append(total, float(n)))
+
+    return run
+
+
+def segment_partials(objective, models):
+    """mapInArrow body: the same for every segment of a partition, each with its own models.
+
+    Input columns are vector, number and segment; segments that ask for no model are passed over.
+    """
+    d = next(iter(models.values())).shape[1]
+
+    def run(batches):
+        totals = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if batch.column(2).null_count:
+                raise ValueError("a row has no segment")
+            x, y = as_matrix(batch.column(0), d), batch.column(1).to_numpy(zero_copy_only=False)
+            checked_rows(x, y)
+            keys = batch.column(2).to_numpy()
+            order = np.argsort(keys, kind="stable")
+            for rows in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+                key = int(keys[rows[0]])
+                if key in models:
+                    losses, grads = checked_objective(objective, x[rows], y[rows], models[key])
+                    sums = np.concatenate([losses, grads.ravel(), [float(len(rows))]])
+                    totals[key] = totals[key] + sums if key in totals else sums
+        for key, sums in totals.items():
+            yield from piece_batches(sums[None, :], [key])
+
+    return run
 
 
 def logistic_partials(candidates, with_gradient):
@@ -79,7 +297,7 @@ def logistic_partials(candidates, with_gradient):
             n += len(y)
         if n:
             parts = [losses, grads.ravel()] if with_gradient else [losses]
-            yield one_partial(np.concatenate([*parts, [float(n)]]))
+            yield from one_partial(np.concatenate([*parts, [float(n)]]))
 
     return run
 
@@ -93,7 +311,7 @@ def array_partials(width):
             total += as_matrix(batch.column(0), width).sum(axis=0)
             n += batch.num_rows
         if n:
-            yield one_partial(total)
+            yield from one_partial(total)
 
     return run
 
@@ -108,11 +326,9 @@ def grouped_partials(chunk_sums, width, size, keyed):
 
     def flush(groups):
         keys = list(groups)
-        columns, names = [as_lists(np.stack([groups[key] for key in keys]))], ["partial"]
-        if keyed:
-            columns, names = [pa.array(keys, pa.int64()), *columns], ["block_id", *names]
+        vectors = np.stack([groups[key] for key in keys])
         groups.clear()
-        return pa.RecordBatch.from_arrays(columns, names)
+        return piece_batches(vectors, keys if keyed else None)
 
     def run(batches):
         groups = {}
@@ -132,16 +348,16 @@ def grouped_partials(chunk_sums, width, size, keyed):
                 key = int(keys[rows[0]]) if keyed else 0
                 sums = chunk_sums(a[rows], b[rows])
                 groups[key] = groups[key] + sums if key in groups else sums
-                if len(groups) >= max_groups:
-                    yield flush(groups)
+                if len(groups) >= max_groups and keyed:
+                    yield from flush(groups)
         if groups:
-            yield flush(groups)
+            yield from flush(groups)
 
     return run
 
 
 def gram_sums(weights_at=None):
-    """Chunk sums [A'A, A'b, b'b, n]; with a model, rows are weighted by s(1-s)."""
+    """Chunk sums [tiles of A'A, A'b, b'b, n]; with a model, rows are weighted by s(1-s)."""
 
     def sums(a, b):
         weighted = a
@@ -149,11 +365,25 @@ def gram_sums(weights_at=None):
             s = sigmoid(a @ weights_at)
             weighted = a * (s * (1.0 - s))[:, None]
         return np.concatenate(
-            [(weighted.T @ a).ravel(), weighted.T @ b, [b @ b, float(len(b))]])
+            [pack_symmetric(weighted.T @ a), weighted.T @ b, [b @ b, float(len(b))]])
 
     return sums
 
 
+def finish_grams(d):
+    """``whole_vectors`` finish: summed tiles -> n_rows, n_cols, ata (row-major), atb, btb."""
+
+    def finish(vectors):
+        square = packed_size(d)
+        return [
+            pa.array(vectors[:, -1].astype(np.int64)), pa.array(np.full(len(vectors), d, np.int32)),
+            as_lists(np.stack([unpack_symmetric(v[:square], d).ravel() for v in vectors])),
+            as_lists(vectors[:, square:square + d]), pa.array(vectors[:, -2].copy()),
+        ], ["n_rows", "n_cols", "ata", "atb", "btb"]
+
+    return finish
+
+
 def logistic_sums(model):
     """Chunk sums [n, loss, gradient] at one model."""
 
@@ -310,7 +540,7 @@ def block_losses(models):
         for batch in batches:
             for folded in block_matrices(*batch.columns):
                 total += np.logaddexp(0.0, folded @ models.T).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([as_lists(total[None, :])], names=["partial"])
+        yield from one_partial(total)
 
     return run
 
@@ -434,6 +664,38 @@ def solve_grams(d, rho):
     return run
 
 
+def eigen_grams(d):
+    """Column function body: A'A -> its eigenvectors (row-major, one per column) and eigenvalues."""
+
+    def run(ata):
+        square = as_matrix(ata, d * d).reshape(-1, d, d)
+        if not np.isfinite(square).all():
+            raise ValueError("a gram holds values that are not finite; check the rows")
+        if not len(square):
+            return pa.StructArray.from_arrays(
+                [pa.array([], DOUBLES), pa.array([], DOUBLES)], names=["vectors", "values"])
+        values, vectors = np.linalg.eigh(square)
+        return pa.StructArray.from_arrays(
+            [as_lists(vectors.reshape(-1, d * d)), as_lists(values)], names=["vectors", "values"])
+
+    return run
+
+
+def solve_eigen(d, rho):
+    """Column function body: (A'A + rho I)^-1 (A'b + rho v) from the kept factors: two products.
+
+    Eigenvalues that rounding has made negative count as 0, as those of a gram are not below.
+    """
+
+    def run(vectors, values, atb, v):
+        q = as_matrix(vectors, d * d).reshape(-1, d, d)
+        right = as_matrix(atb, d) + rho * as_matrix(v, d)
+        scaled = np.einsum("kij,ki->kj", q, right) / (np.maximum(as_matrix(values, d), 0.0) + rho)
+        return as_lists(np.einsum("kij,kj->ki", q, scaled))
+
+    return run
+
+
 def multiply_blocks(matrix):
     """Column function body: block @ matrix, row-major."""
 

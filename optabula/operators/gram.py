@@ -12,10 +12,12 @@ from ..functions.prox import sigmoid
 from ..functions.vectors import at, checked, dot, finite, rows_counted
 from .sums import grouped_sums
 
+FACTOR_SCHEMA = "struct<vectors:array<double>,values:array<double>>"
 # Widths up to this one sum the upper triangle with generated columns.
 NARROW_GRAM = 8
 
 GRAM_COLUMNS = ("n_rows", "n_cols", "ata", "atb", "btb")
+GRAM_SCHEMA = "n_rows long, n_cols int, ata array<double>, atb array<double>, btb double"
 
 
 def gram(df: DataFrame, width: int, by: str | None = None, features: str = "features",
@@ -23,7 +25,8 @@ def gram(df: DataFrame, width: int, by: str | None = None, features: str = "feat
     """([by], n_rows, n_cols, ata, atb, btb), ata row-major of width * width values.
 
     Both plans pre-aggregate per partition, so the shuffle carries one d x d sum per
-    partition and group, whatever the group size. ``weights_at`` (a model) weights every
+    partition and group, whatever the group size. Wide sums travel as tiles of the upper
+    triangle, and tasks add tile by tile. ``weights_at`` (a model) weights every
     row by its logistic curvature s(1-s).
     """
     x = F.col(features)
@@ -31,15 +34,9 @@ def gram(df: DataFrame, width: int, by: str | None = None, features: str = "feat
     keys = (by,) if by else ()
     if width > NARROW_GRAM:
         model = None if weights_at is None else np.asarray(weights_at, dtype=float)
-        size = width * width + width + 2
-        sums = grouped_sums(df, kernels.gram_sums(model), width, size, x, b, by)
-        s = F.col("partial")
-        return sums.select(
-            *keys, F.element_at(s, -1).cast("long").alias("n_rows"),
-            F.lit(width).alias("n_cols"), F.slice(s, 1, width * width).alias("ata"),
-            F.slice(s, width * width + 1, width).alias("atb"),
-            at(s, size - 2).alias("btb"),
-        )
+        size = kernels.packed_size(width) + width + 2
+        return grouped_sums(df, kernels.gram_sums(model), width, size, x, b, by,
+                            kernels.finish_grams(width), GRAM_SCHEMA)
     weight = F.lit(1.0)
     if weights_at is not None:
         s = sigmoid(dot(x, list(weights_at)))
@@ -94,6 +91,12 @@ def total_gram(grams: DataFrame, width: int) -> DataFrame:
     )
 
 
+def factored(grams: DataFrame, width: int) -> DataFrame:
+    """Adds ``factor``, the eigenvectors and eigenvalues of A'A: solves for any rho are products."""
+    body = arrow_udf(kernels.eigen_grams(width), FACTOR_SCHEMA)
+    return grams.withColumn("factor", body("ata"))
+
+
 def gram_entries(grams: DataFrame, *keys: str) -> DataFrame:
     """Vectors of a gram table -> (keys, i, j, value); j = n_cols stands for A'b."""
     d = F.col("n_cols")

@@ -7,7 +7,7 @@ and one partial vector per partition. Several candidate models share one scan.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ from ..functions.vectors import (
     rows_counted,
     vector_literal,
 )
-from .sums import PARTIAL, collect_positions, grouped_sums, sum_by_position, sum_partials
+from .sums import KEYED_PIECES, PIECES, collect_sum, collect_sums_by_key, grouped_sums, sum_partials
 
 # Aggregation buffers that still fit one whole-stage codegen stage.
 CODEGEN_BUFFERS = 80
@@ -95,7 +95,13 @@ def logistic_sums(df: DataFrame, models: Sequence[Sequence[float]], with_gradien
     if narrow:
         return _narrow_sums(df, models, with_gradient, features, label)
     body = kernels.logistic_partials(models, with_gradient)
-    return sum_partials(df.select(features, label).mapInArrow(body, PARTIAL))
+    return sum_partials(df.select(features, label).mapInArrow(body, PIECES),
+                        _sums_of(models, with_gradient))
+
+
+def _sums_of(models, with_gradient):
+    k, d = models.shape
+    return k * (d + 1) + 1 if with_gradient else k + 1
 
 
 def _candidates(models, with_gradient, narrow):
@@ -116,13 +122,20 @@ def logistic_pass(df: DataFrame, models, with_gradient: bool = True, features: s
             sums = np.array([np.nan if v is None else v for v in found])
         else:
             body = kernels.logistic_partials(models, with_gradient)
-            partials = df.select(features, label).mapInArrow(body, PARTIAL)
-            width = k * (d + 1) + 1 if with_gradient else k + 1
-            sums = collect_positions(sum_by_position(partials, "partial"), width)
+            partials = df.select(features, label).mapInArrow(body, PIECES)
+            sums = collect_sum(partials, _sums_of(models, with_gradient))
     except PySparkException as error:
-        if "finite" in str(error):
-            raise ValueError("a row is not complete and finite; run require_clean on the rows") from error
-        raise
+        _raise_of_rows(error)
+    return _found(sums, k, d, with_gradient)
+
+
+def _raise_of_rows(error):
+    if "finite" in str(error):
+        raise ValueError("a row is not complete and finite; run require_clean on the rows") from error
+    raise error
+
+
+def _found(sums, k, d, with_gradient=True):
     if not sums[-1]:
         raise ValueError("no training rows")
     if not np.isfinite(sums).all():
@@ -131,6 +144,47 @@ def logistic_pass(df: DataFrame, models, with_gradient: bool = True, features: s
     return Pass(int(sums[-1]), sums[:k], grad)
 
 
+# An objective: (rows x d features, labels or targets, k x d models) -> the summed loss of every
+# model and the gradients of those sums, as arrays of k and of k x d numbers.
+Objective = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def objective_pass(df: DataFrame, models, objective: Objective, features: str = "features",
+                   label: str = "label") -> Pass:
+    """``logistic_pass`` for any objective that is a sum over rows, in Arrow batches.
+
+    ``objective`` runs in the tasks and must not depend on how rows are cut into batches.
+    """
+    models, _ = _candidates(models, True, False)
+    k, d = models.shape
+    partials = df.select(features, label).mapInArrow(
+        kernels.objective_partials(objective, models), PIECES)
+    try:
+        sums = collect_sum(partials, _sums_of(models, True))
+    except PySparkException as error:
+        _raise_of_rows(error)
+    return _found(sums, k, d)
+
+
+def segment_pass(df: DataFrame, models: Mapping[int, np.ndarray], segment: str,
+                 objective: Objective = kernels.logistic_objective, features: str = "features",
+                 label: str = "label") -> dict[int, Pass]:
+    """One pass in which every row meets the models of its segment only: a Pass per segment.
+
+    ``models`` holds k x d models for the integer segments that ask for some; k may differ. Rows of
+    other segments are passed over, rows without a segment raise an error.
+    """
+    models = {key: np.atleast_2d(np.asarray(m, dtype=float)) for key, m in models.items()}
+    check_shipped(sum(m.size for m in models.values()), "the candidate models of all segments")
+    rows = df.select(features, label, F.col(segment).cast("long").alias("segment"))
+    partials = rows.mapInArrow(kernels.segment_partials(objective, models), KEYED_PIECES)
+    try:
+        sums = collect_sums_by_key(partials)
+    except PySparkException as error:
+        _raise_of_rows(error)
+    return {key: _found(sums.get(key, np.zeros(1)), *m.shape) for key, m in models.items()}
+
+
 def batch_of(key: str, fraction: float, seed: int, iteration: int | str) -> str:
     """SQL condition that draws about ``fraction`` of the rows, by an integer key.
 
@@ -143,6 +197,11 @@ def batch_of(key: str, fraction: float, seed: int, iteration: int | str) -> str:
     return f"{x} < {int(fraction * prime)}"
 
 
+def required_key(key: str) -> str:
+    """SQL of the key that raises where it is NULL: such a row would be in no batch."""
+    return f"CASE WHEN ({key}) IS NULL THEN raise_error('a row has no batch key') ELSE ({key}) END"
+
+
 def logistic_value_grad(df: DataFrame, w: Sequence[float], batch_fraction: float = 1.0,
                         seed: int = 42, key: str | None = None, **columns) -> DataFrame:
     """Mean logistic loss and gradient at ``w``: one row (n_rows, loss, gradient).
@@ -152,7 +211,8 @@ def logistic_value_grad(df: DataFrame, w: Sequence[float], batch_fraction: float
     d = len(w)
     if batch_fraction < 1.0 and key is None:
         raise ValueError("a batch needs key, an integer expression that tells rows apart")
-    sampled = df if batch_fraction >= 1.0 else df.where(batch_of(key, batch_fraction, seed, 0))
+    sampled = df if batch_fraction >= 1.0 else df.where(
+        batch_of(required_key(key), batch_fraction, seed, 0))
     sums = F.col("partial")
     n = F.element_at(sums, -1)
     return logistic_sums(sampled, [w], **columns).select(

@@ -14,7 +14,14 @@ from ..functions.prox import soft_threshold
 
 def prox_least_squares(grams: DataFrame, vectors: DataFrame, width: int, rho: float,
                        key: str = "block_id", vector: str = "v") -> DataFrame:
-    """(key, x): (A'A + rho I)^-1 (A'b + rho v) per block, from grams instead of raw rows."""
+    """(key, x): (A'A + rho I)^-1 (A'b + rho v) per block, from grams instead of raw rows.
+
+    Grams with the column ``factor`` (see ``factored``) are not factored again, whatever ``rho`` is.
+    """
+    if "factor" in grams.columns:
+        solve = arrow_udf(kernels.solve_eigen(width, rho), "array<double>")
+        joined = grams.select(key, "factor", "atb").join(vectors.select(key, vector), key)
+        return joined.select(key, solve("factor.vectors", "factor.values", "atb", vector).alias("x"))
     solve = arrow_udf(kernels.solve_grams(width, rho), "array<double>")
     joined = grams.select(key, "ata", "atb").join(vectors.select(key, vector), key)
     return joined.select(key, solve("ata", "atb", vector).alias("x"))

@@ -1,7 +1,14 @@
-"""Summing vectors over rows without funnelling them through one task."""
+"""Summing vectors over rows without funnelling them through one task.
+
+Long vectors, and matrices as vectors of tiles, are cut into pieces. A partition gives its own sums
+as pieces, the shuffle spreads them by piece over all tasks, and every task adds the pieces it got
+one after the other: it holds one sum and one batch, however many partitions or groups there are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -10,43 +17,45 @@ from .. import kernels
 from ..cluster import cut_lineage
 from ..functions.vectors import NARROW_WIDTH
 
+PIECES = "piece int, values array<double>"
+KEYED_PIECES = f"block_id long, {PIECES}"
 PARTIAL = "partial array<double>"
 
 
-def sum_by_position(df: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, pos, value): sums per coordinate.
-
-    Map-side combined, then spread over the shuffle partitions by coordinate, so
-    no reducer sees all partial vectors.
-    """
-    exploded = df.selectExpr(*keys, f"posexplode({column}) AS (pos, value)")
-    return exploded.groupBy(*keys, "pos").agg(F.expr("sum(value) AS value"))
+def added(partials: DataFrame, keyed: bool = False) -> DataFrame:
+    """([block_id], piece, values) of many partitions -> one row of each, with the sum."""
+    keys = ["block_id", "piece"] if keyed else ["piece"]
+    return partials.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        kernels.add_pieces(keyed), KEYED_PIECES if keyed else PIECES)
 
 
-def gather(sums: DataFrame, column: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, pos, value) -> one vector per key. A group holds one value per coordinate."""
-    vector = "transform(array_sort(collect_list(struct(pos, value))), e -> e.value)"
-    return sums.groupBy(*keys).agg(F.expr(f"{vector} AS {column}"))
+def whole(sums: DataFrame, size: int, keyed: bool = False, finish: Callable | None = None,
+          schema: str = PARTIAL) -> DataFrame:
+    """Summed pieces -> one row per vector, made in the task of its key; see ``whole_vectors``."""
+    placed = sums.repartition("block_id") if keyed else sums.repartition(1)
+    ordered = placed.sortWithinPartitions(*(["block_id", "piece"] if keyed else ["piece"]))
+    return ordered.mapInArrow(
+        kernels.whole_vectors(size, keyed, finish), f"block_id long, {schema}" if keyed else schema)
 
 
-def sum_partials(partials: DataFrame) -> DataFrame:
-    """Rows of equally long ``partial`` vectors -> one row with their sum."""
-    return gather(sum_by_position(partials, "partial"), "partial")
+def sum_partials(partials: DataFrame, size: int) -> DataFrame:
+    """Pieces of equally long vectors -> one row ``partial`` with their sum."""
+    return whole(added(partials), size)
 
 
 def grouped_sums(df: DataFrame, chunk_sums, width: int, size: int, vector: Column,
-                 number: Column, by: str | None = None) -> DataFrame:
+                 number: Column, by: str | None = None, finish: Callable | None = None,
+                 schema: str = PARTIAL) -> DataFrame:
     """Numpy sums per group, pre-aggregated in every partition: ([by], partial).
 
-    A group of any size arrives at the shuffle as one short vector per partition.
+    A group of any size arrives at the shuffle as one vector per partition, cut into pieces.
     """
-    columns, keys = [vector.alias("vector"), number.cast("double").alias("number")], ()
+    columns = [vector.alias("vector"), number.cast("double").alias("number")]
     if by:
-        columns, keys = [*columns, F.col(by).cast("long").alias("block_id")], ("block_id",)
+        columns = [*columns, F.col(by).cast("long").alias("block_id")]
     body = kernels.grouped_partials(chunk_sums, width, size, by is not None)
-    schema = f"block_id long, {PARTIAL}" if by else PARTIAL
-    partials = df.select(*columns).mapInArrow(body, schema)
-    sums = gather(sum_by_position(partials, "partial", keys), "partial", keys)
+    partials = df.select(*columns).mapInArrow(body, KEYED_PIECES if by else PIECES)
+    sums = whole(added(partials, by is not None), size, by is not None, finish, schema)
     return sums.withColumnRenamed("block_id", by) if by else sums
 
 
@@ -55,8 +64,8 @@ def sum_vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     if width <= NARROW_WIDTH:
         sums = ", ".join(f"sum({column}[{i}])" for i in range(width))
         return df.selectExpr(f"array({sums}) AS {column}")
-    partials = df.select(column).mapInArrow(kernels.array_partials(width), PARTIAL)
-    return sum_partials(partials).withColumnRenamed("partial", column)
+    partials = df.select(column).mapInArrow(kernels.array_partials(width), PIECES)
+    return sum_partials(partials, width).withColumnRenamed("partial", column)
 
 
 def cut_and_sum(df: DataFrame, packed: str, width: int) -> tuple[DataFrame, np.ndarray]:
@@ -69,8 +78,8 @@ def cut_and_sum(df: DataFrame, packed: str, width: int) -> tuple[DataFrame, np.n
     if width > NARROW_WIDTH:
         kept = cut_lineage(df)
         partials = kept.selectExpr(f"{packed} AS packed").mapInArrow(
-            kernels.array_partials(width), PARTIAL)
-        return kept, collect_positions(sum_by_position(partials, "partial"), width)
+            kernels.array_partials(width), PIECES)
+        return kept, collect_sum(partials, width)
     seen = Observation()
     observed = df.selectExpr("*", f"{packed} AS packed").observe(
         seen, *[F.expr(f"sum(packed[{i}]) AS s{i}") for i in range(width)])
@@ -82,9 +91,17 @@ def cut_and_sum(df: DataFrame, packed: str, width: int) -> tuple[DataFrame, np.n
     return kept, np.array(sums)
 
 
-def collect_positions(sums: DataFrame, width: int) -> np.ndarray:
-    """(pos, value) rows -> driver vector."""
+def collect_sum(partials: DataFrame, width: int) -> np.ndarray:
+    """Pieces of vectors of ``width`` numbers -> their sum on the driver, 0 without any."""
     total = np.zeros(width)
-    for pos, value in sums.collect():
-        total[pos] = value
+    for piece, values in added(partials).collect():
+        total[piece * kernels.PIECE:piece * kernels.PIECE + len(values)] = values
     return total
+
+
+def collect_sums_by_key(partials: DataFrame) -> dict[int, np.ndarray]:
+    """Keyed pieces -> the summed vector of every key, on the driver."""
+    parts: dict[int, dict[int, list]] = {}
+    for key, piece, values in added(partials, keyed=True).collect():
+        parts.setdefault(key, {})[piece] = values
+    return {key: np.concatenate([found[p] for p in sorted(found)]) for key, found in parts.items()}

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
-from ..cluster import check_shipped, cut_lineage, scan_partitions
+from ..cluster import MAX_SHIPPED_BYTES, check_shipped, cut_lineage, scan_partitions
 from ..functions.vectors import array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
-from ..operators.gram import total_gram
-from ..operators.sums import PARTIAL, collect_positions, cut_and_sum, sum_by_position
+from ..operators.gram import factored, total_gram
+from ..operators.sums import PIECES, collect_sum, cut_and_sum
 from .passes import infer_width
 from .penalties import Penalty, Prox, prox_function
 from .trace import Fit, Trace
@@ -78,9 +78,10 @@ def logistic_solution(z: Sequence[float], rho: float, inner_tol: float,
 
 def least_squares_solution(z: Sequence[float], rho: float, inner_tol: float = 0.0,
                            memory: int = 0) -> Column:
-    """Column of x-updates for rows holding a gram and its state."""
+    """Column of x-updates for rows holding a factored gram and its state: products only."""
     center = F.expr(f"zip_with({array_sql(z)}, u, (a, b) -> a - b)")
-    x = arrow_udf(kernels.solve_grams(len(z), rho), "array<double>")("ata", "atb", center)
+    x = arrow_udf(kernels.solve_eigen(len(z), rho), "array<double>")(
+        "factor.vectors", "factor.values", "atb", center)
     return F.struct(x.alias("x"), F.lit(1).alias("steps"), F.lit(0.0).alias("grad_norm"),
                     F.lit(True).alias("solved"))
 
@@ -245,15 +246,22 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
 
 
 def logistic_losses(blocks: DataFrame, models: np.ndarray) -> np.ndarray:
-    """Summed logistic loss of every model over sign-folded blocks."""
-    check_shipped(models.size, "the iterates")
-    partials = blocks.select("values", "n_rows", "n_cols").mapInArrow(
-        kernels.block_losses(models), PARTIAL)
-    return collect_positions(sum_by_position(partials, "partial"), len(models))
+    """Summed logistic loss of every model over sign-folded blocks.
+
+    One pass for as many models as may be shipped to the tasks at once.
+    """
+    k, d = models.shape
+    check_shipped(d, "one iterate")
+    at_once = max(1, MAX_SHIPPED_BYTES // (8 * d))
+    rows, found = blocks.select("values", "n_rows", "n_cols"), []
+    for lo in range(0, k, at_once):
+        part = models[lo:lo + at_once]
+        found.append(collect_sum(rows.mapInArrow(kernels.block_losses(part), PIECES), len(part)))
+    return np.concatenate(found)
 
 
 def least_squares_losses(grams: DataFrame, models: np.ndarray) -> np.ndarray:
-    """Half the summed squared residuals of every model, from the total gram."""
+    """Half the summed squared residuals of every model, from the total of the grams."""
     d = models.shape[1]
     total = total_gram(grams, d).first()
     ata, atb = np.array(total["ata"]).reshape(d, d), np.array(total["atb"])
@@ -314,10 +322,15 @@ def admm_least_squares(grams: DataFrame, partitions: int | None = None, durable:
                        **options) -> Fit:
     """Least squares over a per-block gram table; iterations never read raw rows.
 
+    Every gram is factored once, before the first iteration, and the factors are kept with it: an
+    iteration costs two products per block, and a change of ``rho`` nothing.
     ``rho`` defaults to the rows per block, the curvature of standardized features.
     """
     trace = Trace(run_id, "admm_least_squares")
-    with co_partitioned(grams, partitions, durable) as held:
+    first = grams.select("n_cols").first()
+    if first is None:
+        raise ValueError("no blocks")
+    with co_partitioned(factored(grams, first.n_cols), partitions, durable) as held:
         n_blocks, n_rows, d = block_totals(held)
         options.setdefault("rho", n_rows / n_blocks)
         return consensus_admm(

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..cluster import scan_partitions
-from ..operators.objectives import logistic_pass
+from ..operators.objectives import Objective, logistic_pass, objective_pass
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -48,23 +48,25 @@ def infer_width(df: DataFrame, features: str = "features") -> int:
     return len(row[0])
 
 
-class MeanLogistic:
-    """Mean logistic loss; calling it with k models costs one pass over the rows."""
+class MeanObjective:
+    """Mean loss over the rows; calling it with k models costs one pass.
 
-    def __init__(self, df: DataFrame, features: str = "features", label: str = "label"):
-        self.rows, self.columns = df.select(features, label), (features, label)
-        self.passes = 0
+    Logistic loss by default; any other is a function that runs in the tasks, see ``Objective``.
+    """
+
+    def __init__(self, df: DataFrame, features: str = "features", label: str = "label",
+                 objective: Objective | None = None):
+        self.rows, self.columns = df.select(features, label), {"features": features, "label": label}
+        self.objective, self.passes = objective, 0
 
     def __call__(self, models):
-        features, label = self.columns
-        result = logistic_pass(self.rows, models, features=features, label=label)
+        if self.objective is None:
+            result = logistic_pass(self.rows, models, **self.columns)
+        else:
+            result = objective_pass(self.rows, models, self.objective, **self.columns)
         self.passes += 1
         return result.mean_loss, result.mean_grad
 
-    def one(self, w):
-        loss, grad = self(w)
-        return float(loss[0]), grad[0]
-
 
 def penalized_mask(d: int, intercept: bool) -> np.ndarray:
     """1 for penalized coordinates; the intercept (last) is free."""

@@ -83,7 +83,7 @@ def n_rows(spark, sf_dir):
     return B.n_rows(event_blocks(spark, sf_dir))
 
 
-@query("n_cols", "SELECT CAST(3 + 0 * count(*) AS INTEGER) AS n_cols FROM events")
+@query("n_cols", f"WITH {EVENTS_SQL} SELECT CAST(max(len([v1, v2, v3])) AS INTEGER) AS n_cols FROM r")
 def n_cols(spark, sf_dir):
     return B.n_cols(event_blocks(spark, sf_dir))
 

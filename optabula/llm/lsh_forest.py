@@ -5,18 +5,18 @@
    each of `FUNCTIONS` MinHash values.
 2. A tree is the sorted order of its signatures; classes whose signatures share a prefix are
    neighbours there. Every class takes part at the least depth at which its region, the classes
-   with the same prefix, has at most `region_limit` members: sparse regions compare after one value,
-   dense ones after more. Within a region, pairs whose sizes and sketches allow the similarity are
-   candidates; a region gives a spanning forest of them. A region that is still larger at the full
-   depth is a candidate as a whole.
+   with the same prefix, has at most `region_limit` members: sparse regions compare after two
+   values, dense ones after more. Within a region, pairs whose sizes and sketches allow the
+   similarity are candidates; a region gives a spanning forest of them. A region that is still
+   larger at the full depth is a candidate as a whole.
 3. Components of candidates hold every pair that must be compared. Their full sets meet once, in
    cells of bounded size: a component is one cell, or is dealt into chunks and compared chunk by
    chunk. A cell counts intersections exactly and gives a spanning forest of the true links.
 4. Components of the true links are the result.
 
-A pair at the bound of 0.8 is missed by all trees with a probability of 0.2**16 after one value,
-0.36**16 after two and 0.59**16 after four; beyond that depth most links of a dense region are found
-through other members.
+A pair at the bound of 0.8 is missed by all trees with a probability of 0.36**16 after two values,
+0.49**16 after three and 0.59**16 after four; beyond that depth most links of a dense region are
+found through other members.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .common import text_key, texts, written
 from .components import connected
 
 TREES = 16
-DEPTHS = (1, 2, 3, 4, 6, 8)
+DEPTHS = (2, 3, 4, 6, 8)
 FUNCTIONS = 256
 # Regions of at most so many members are looked over at once.
 SMALL = 48
@@ -176,7 +176,26 @@ def most_differing(percent: int) -> int:
     return int(FUNCTIONS * share + 6.5 * (FUNCTIONS * share * (1 - share)) ** 0.5)
 
 
-def candidates(trees: DataFrame, percent: int, region_limit: int) -> DataFrame:
+def placed(trees: DataFrame, hot_region: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with `place`, whose rows meet in one task, and the links of what is too dense for it.
+
+    Rows meet by their prefix of the least depth; those of a prefix that more than `hot_region`
+    share, by their full prefix. Where that is shared by more still, each is linked to the least.
+    """
+    first, full = KEYS[0], KEYS[-1]
+    sizes = written(trees.groupBy(first).count().where(F.col("count") > hot_region).select(first), "hot")
+    if sizes.isEmpty():
+        return trees.withColumn("place", F.col(first)), None
+    cool = trees.join(sizes, first, "left_anti").withColumn("place", F.col(first))
+    hot = trees.join(sizes, first, "left_semi")
+    dense = written(hot.groupBy(full).agg(F.count(F.lit(1)).alias("count"), F.min("node").alias("v"))
+                    .where(F.col("count") > hot_region).select(full, "v"), "dense")
+    links = hot.join(dense, full).select(F.col("node").alias("u"), "v")
+    split = hot.join(dense, full, "left_anti").withColumn("place", F.col(full))
+    return cool.unionByName(split), links
+
+
+def candidates(trees: DataFrame, percent: int, region_limit: int, hot_region: int) -> DataFrame:
     """(u, v): links that connect all pairs of classes of which some tree makes a candidate."""
     differing = most_differing(percent)
 
@@ -184,46 +203,53 @@ def candidates(trees: DataFrame, percent: int, region_limit: int) -> DataFrame:
         import pyarrow as pa
 
         for columns in runs_of(batches, 1):
-            key, node, n = (c.to_numpy() for c in columns[:3])
-            sketch = np.stack([c.to_numpy().view(np.uint64) for c in columns[3:]], axis=1)
+            place, node, n = (c.to_numpy() for c in columns[:3])
+            sketch = np.stack([c.to_numpy().view(np.uint64) for c in columns[3:3 + len(SKETCH)]], axis=1)
+            keys = [c.to_numpy() for c in columns[3 + len(SKETCH):]]
+            out = []
 
             def allowed(i, js):
                 gap = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=-1)
                 near = 100 * np.minimum(n[i], n[js]) >= percent * np.maximum(n[i], n[js])
                 return near & (gap <= differing)
 
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[starts, len(key)])
-            two = starts[sizes == 2]
-            two = two[allowed(two, two + 1)] if len(two) else two
-            u, v = [node[two]], [node[two + 1]]
-            for lo, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            def runs(column, lo, hi):
+                cuts = np.flatnonzero(column[lo + 1:hi] != column[lo:hi - 1]) + lo + 1
+                return zip([lo, *cuts.tolist()], [*cuts.tolist(), hi])
+
+            def region(lo, hi, depth):
+                """Links within the rows lo to hi, which share their prefix of KEYS[depth]."""
+                size = hi - lo
+                if size > region_limit and depth + 1 < len(KEYS):
+                    for a, b in runs(keys[depth + 1], lo, hi):
+                        if b - a > 1:
+                            region(a, b, depth + 1)
+                    return
+                if size > region_limit:
+                    out.append(np.stack([node[lo + 1:hi], np.full(size - 1, node[lo])], axis=1))
+                    return
                 if size <= SMALL:
                     one, other = np.triu_indices(size, 1)
                     if not allowed(lo + one, lo + other).any():
-                        continue
+                        return
                 pairs = spanning(size, lambda i, js: allowed(lo + i, lo + js))
                 if pairs:
-                    ends = node[lo + np.array(pairs)]
-                    u.append(ends[:, 0])
-                    v.append(ends[:, 1])
+                    out.append(node[lo + np.array(pairs)])
+
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            sizes = np.diff(np.r_[starts, len(place)])
+            two = starts[sizes == 2]
+            two = two[allowed(two, two + 1)] if len(two) else two
+            out.append(np.stack([node[two], node[two + 1]], axis=1))
+            for lo, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+                region(lo, lo + size, 0)
+            pairs = np.concatenate(out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    left, regions, links = trees, None, None
-    for k, key in enumerate(KEYS):
-        sizes = written(left.groupBy(F.col(key).alias("key")).count()
-                        .where(F.col("count") > region_limit).select("key"), "dense")
-        here = left.withColumn("key", F.col(key))
-        sparse = here.join(sizes, "key", "left_anti").select("key", "node", "n", *SKETCH)
-        regions = sparse if regions is None else regions.unionByName(sparse)
-        if sizes.isEmpty():
-            break
-        left = here.join(sizes, "key").drop("key")
-        if k == len(KEYS) - 1:
-            least = left.groupBy(key).agg(F.min("node").alias("v"))
-            links = left.join(least, key).select(F.col("node").alias("u"), "v")
-    found = regions.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+                [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+
+    rows, links = placed(trees, hot_region)
+    found = (rows.select("place", "node", "n", *SKETCH, *KEYS).repartition("place")
+             .sortWithinPartitions("place", *KEYS).mapInArrow(run, "u long, v long"))
     return found if links is None else found.unionByName(links)
 
 
@@ -324,7 +350,7 @@ def confirmed(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def minhash_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
-                   region_limit: int = 1024) -> DataFrame:
+                   region_limit: int = 1024, hot_region: int = 1 << 16) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id, kept.
 
     Documents are linked if the Jaccard similarity of their sets of distinct shingles is `percent`
@@ -341,7 +367,7 @@ def minhash_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
     classes = written(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.min(place).alias("rep"), F.first("values").alias("values")), "classes")
     trees = written(tree_rows(classes), "trees")
-    near = connected(candidates(trees, percent, region_limit))
+    near = connected(candidates(trees, percent, region_limit, hot_region))
     sets = full_sets(docs, written(dealt(classes, near), "places"), shingle)
     roots = connected(confirmed(sets, percent))
     named = classes.join(roots, "node", "left").select(

@@ -216,10 +216,11 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("shingle, seed, limit", [(2, 0, 1024), (5, 1, 1024), (2, 2, 8), (1, 3, 2)])
-def test_minhash_groups(spark, shingle, seed, limit):
+@pytest.mark.parametrize("shingle, seed, limit, hot", [
+    (2, 0, 1024, 9999), (5, 1, 1024, 9999), (2, 2, 8, 9999), (2, 3, 2, 20), (1, 4, 2, 3)])
+def test_minhash_groups(spark, shingle, seed, limit, hot):
     rows = documents(seed) + near_copies(seed)
-    got = minhash_groups(frame(spark, rows), shingle=shingle, region_limit=limit).collect()
+    got = minhash_groups(frame(spark, rows), shingle=shingle, region_limit=limit, hot_region=hot).collect()
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id, r.kept)) for r in got) == \
         brute_minhash(rows, shingle, 80)
 

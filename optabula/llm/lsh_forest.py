@@ -281,7 +281,8 @@ def full_sets(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
                     names=["node", "root", "chunk", "chunks", "hashes"])
 
     rows = texts(docs).select("doc_id", text_key(), "text")
-    held = rows.join(places, (rows.text_key == places.rep_key) & rows.doc_id.eqNullSafe(places.rep_id))
+    # Sorted and merged at every size: places grow with the documents.
+    held = rows.join(places.hint("merge"), (rows.text_key == places.rep_key) & rows.doc_id.eqNullSafe(places.rep_id))
     return held.select("node", "root", "chunk", "chunks", "text").mapInArrow(
         run, "node long, root long, chunk int, chunks int, hashes binary")
 
@@ -374,7 +375,7 @@ def minhash_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
         "node", F.col("rep.doc_id").alias("least"), F.coalesce("root", "node").alias("root"))
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = named.join(groups, "root").select(F.col("node").alias("of"), "component_id")
-    out = rows.join(of_node, rows.node == of_node.of, "left")
+    out = rows.join(of_node.hint("merge"), rows.node == of_node.of, "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"),
                       component.alias("component_id"),

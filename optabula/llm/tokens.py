@@ -15,15 +15,16 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Bounds of the caches of one Python worker: entries of one generation (two are held). An entry takes
 # about 150 bytes, so that both caches stay near 200 MB. Smaller ones cost far more than they save.
-WORDS_KEPT = 400_000
-RUNS_KEPT = 300_000
+WORDS_KEPT = 300_000
+RUNS_KEPT = 400_000
 # Longest word, in bytes, that is kept.
 LONGEST_KEPT = 48
 
-# Words whose split into runs is the same in Python and in the tokenizer's own pattern: printable
-# ASCII and precomposed Latin letters. Other words go through the tokenizer as they are.
+# Words, and texts of such words, whose split into runs is the same in Python and in the tokenizer's
+# own pattern: printable ASCII and precomposed Latin letters. Others go through it word by word.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN_TEXT = re.compile("[ \\t\\n\\x0b\\f\\r!-~À-ÖØ-öø-ÿ]*")
+_RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t\\n\\x0b\\f\\ra-z0-9ß-öø-ÿ]+")
 _SPECIAL = "<|"
 
 
@@ -52,6 +53,13 @@ class WordTokenizer:
         return sum(map(len, self._parts(text))) // 4
 
     def _parts(self, text: str) -> list[bytes]:
+        if _PLAIN_TEXT.fullmatch(text) and _SPECIAL not in text:
+            runs = _RUNS.findall(text.lower())
+            parts = list(map(self.runs.get, runs))
+            if None in parts:
+                run = self._run
+                parts = [run(r) if p is None else p for r, p in zip(runs, parts)]
+            return parts
         # bytes.split() takes blanks, tabs and line ends for white space, as the file does.
         words = text.encode().split()
         parts = list(map(self.words.get, words))

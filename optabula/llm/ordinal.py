@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from optabula.kernels import curvature_direction
 
-from .common import fresh
+from .common import fresh, written
 
 SIZE_BITS = 18
 GRADES = 3
@@ -92,13 +92,14 @@ def fit_ordinal(sets: list[np.ndarray], grades: np.ndarray, ridge: float = 5e-4,
     weights = np.zeros(1 << SIZE_BITS, np.float32)
     if not len(grades):
         return Ordinal(weights, np.full(GRADES - 1, -np.inf))
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
     index = np.concatenate(sets)
     held = np.bincount(index, minlength=1 << SIZE_BITS) >= LEAST_DOCUMENTS
-    number = np.cumsum(held) - 1
+    number = (np.cumsum(held) - 1).astype(np.int32)
     keep = held[index]
     n_features = int(held.sum())
     rows = (number[index[keep]], owner[keep], n_features)
+    del owner, index, keep
     p = np.r_[np.zeros(n_features), -1.0, np.zeros(GRADES - 2)]
     value, grad = _loss(p, rows, grades, ridge)
     pairs: list = []
@@ -153,14 +154,16 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 20_000) -> Ordinal:
 
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce("text", F.lit(""))
-    cases = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
+    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"),
                          text.alias("text"))
              .join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
              .select("doc_id", "text_key", "grade", "text")
              .mapInArrow(hashed, "doc_id long, text_key long, grade int, features array<int>")
-             .dropDuplicates(["doc_id", "text_key"])
-             .orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(sample)
-             .select("grade", "features").toArrow())
+             .dropDuplicates(["doc_id", "text_key"]))
+    found = written(found, "rated")
+    if found.count() > sample:  # doc_ids that come with several texts
+        found = found.orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(sample)
+    cases = found.select("grade", "features").toArrow()
     sets = [np.asarray(x.values) for x in cases.column("features").combine_chunks()] if len(cases) else []
     return fit_ordinal(sets, cases.column("grade").to_numpy().astype(np.int64))
 

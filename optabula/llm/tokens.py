@@ -48,10 +48,6 @@ class WordTokenizer:
     def encode(self, text: str) -> bytes:
         return b"".join(self._parts(text))
 
-    def count(self, text: str) -> int:
-        """The number of ids."""
-        return sum(map(len, self._parts(text))) // 4
-
     def _parts(self, text: str) -> list[bytes]:
         if _PLAIN_TEXT.fullmatch(text) and _SPECIAL not in text:
             runs = _RUNS.findall(text.lower())

@@ -1,6 +1,8 @@
 """Training order: token sequences in a keyed random order, in files of fixed-stride records.
 
-1. A first pass counts the sequences of every split of the table. Splits are numbered by their least
+1. A first pass tokenizes every text once; Spark keeps the ids, two bytes each, in executor memory
+   and on executor disks beyond it, and a lost part is tokenized again from the table. The same pass
+   counts the sequences of every split of the table. Splits are numbered by their least
    doc_id, rows within a split by their order in it: every sequence has an index, gapless from 0.
    For a table whose files follow the doc_id, indices do not depend on where splits are cut.
 2. A keyed Feistel permutation of the indices, with cycle-walking for sizes that are no power of
@@ -17,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +33,9 @@ ROUNDS = 6
 RECORD_END = "\x1eSEQEND\n"
 # Marks a record whose doc_id is null.
 NULL_ID = 1
-# Records that leave a task at once.
+# Records that leave a task at once, and bytes of ids that do after tokenizing (one text at least).
 BATCH_RECORDS = 1024
+BATCH_BYTES = 1 << 20
 # The last id that a record of two bytes an id can hold.
 LAST_TOKEN = (1 << 16) - 1
 SEQUENCES = "slot long, doc_id long, piece int, n_tokens int, ids array<int>"
@@ -86,24 +90,38 @@ def _splits(docs: DataFrame) -> DataFrame:
         F.spark_partition_id(), F.input_file_name(), F.input_file_block_start()).alias("split"))
 
 
-def _counts(rows: DataFrame, source: str, length: int) -> DataFrame:
-    """split, n, least: the sequences of every split, and its least doc_id."""
+def _tokenized(docs: DataFrame, source: str, length: int, end_id: int) -> DataFrame:
+    """split, doc_id, n, ids: a text's ids and the end id, two bytes each, and its sequences."""
 
-    def count(batches: Iterator) -> Iterator:
+    def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        n_ids, n, least = tokenizer(source).count, {}, {}
+        ids_of, end = tokenizer(source).encode, end_id.to_bytes(4, "little")
+
+        def flush() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(splits, pa.int64()), pa.array(doc_ids, pa.int64()),
+                 pa.array(-(-np.diff(ends) // (2 * length))), pa.array(held, pa.binary())],
+                names=["split", "doc_id", "n", "ids"])
+
+        splits, doc_ids, held, size = [], [], [], 0
         for batch in batches:
             for doc_id, text, split in zip(*batch.columns):
-                split, doc_id = split.as_py(), doc_id.as_py()
-                n[split] = n.get(split, 0) + n_ids(text.as_py()) // length + 1
-                if doc_id is not None and doc_id < least.get(split, 1 << 63):
-                    least[split] = doc_id
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64()),
-             pa.array([least.get(s) for s in n], pa.int64())], names=["split", "n", "least"])
+                tokens = np.frombuffer(ids_of(text.as_py()) + end, "<u4")
+                if int(tokens.max()) > LAST_TOKEN:
+                    raise ValueError(f"the id {tokens.max()} does not fit two bytes")
+                splits.append(split.as_py())
+                doc_ids.append(doc_id.as_py())
+                held.append(tokens.astype("<u2").tobytes())
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield flush()
+                    splits, doc_ids, held, size = [], [], [], 0
+        if held:
+            yield flush()
 
-    return rows.mapInArrow(count, "split long, n long, least long")
+    return _splits(docs).mapInArrow(encode, "split long, doc_id long, n long, ids binary")
 
 
 def write_in_training_order(
@@ -112,29 +130,37 @@ def write_in_training_order(
 ) -> None:
     """Tokenizes `docs`, cuts each document into sequences of `length` ids and writes them to `path`.
 
-    `docs` is scanned twice and must be a table or a checkpoint; the order is fixed by `key` and by
-    the order of its rows (see above). Every file but the last holds `shard_records` records. A null
+    `docs` must be a table or a checkpoint: what is lost is read from it again, in the same order. The
+    order is fixed by `key` and by the order of its rows (see above). Every file but the last holds `shard_records` records. A null
     text is empty and gives one sequence, the end id; null doc_ids are marked in the record;
     repeated rows give sequences each; an empty table gives no files; other columns are ignored.
     Ids of 65,536 and more raise an error. Lost tasks write again: files appear when the job commits.
     """
     if length < 1 or shard_records < 1 or not 0 <= end_id <= LAST_TOKEN:
         raise ValueError("length and shard_records are above 0, end_id fits two bytes")
-    source, rows = tokenizer_path or default_path(), _splits(docs)
+    rows = _tokenized(docs, tokenizer_path or default_path(), length, end_id).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        _write_tokenized(rows, path, key, length, shard_records)
+    finally:
+        rows.unpersist()
+
+
+def _write_tokenized(rows: DataFrame, path: str, key: int, length: int, shard_records: int) -> None:
     # One row per split of the scan reaches the driver.
-    splits = sorted(_counts(rows, source, length).collect(),
-                    key=lambda r: (r.least is None, r.least or 0, r.split))
+    splits = sorted(rows.groupBy("split").agg(F.sum("n").alias("n"), F.min("doc_id").alias("least"))
+                    .collect(), key=lambda r: (r.least is None, r.least or 0, r.split))
     firsts, size = {}, 0
     for r in splits:
         firsts[r.split], size = (size, size + r.n), size + r.n
     if not size:
         return
-    body, end = record_body(length), end_id.to_bytes(4, "little")
+    body = record_body(length)
 
     def sequences(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encode, at = tokenizer(source).encode, {}
+        at = {}
         held = np.zeros(BATCH_RECORDS, body)
         ids = np.zeros((BATCH_RECORDS, length), np.uint16)
         index, n = np.zeros(BATCH_RECORDS, np.int64), 0
@@ -152,12 +178,9 @@ def write_in_training_order(
                 names=["shard", "slot", "record"])
 
         for batch in batches:
-            for doc_id, text, split in zip(*batch.columns):
-                doc_id, split = doc_id.as_py(), split.as_py()
-                tokens = np.frombuffer(encode(text.as_py()) + end, "<u4")
-                if int(tokens.max()) > LAST_TOKEN:
-                    raise ValueError(f"the id {tokens.max()} does not fit two bytes")
-                pieces, first = -(-len(tokens) // length), at.get(split)
+            for split, doc_id, pieces, tokens in zip(*batch.columns):
+                split, doc_id, pieces = split.as_py(), doc_id.as_py(), pieces.as_py()
+                tokens, first = np.frombuffer(tokens.as_buffer(), "<u2"), at.get(split)
                 first = firsts[split][0] if first is None else first
                 at[split] = first + pieces
                 if at[split] > firsts[split][1]:

@@ -2,10 +2,12 @@
 
 1. Every window of `window` words holds the `PHRASE` words that hash least in it. Equal windows hold
    equal phrases, so a window can recur only if its least phrase does. One pass over all texts gives
-   the least phrases (about one in twenty words); grouping confirms those of two documents or more.
+   the least phrases (about one in twenty words) with their texts; grouping confirms those of two
+   documents or more. Where a phrase stands is not kept.
 2. Documents are dealt to shards of about `shard_bytes` of text. A shard gets the confirmed phrases
-   of its documents, compiles them into one automaton and streams its texts through it. Automata
-   thus stay small and every text is streamed once, however many phrases the corpus repeats.
+   of its documents, compiles their texts into one automaton and streams all its documents through
+   it. The automaton alone tells where phrases occur. A phrase goes to the shards that need it, so
+   automata stay small and every text is streamed once, however many phrases the corpus repeats.
 3. Windows around the occurrences are hashed with 128 bits; grouping gives the least doc_id in which
    each word sequence starts. Words of windows that start in a smaller doc_id are removed.
 
@@ -70,17 +72,22 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def least_phrases(words: list[bytes], window: int) -> np.ndarray:
-    """The distinct hashes that are least in some window."""
-    found = [np.zeros(0, np.uint64)]
+def least_phrases(words: list[bytes], window: int) -> dict[int, str]:
+    """The distinct phrases that hash least in some window, by hash."""
+    found = {}
     for at in range(0, len(words) - window + 1, CHUNK):
-        least = sliding_least(phrase_hashes(words[at:at + CHUNK + window - 1]), window - PHRASE + 1)
-        found.append(least[np.r_[True, least[1:] != least[:-1]]])
-    return np.unique(np.concatenate(found)).view(np.int64)
+        h = phrase_hashes(words[at:at + CHUNK + window - 1])
+        least = sliding_least(h, window - PHRASE + 1)
+        least = least[np.r_[True, least[1:] != least[:-1]]]
+        places = np.flatnonzero(np.isin(h, least))
+        for p, x in zip(places.tolist(), h[places].view(np.int64).tolist()):
+            if x not in found:
+                found[x] = b" ".join(words[at + p:at + p + PHRASE]).decode()
+    return found
 
 
 def phrases(docs: DataFrame, window: int, shards: int) -> DataFrame:
-    """(phrase, shard, doc_id, text_key): the least phrases of every document."""
+    """(phrase, words, shard, doc_id, text_key): the least phrases of every document."""
 
     def select(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -90,12 +97,13 @@ def phrases(docs: DataFrame, window: int, shards: int) -> DataFrame:
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             if len(owner):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found)), *[c.take(pa.array(owner))
-                                                       for c in batch.columns[:3]]],
-                    names=["phrase", "shard", "doc_id", "text_key"])
+                    [pa.array([x for f in found for x in f], pa.int64()),
+                     pa.array([w for f in found for w in f.values()], pa.string()),
+                     *[c.take(pa.array(owner)) for c in batch.columns[:3]]],
+                    names=["phrase", "words", "shard", "doc_id", "text_key"])
 
     return sharded(docs, shards).mapInArrow(
-        select, "phrase long, shard int, doc_id long, text_key long")
+        select, "phrase long, words string, shard int, doc_id long, text_key long")
 
 
 def sharded(docs: DataFrame, shards: int) -> DataFrame:
@@ -104,24 +112,23 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
         shard.alias("shard"), F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"), "text_key", "text")
 
 
-def _locate(docs: list[tuple], wanted: dict[tuple, set], window: int) -> dict[tuple, np.ndarray]:
-    """Starts of the windows to be hashed in each document, from one automaton of a shard."""
+def _locate(docs: list[tuple], phrases: set[str], window: int) -> dict[tuple, np.ndarray]:
+    """Starts of the windows to be hashed: those that hold an occurrence the automaton finds."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton()
-    for key, words in docs:
-        mine = np.fromiter(wanted[key], np.int64, len(wanted[key])).view(np.uint64)
-        for at in range(0, len(words) - window + 1, CHUNK):
-            h = phrase_hashes(words[at:at + CHUNK + window - 1])
-            for p in np.flatnonzero(np.isin(h, mine)).tolist():
-                text = b" ".join(words[at + p:at + p + PHRASE]).decode()
-                automaton.add_word(f" {text} ", int(h[p].astype(np.int64)))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for phrase in phrases:
+        automaton.add_word(f" {phrase} ")
     automaton.make_automaton()
     found = {}
     for key, words in docs:
-        n, mine = len(words), wanted[key]
+        n = len(words)
+        if n < window:
+            continue
         text = b" ".join(words).decode()
-        ends = [e for e, phrase in automaton.iter(f" {text} ") if phrase in mine]
+        ends = [e for e, _ in automaton.iter(f" {text} ")]
+        if not ends:
+            continue
         after = np.cumsum([len(w) + 1 for w in text.split(" ")])
         first = np.searchsorted(after, ends) - (PHRASE - 1)
         edge = np.zeros(n + 1, np.int64)  # +1 where starts begin, -1 behind their last
@@ -142,13 +149,12 @@ def shard_windows(window: int):
 
         keys = list(zip(docs["doc_id"].to_pylist(), docs["text_key"].to_pylist()))
         words = [t.as_py().encode().split() for t in docs["text"]]
-        wanted: dict[tuple, set] = {}
-        for key, phrase in zip(zip(hits["doc_id"].to_pylist(), hits["text_key"].to_pylist()),
-                               hits["phrase"].to_pylist()):
-            wanted.setdefault(key, set()).add(phrase)
-        copies = {key for key, found in wanted.items() if None in found}
-        unique = {k: w for k, w in zip(keys, words) if k in wanted and k not in copies}
-        starts = _locate(list(unique.items()), wanted, window) if unique else {}
+        of = list(zip(hits["doc_id"].to_pylist(), hits["text_key"].to_pylist()))
+        wanted = hits["words"].to_pylist()
+        copies = {key for key, phrase in zip(of, wanted) if phrase is None}
+        confirmed = {phrase for phrase in wanted if phrase is not None}
+        unique = {k: w for k, w in zip(keys, words) if k not in copies}
+        starts = _locate(list(unique.items()), confirmed, window) if confirmed else {}
         rows = []
         for key, own in zip(keys, words):
             joined = b" ".join(own)
@@ -229,10 +235,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, shard_bytes: int = 1 <<
                      .select("shard", "doc_id", "text_key").distinct(), "copies")
     found = written(phrases(docs, window, shards), "phrases").join(
         copies, ["shard", "doc_id", "text_key"], "left_anti")
-    confirmed = found.groupBy("phrase").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase")
-    hits = found.join(confirmed, "phrase").select("shard", "doc_id", "text_key", "phrase").unionByName(
-        copies.withColumn("phrase", F.lit(None).cast("long")))
+    # By hash and words, so that phrases that share a hash are confirmed one by one.
+    confirmed = found.groupBy("phrase", "words").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase", "words")
+    # Each shard gets a phrase once, not once a document.
+    hits = found.select("phrase", "shard").distinct().join(confirmed, "phrase").select(
+        "shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"),
+        "words").unionByName(copies.withColumn("words", F.lit(None).cast("string")))
     state = written(keyed.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(
         shard_windows(window), STATE), "state")
     windows = state.where("starts IS NOT NULL").select(

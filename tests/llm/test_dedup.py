@@ -59,7 +59,23 @@ def test_substrings_of_long_texts_in_chunks(spark, monkeypatch):
     w = [f"v{rng.randint(0, 50)}" for _ in range(700)]
     whole = phrases.least_phrases([x.encode() for x in w], 30)
     monkeypatch.setattr(phrases, "CHUNK", 90)
-    assert np.array_equal(phrases.least_phrases([x.encode() for x in w], 30), whole)
+    assert phrases.least_phrases([x.encode() for x in w], 30) == whole
+
+
+def test_automaton_locates_every_occurrence():
+    from optabula.llm import phrases
+
+    rng = random.Random(5)
+    docs = [(k, [rng.choice("abé") for _ in range(n)]) for k, n in enumerate((0, 9, 14, 15, 400, 3000))]
+    # Places are not given: only the words of the phrases are.
+    wanted = {" ".join(docs[5][1][at:at + phrases.PHRASE]) for at in (0, 1, 700, 2990)}
+    found = phrases._locate([(k, [x.encode() for x in w]) for k, w in docs], wanted, 15)
+    for key, words in docs:
+        hit = [" ".join(words[p:p + phrases.PHRASE]) in wanted for p in range(len(words))]
+        want = [s for s in range(len(words) - 14) if any(hit[s:s + 15 - phrases.PHRASE + 1])]
+        assert found.get(key, np.zeros(0)).tolist() == want
+    assert len(found[5]) > 10 and not phrases._locate(
+        [(k, [x.encode() for x in w]) for k, w in docs], {"z " * 9 + "z"}, 15)
 
 
 def test_phrase_hashes_depend_on_the_words_only():

@@ -235,11 +235,13 @@ def dedup_substrings(docs: DataFrame, window: int = 50, shard_bytes: int = 1 <<
                      .select("shard", "doc_id", "text_key").distinct(), "copies")
     found = written(phrases(docs, window, shards), "phrases").join(
         copies, ["shard", "doc_id", "text_key"], "left_anti")
-    # By hash and words, so that phrases that share a hash are confirmed one by one.
-    confirmed = found.groupBy("phrase", "words").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase", "words")
+    # Grouped by hash alone, and written so that Spark knows its size before it plans the next join;
+    # of phrases that share a hash all are looked for, which costs time only.
+    confirmed = written(found.groupBy("phrase").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase"),
+        "confirmed")
     # Each shard gets a phrase once, not once a document.
-    hits = found.select("phrase", "shard").distinct().join(confirmed, "phrase").select(
+    hits = found.join(confirmed, "phrase").select("shard", "words").distinct().select(
         "shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"),
         "words").unionByName(copies.withColumn("words", F.lit(None).cast("string")))
     state = written(keyed.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(

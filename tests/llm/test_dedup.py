@@ -74,7 +74,7 @@ def test_automaton_locates_every_occurrence():
         hit = [" ".join(words[p:p + phrases.PHRASE]) in wanted for p in range(len(words))]
         want = [s for s in range(len(words) - 14) if any(hit[s:s + 15 - phrases.PHRASE + 1])]
         assert found.get(key, np.zeros(0)).tolist() == want
-    assert len(found[5]) > 10 and not phrases._locate(
+    assert len(found[5]) > 5 and not phrases._locate(
         [(k, [x.encode() for x in w]) for k, w in docs], {"z " * 9 + "z"}, 15)
 
 

@@ -1,18 +1,32 @@
 """Fixed-width binary records of big-endian doubles, as a Spark data source.
 
 Files are cut into byte ranges on record boundaries, so one large file is read by many
-tasks, and every record knows its global position (files in name order).
+tasks, and every record knows its global position (files in name order). A range of positions or
+block ids is cut out of the files before anything is read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 from ..cluster import qualified
 
 READ_BYTES = 8 << 20
 
+# Where this is on, filters reach the files.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+
 # Most byte ranges one scan is cut into; more would burden the driver.
 MAX_SPLITS = 100_000
 
@@ -52,13 +66,24 @@ class Split(InputPartition):
         self.ranges, self.first_record = ranges, first_record
 
 
-def cut_ranges(files, step):
-    """Cuts the files, one after the other, into splits of ``step`` bytes: lists of byte ranges."""
-    splits, ranges, room = [], [], step
+def clip(files, first, end):
+    """(path, start, length) of the bytes ``first`` to ``end`` of the files, one after the other."""
+    kept, at = [], 0
     for path, size in files:
-        start = 0
-        while start < size:
-            length = min(room, size - start)
+        low, high = max(first - at, 0), min(end - at, size)
+        if low < high:
+            kept.append((path, low, high - low))
+        at += size
+    return kept
+
+
+def cut_ranges(kept, step):
+    """Cuts byte ranges, one after the other, into splits of ``step`` bytes: lists of byte ranges."""
+    splits, ranges, room = [], [], step
+    for path, start, size in kept:
+        end = start + size
+        while start < end:
+            length = min(room, end - start)
             ranges.append((path, start, length))
             start, room = start + length, room - length
             if not room:
@@ -67,6 +92,23 @@ def cut_ranges(files, step):
     return [*splits, ranges] if ranges else splits
 
 
+def id_range(condition):
+    """(first, end) of the integers a filter admits at most; None for filters that set no range."""
+    value = getattr(condition, "value", None)
+    if isinstance(condition, In):
+        values = [v for v in value if v is not None]
+        if all(isinstance(v, int) for v in values):
+            return (min(values), max(values) + 1) if values else (0, 0)
+    elif isinstance(value, int):
+        if isinstance(condition, EqualTo):
+            return value, value + 1
+        if isinstance(condition, (GreaterThan, GreaterThanOrEqual)):
+            return value + isinstance(condition, GreaterThan), None
+        if isinstance(condition, (LessThan, LessThanOrEqual)):
+            return 0, value + isinstance(condition, LessThanOrEqual)
+    return None
+
+
 class FixedDoublesReader(DataSourceReader):
     """Rows, or blocks of ``block_rows`` rows of which the last one may be shorter.
 
@@ -79,6 +121,13 @@ class FixedDoublesReader(DataSourceReader):
         self.record_bytes = 8 * record_values
         self.unit_bytes = self.record_bytes * (block_rows or 1)
         self.split_bytes = max(1, split_bytes // self.unit_bytes) * self.unit_bytes
+        self.first, self.end = 0, None
+
+    def narrow(self, first, end):
+        """Keeps the positions (or block ids) from ``first`` to before ``end``."""
+        self.first = max(self.first, first)
+        if end is not None:
+            self.end = end if self.end is None else min(self.end, end)
 
     def partitions(self):
         files = data_files(self.path)
@@ -88,11 +137,14 @@ class FixedDoublesReader(DataSourceReader):
                     f"{path}: {size} bytes are no multiple of the record of "
                     f"{self.record_bytes} bytes"
                 )
+        total = sum(size for _, size in files)
+        first = self.first * self.unit_bytes
+        kept = clip(files, first, total if self.end is None else self.end * self.unit_bytes)
         # Ranges are read in READ_BYTES pieces, so very large inputs may use larger splits.
-        fewest = -(-sum(size for _, size in files) // MAX_SPLITS)
+        fewest = -(-sum(size for _, _, size in kept) // MAX_SPLITS)
         step = max(self.split_bytes, -(-fewest // self.unit_bytes) * self.unit_bytes)
-        return [Split(ranges, k * step // self.record_bytes)
-                for k, ranges in enumerate(cut_ranges(files, step))]
+        return [Split(ranges, (first + k * step) // self.record_bytes)
+                for k, ranges in enumerate(cut_ranges(kept, step))]
 
     def pieces(self, ranges):
         """Bytes of whole units, then what is left of the last block."""
@@ -139,10 +191,25 @@ class FixedDoublesReader(DataSourceReader):
             position += n
 
 
+class PushingReader(FixedDoublesReader):
+    """Takes its range from the query's filters on ``pos`` or ``block_id``."""
+
+    def pushFilters(self, filters):
+        name = ("pos",) if self.block_rows is None else ("block_id",)
+        for condition in filters:
+            limits = id_range(condition) if getattr(condition, "attribute", None) == name else None
+            if limits is not None:
+                self.narrow(*limits)
+            if limits is None or isinstance(condition, In):
+                yield condition
+
+
 class FixedDoubles(DataSource):
     """``spark.read.format("fixed_doubles").option("record_values", d).load(path)``
 
-    With option ``block_rows`` it gives blocks of so many records.
+    With option ``block_rows`` it gives blocks of so many records. Options ``first`` and ``end``
+    keep a range of positions or block ids. With option ``push_filters`` filters on them set the
+    range; Spark asks for ``spark.sql.python.filterPushdown.enabled`` then.
     """
 
     @classmethod
@@ -162,23 +229,40 @@ class FixedDoubles(DataSource):
         rows = self.options.get("block_rows")
         if rows is not None and int(rows) < 1:
             raise ValueError("option block_rows must be positive")
-        return FixedDoublesReader(
-            self.options["path"], values, split_bytes, None if rows is None else int(rows))
+        first, end = int(self.options.get("first", "0")), self.options.get("end")
+        if first < 0 or end is not None and int(end) < 0:
+            raise ValueError("options first and end must not be negative")
+        kind = (PushingReader if self.options.get("push_filters", "false").lower() == "true"
+                else FixedDoublesReader)
+        reader = kind(self.options["path"], values, split_bytes, None if rows is None else int(rows))
+        reader.narrow(first, None if end is None else int(end))
+        return reader
 
 
-def _load(spark, path, split_bytes, **options):
+def _load(spark, path, split_bytes, first, end, **options):
     spark.dataSource.register(FixedDoubles)
+    options |= {"first": first, "push_filters": spark.conf.get(PUSHDOWN, "false")}
+    if end is not None:
+        options["end"] = end
     return (spark.read.format("fixed_doubles").options(split_bytes=split_bytes, **options)
             .load(qualified(spark, path)))
 
 
-def read_binary_rows(spark: SparkSession, path: str, n_cols: int,
-                     split_bytes: int = 128 << 20) -> DataFrame:
-    """Row scan: (pos, values), one record of n_cols doubles per row."""
-    return _load(spark, path, split_bytes, record_values=n_cols)
+def read_binary_rows(spark: SparkSession, path: str, n_cols: int, split_bytes: int = 128 << 20,
+                     first: int = 0, end: int | None = None) -> DataFrame:
+    """Row scan: (pos, values), one record of n_cols doubles per row.
+
+    Only the bytes of positions ``first`` to before ``end`` are read, and of those only what filters
+    on ``pos`` admit where the session pushes filters to Python sources (``PUSHDOWN``).
+    """
+    return _load(spark, path, split_bytes, first, end, record_values=n_cols)
 
 
 def read_binary_blocks(spark: SparkSession, path: str, n_rows: int, n_cols: int,
-                       split_bytes: int = 128 << 20) -> DataFrame:
-    """Block scan: (block_id, n_rows, n_cols, values), n_rows rows each; the last may be shorter."""
-    return _load(spark, path, split_bytes, record_values=n_cols, block_rows=n_rows)
+                       split_bytes: int = 128 << 20, first: int = 0,
+                       end: int | None = None) -> DataFrame:
+    """Block scan: (block_id, n_rows, n_cols, values), n_rows rows each; the last may be shorter.
+
+    ``first``, ``end`` and filters on ``block_id`` as in ``read_binary_rows``.
+    """
+    return _load(spark, path, split_bytes, first, end, record_values=n_cols, block_rows=n_rows)

@@ -1,7 +1,14 @@
 import numpy as np
 import pytest
 
-from optabula.sources.binary import read_binary_blocks, read_binary_rows
+from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
+
+from optabula.sources.binary import (
+    PUSHDOWN,
+    PushingReader,
+    read_binary_blocks,
+    read_binary_rows,
+)
 from optabula.sources.tables import random_blocks, read_csv_matrix, reference_models_from_rows
 
 
@@ -45,6 +52,52 @@ def test_blocks_go_over_file_ends_and_end_short(spark, tmp_path, split_bytes):
     assert np.array_equal(np.concatenate([r["values"] for r in rows]), data)
 
 
+RANGES = [("pos >= 4 AND pos < 9", range(4, 9)), ("pos = 13", [13]), ("pos > 17", [18, 19]),
+          ("pos <= 1", [0, 1]), ("pos IN (3, 6)", [3, 6]), ("pos > 30", []),
+          ("pos = 5 OR values[0] = 6", [2, 5]), ("pos > 3 AND pos < 2", [])]
+
+
+@pytest.mark.parametrize("condition, want", RANGES)
+@pytest.mark.parametrize("pushed", ["true", "false"])
+def test_filters_on_positions(spark, tmp_path, condition, want, pushed):
+    data = np.arange(60.0).reshape(20, 3)
+    for name, part in zip("abc", np.split(data, [6, 7])):
+        write(tmp_path / f"{name}.bin", part)
+    before = spark.conf.get(PUSHDOWN)
+    spark.conf.set(PUSHDOWN, pushed)
+    try:
+        rows = read_binary_rows(spark, str(tmp_path), 3, split_bytes=50).where(condition)
+        found = sorted((r["pos"], *r["values"]) for r in rows.collect())
+    finally:
+        spark.conf.set(PUSHDOWN, before)
+    assert found == [(p, *data[p]) for p in want]
+
+
+@pytest.mark.parametrize("first, end", [(0, 2), (1, 4), (3, None), (4, 9), (5, None), (2, 2)])
+def test_ranges_of_blocks(spark, tmp_path, first, end):
+    data = np.arange(23 * 3.0)
+    for k, part in enumerate(np.split(data, [15, 18, 18, 60])):
+        write(tmp_path / f"{k}.bin", part)
+    rows = read_binary_blocks(spark, str(tmp_path), 5, 3, 1, first, end).orderBy("block_id").collect()
+    want = list(range(5))[first:end]
+    assert [r["block_id"] for r in rows] == want
+    for r in rows:
+        assert r["values"] == data[15 * r["block_id"]:15 * r["block_id"] + 15].tolist()
+
+
+def test_only_the_bytes_of_a_range_are_read(tmp_path):
+    for name, n in (("a", 13), ("b", 1), ("c", 86)):
+        write(tmp_path / f"{name}.bin", np.zeros((n, 3)))
+    reader = PushingReader(f"file://{tmp_path}", 3, 100)
+    other = EqualTo(("values",), 1)
+    assert list(reader.pushFilters([
+        GreaterThanOrEqual(("pos",), 12), LessThan(("pos",), 16), other])) == [other]
+    ranges = [r for split in reader.partitions() for r in split.ranges]
+    assert [(r[0][-5:], *r[1:]) for r in ranges] == [
+        ("a.bin", 288, 24), ("b.bin", 0, 24), ("c.bin", 0, 48)]
+    assert [s.first_record for s in reader.partitions()] == [12]
+
+
 def test_partial_record_is_refused(spark, tmp_path):
     write(tmp_path / "a.bin", np.arange(7.0))
     with pytest.raises(Exception, match="no multiple of the record"):

@@ -55,6 +55,19 @@ def binary_blocks(spark, sf_dir):
         "round(aggregate(values, 0D, (s, v) -> s + v), 6) AS total")
 
 
+@query("binary_range", f"""
+    WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS pos FROM r),
+      t AS (SELECT count(*) // 3 AS first, 2 * count(*) // 3 AS last FROM r)
+    SELECT pos, v1, v2, v3 FROM n, t WHERE pos >= first AND pos < last""")
+def binary_range(spark, sf_dir):
+    path, rows = shared_path(spark, "range"), event_rows(spark, sf_dir)
+    ordered = rows.repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    write_binary(ordered, "values", path)
+    n = rows.count()
+    found = read_binary_rows(spark, path, 3, 1 << 16, n // 3, 2 * n // 3)  # the middle third
+    return found.selectExpr("pos", *[f"values[{i}] AS v{i + 1}" for i in range(3)])
+
+
 @query("csv_matrix", f"""
     WITH {P1_SQL} SELECT x1 AS f0, x2 AS f1, x3 AS f2, y AS target, count(*) AS n FROM p1 GROUP BY ALL""")
 def csv_matrix(spark, sf_dir):

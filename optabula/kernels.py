@@ -708,6 +708,42 @@ def multiply_blocks(matrix):
     return run
 
 
+def cut_bands(width, tile):
+    """mapInArrow body: blocks -> bands of at most ``tile`` columns, one block at a time."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for k, block in zip(ids, block_matrices(*(batch.column(i) for i in (3, 1, 2)))):
+                if block.shape[1] != width:
+                    raise ValueError(f"a block of {block.shape[1]} columns, not {width}")
+                for band, at in enumerate(range(0, width, tile)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([k], pa.int64()), pa.array([len(block)], pa.int32()),
+                         pa.array([band], pa.int32()),
+                         as_lists(block[:, at:at + tile].reshape(1, -1))],
+                        ["block_id", "n_rows", "band", "values"])
+
+    return run
+
+
+def multiply_tiles(values, n_rows, height, tiles):
+    """Column function: band of a block @ tile, row-major."""
+    if tiles.null_count:
+        raise ValueError("rows of the matrix are missing")
+    shapes = zip(n_rows.to_pylist(), height.to_pylist())
+    products = []
+    for i, (n, h) in enumerate(shapes):
+        left, right = values[i].values, tiles[i].values
+        if left.null_count or right.null_count:
+            raise ValueError("null matrix element")
+        products.append(
+            (left.to_numpy().reshape(n, h) @ right.to_numpy().reshape(h, -1)).ravel())
+    offsets = np.cumsum([0, *map(len, products)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(offsets), pa.array(np.concatenate(products) if products else np.empty(0)))
+
+
 def gram_blocks(target_last):
     """Column function body: A'A, A'b, b'b of a block whose last column is b."""
 

@@ -10,6 +10,7 @@ from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
 from ..cluster import check_shipped
+from .sums import added
 
 BLOCK_SCHEMA = "block_id long, n_rows int, n_cols int, values array<double>"
 
@@ -105,6 +106,59 @@ def multiply(blocks: DataFrame, matrix) -> DataFrame:
     )
 
 
+def matrix_tiles(matrix: DataFrame, n_rows: int, n_cols: int, tile: int) -> DataFrame:
+    """(row, values), one per matrix row -> (band, strip, height, tile) of at most tile x tile.
+
+    A repeated row, one outside 0 .. n_rows - 1 or NULL, and one of another length are errors. A group
+    holds one tile.
+    """
+    last = (n_cols - 1) // tile
+    refused = F.raise_error(F.lit(f"a row of the matrix is not one of {n_rows} of {n_cols} numbers"))
+    usable = F.col("row").between(0, n_rows - 1) & (F.size("values") == n_cols)
+    cut = matrix.select(
+        F.when(usable, F.col("row")).otherwise(refused.cast("long")).alias("row"),
+        F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(last)),
+                                 lambda k: F.slice("values", k * tile + 1, tile)))
+        .alias("strip", "part"))
+    held = cut.groupBy(F.floor(F.col("row") / tile).cast("int").alias("band"), "strip").agg(
+        F.count_distinct("row").cast("int").alias("height"),
+        F.sort_array(F.collect_list(F.struct("row", "part"))).alias("rows"))
+    complete = (F.size("rows") == F.col("height")) & (
+        F.col("height") == F.least(F.lit(tile), n_rows - F.col("band") * tile))
+    missing = F.raise_error(F.lit("rows of the matrix are missing or repeated")).cast("array<double>")
+    return held.select("band", "strip", "height", F.when(
+        complete, F.flatten("rows.part")).otherwise(missing).alias("tile"))
+
+
+def multiply_by_table(blocks: DataFrame, matrix: DataFrame, n_cols: int, out_cols: int,
+                      tile: int = 512, spread: int = 16) -> DataFrame:
+    """Blocks times an (n_cols, out_cols) matrix of any size, given as a table (row, values).
+
+    Gives the product in strips of `tile` columns: (block_id, first_col, n_rows, n_cols, values).
+    Blocks are cut into bands of `tile` columns and meet the tiles of their band; a band is spread
+    over `spread` keys, so that narrow inputs also use many tasks, and tiles are repeated as often.
+    Partial products are added per block and strip, one after the other. Block ids are unique;
+    blocks without rows give none. Entries are not looked at, so NaN gives NaN; NULL is an error, and
+    so is a matrix that lacks a row.
+    """
+    if min(n_cols, out_cols, tile, spread) < 1:
+        raise ValueError("sizes must be at least 1")
+    bands = blocks.where("n_rows > 0").select("block_id", "n_rows", "n_cols", "values").mapInArrow(
+        kernels.cut_bands(n_cols, tile), "block_id long, n_rows int, band int, values array<double>")
+    tiles = matrix_tiles(matrix, n_cols, out_cols, tile).withColumn(
+        "key", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    product = arrow_udf(kernels.multiply_tiles, "array<double>")
+    keyed = bands.withColumn("key", F.pmod("block_id", F.lit(spread)).cast("int"))
+    # Outer, so that a band that meets no tile is noticed: its product is an error.
+    parts = keyed.join(tiles, ["band", "key"], "left").select(
+        "block_id", F.col("strip").alias("piece"),
+        product("values", "n_rows", "height", "tile").alias("values"))
+    width = F.least(F.lit(tile), out_cols - F.col("piece") * tile)
+    return added(parts, keyed=True).select(
+        "block_id", (F.col("piece") * tile).alias("first_col"),
+        (F.size("values") / width).cast("int").alias("n_rows"), width.alias("n_cols"), "values")
+
+
 def fold_blocks(rows: DataFrame, features: str = "features", label: str = "label") -> DataFrame:
     """Training rows (label 0/1) -> a ``values`` column of sign-folded rows, ready to block.
 

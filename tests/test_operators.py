@@ -174,6 +174,29 @@ def test_blocks_of_different_width_fail(spark):
         B.n_cols(made).collect()
 
 
+@pytest.mark.parametrize("tile, spread", [(1, 1), (3, 4), (5, 2), (64, 3)])
+def test_multiply_by_a_table(spark, tile, spread):
+    rng = np.random.default_rng(2)
+    a, m = rng.random((23, 7)), rng.random((7, 11))
+    rows = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(a)],
+                                 "pos long, values array<double>")
+    made = B.to_blocks(rows, 4, 7, pos="pos")
+    table = spark.createDataFrame([(k, [float(x) for x in r]) for k, r in enumerate(m)],
+                                  "row long, values array<double>")
+    out = np.full((23, 11), np.nan)
+    for r in B.multiply_by_table(made, table, 7, 11, tile, spread).collect():
+        at, lo = 4 * r["block_id"], r["first_col"]
+        out[at:at + r["n_rows"], lo:lo + r["n_cols"]] = np.reshape(r["values"], (r["n_rows"], -1))
+    assert np.allclose(out, a @ m, rtol=1e-13)
+    assert B.multiply_by_table(made.limit(0), table, 7, 11, tile, spread).count() == 0
+    for wrong in (table.where("row <> 3"), table.where("row < 6"), table.union(table.where("row = 2")),
+                  table.selectExpr("row", "slice(values, 1, 10) AS values"),
+                  table.selectExpr("nullif(row, 4) AS row", "values"),
+                  table.selectExpr("row", "transform(values, v -> nullif(v, values[2])) AS values")):
+        with pytest.raises(Exception, match="matrix"):
+            B.multiply_by_table(made, wrong, 7, 11, tile, spread).collect()
+
+
 def test_multiply_and_grams(spark):
     made = B.to_blocks(values_frame(spark, 11, 3), 4, 3, pos="id")
     x = np.array([[i, i + 1, i + 2] for i in range(11)], dtype=float)

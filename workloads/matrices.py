@@ -107,6 +107,25 @@ def multiply(spark, sf_dir):
         "value", F.round("value", 8))
 
 
+@query("multiply_by_table", f"""
+    WITH {EMB_SQL}, m AS (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS w
+      FROM e a JOIN e b USING (vec_id) GROUP BY ALL)
+    SELECT vec_id // 64 AS block_id, CAST(vec_id % 64 AS INTEGER) AS row, j AS col,
+      {rounded('sum(v * w)', 4)} AS value
+    FROM e JOIN m ON m.i = e.pos GROUP BY vec_id, j""")
+def multiply_by_table(spark, sf_dir):
+    rows = embeddings(spark, sf_dir)  # times their own 64 x 64 sum of squares and products
+    sums = gram_entries(gram(rows.selectExpr("v AS features", "0D AS target"), 64))
+    matrix = sums.where("j < 64").groupBy(F.col("i").cast("long").alias("row")).agg(
+        F.sort_array(F.collect_list(F.struct("j", "value"))).alias("e")).selectExpr(
+        "row", "e.value AS values")
+    made = B.multiply_by_table(B.to_blocks(rows, 64, 64, values="v", pos="vec_id"), matrix, 64, 64, 24)
+    cells = made.selectExpr("block_id", "first_col", "n_cols", "posexplode(values) AS (at, value)")
+    return cells.selectExpr(
+        "block_id", "at div n_cols AS row", "CAST(first_col + at % n_cols AS INTEGER) AS col",
+        "round(value, 4) AS value").withColumn("row", F.col("row").cast("int"))
+
+
 def gram_sql(source, names, target, key=None, digits=4):
     d = len(names)
     keys = f"{key}, " if key else ""

@@ -21,13 +21,28 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme: one without any is the cluster's default file system's."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system, where = _located(spark, path)
     return system.makeQualified(where).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _located(spark, path)
+    return system.exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder that the library itself has written, if it is there."""
+    system, where = _located(spark, path)
+    system.delete(where, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     root = qualified(spark, checkpoint_root(spark)).rstrip("/")

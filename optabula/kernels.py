@@ -625,9 +625,10 @@ def quasi_newton_block(folded, start, center, rho, tol, memory=7, max_iter=500):
     return w, max_iter, size, size <= tol or at_precision(value, slope)
 
 
-def solve_logistic_blocks(z, rho, tol, memory):
+def solve_logistic_blocks(z, rho, tol, memory, steps_at_most=None):
     """Column function body: x-update of every block in an Arrow batch."""
     d = len(z)
+    limit = {} if steps_at_most is None else {"max_iter": steps_at_most}
 
     def run(values, n_rows, n_cols, u, x):
         duals, starts = as_matrix(u, d), as_matrix(x, d)
@@ -635,10 +636,10 @@ def solve_logistic_blocks(z, rho, tol, memory):
         for i, folded in enumerate(block_matrices(values, n_rows, n_cols)):
             center = z - duals[i]
             if d <= NEWTON_WIDTH:
-                models[i], n, g, done = newton_block(folded, starts[i], center, rho, tol)
+                models[i], n, g, done = newton_block(folded, starts[i], center, rho, tol, **limit)
             else:
                 models[i], n, g, done = quasi_newton_block(
-                    folded, starts[i], center, rho, tol, memory)
+                    folded, starts[i], center, rho, tol, memory, **limit)
             steps.append(n)
             norms.append(g)
             solved.append(done)

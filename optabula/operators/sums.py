@@ -68,22 +68,25 @@ def sum_vectors(df: DataFrame, column: str, width: int) -> DataFrame:
     return sum_partials(partials, width).withColumnRenamed("partial", column)
 
 
-def cut_and_sum(df: DataFrame, packed: str, width: int) -> tuple[DataFrame, np.ndarray]:
+def cut_and_sum(df: DataFrame, packed: str, width: int,
+                keep: Callable[[DataFrame], DataFrame] = cut_lineage) -> tuple[DataFrame, np.ndarray]:
     """Checkpoints ``df`` and sums the vector expression ``packed`` over its rows.
 
+    ``keep`` may write it elsewhere and give what it has written.
+
     Narrow vectors are summed by the job that writes the checkpoint: the writing tasks are
     result tasks, whose metrics Spark counts once each, also when tasks are retried. Wide
     vectors are summed by a second job over the written rows.
     """
     if width > NARROW_WIDTH:
-        kept = cut_lineage(df)
+        kept = keep(df)
         partials = kept.selectExpr(f"{packed} AS packed").mapInArrow(
             kernels.array_partials(width), PIECES)
         return kept, collect_sum(partials, width)
     seen = Observation()
     observed = df.selectExpr("*", f"{packed} AS packed").observe(
         seen, *[F.expr(f"sum(packed[{i}]) AS s{i}") for i in range(width)])
-    kept = cut_lineage(observed).drop("packed")
+    kept = keep(observed).drop("packed")
     found = seen.get
     sums = [found[f"s{i}"] for i in range(width)]
     if any(v is None or v != v for v in sums):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 from pyspark import StorageLevel
@@ -19,11 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .. import kernels
-from ..cluster import MAX_SHIPPED_BYTES, check_shipped, cut_lineage, scan_partitions
+from ..cluster import (
+    MAX_SHIPPED_BYTES,
+    check_shipped,
+    cut_lineage,
+    remove,
+    scan_partitions,
+    shared_path,
+)
 from ..functions.vectors import array_sql, scale
 from ..operators.blocks import block_totals, fold_blocks, to_blocks
 from ..operators.gram import factored, total_gram
 from ..operators.sums import PIECES, collect_sum, cut_and_sum
+from .journal import Entries, Journal
 from .passes import infer_width
 from .penalties import Penalty, Prox, prox_function
 from .trace import Fit, Trace
@@ -68,11 +77,16 @@ def admm_rescale_columns(state: DataFrame, rho_old: str, rho_new: str, eps: floa
     return state.withColumn(u, F.transform(u, lambda v: v * factor))
 
 
-def logistic_solution(z: Sequence[float], rho: float, inner_tol: float,
-                      memory: int = 7) -> Column:
-    """Column of x-updates for rows holding a sign-folded block and its state."""
+def logistic_solution(z: Sequence[float], rho: float, inner_tol: float, memory: int = 7,
+                      inner_steps: int | None = None) -> Column:
+    """Column of x-updates for rows holding a sign-folded block and its state.
+
+    A block that is not within ``inner_tol`` after ``inner_steps`` steps counts as unsolved; by
+    default it gets 100 Newton or 500 quasi-Newton steps.
+    """
     check_shipped(len(z), "the consensus vector")
-    body = kernels.solve_logistic_blocks(np.asarray(z, dtype=float), rho, inner_tol, memory)
+    body = kernels.solve_logistic_blocks(
+        np.asarray(z, dtype=float), rho, inner_tol, memory, inner_steps)
     return arrow_udf(body, SOLVE_SCHEMA)("values", "n_rows", "n_cols", "u", "x")
 
 
@@ -92,11 +106,14 @@ def admm_local_solve(blocks: DataFrame, state: DataFrame, z: Sequence[float], rh
                      memory: int = 7) -> DataFrame:
     """(block_id, u, x, r2, steps, grad_norm, solved): argmin of loss + rho/2 |x + u - z|^2 per block.
 
-    The merge join keeps the blocks' partitioning and order; only the state moves.
+    The join keeps the blocks' partitioning; only the state moves. Held blocks are sorted and merged
+    with it; those of a bucketed table stream past the states of their bucket, 3 vectors per block.
     """
     if "r2" not in state.columns:
         state = state.withColumn("r2", F.expr("CAST(NULL AS DOUBLE)"))
-    solved = blocks.join(state.hint("merge"), "block_id").select(
+    kept = blocks.storageLevel
+    hint = "merge" if kept.useMemory or kept.useDisk else "shuffle_hash"
+    solved = blocks.join(state.hint(hint), "block_id").select(
         "block_id", "u", "r2", solution(z, rho, inner_tol, memory).alias("solved"))
     return solved.select(
         "block_id", "u", "solved.x", "r2", "solved.steps", "solved.grad_norm", "solved.solved")
@@ -188,7 +205,8 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
                    residual: str = "current", inner_tol: float = 1e-8,
                    inner_schedule: bool = False, memory: int = 7, rescale_eps: float = 1e-10,
                    run_id: str = "admm", method: str = "admm", trace: Trace | None = None,
-                   losses: Callable[[DataFrame, np.ndarray], np.ndarray] | None = None) -> Fit:
+                   losses: Callable[[DataFrame, np.ndarray], np.ndarray] | None = None,
+                   journal: Journal | str | None = None) -> Fit:
     """The loop shared by all local problems; ``blocks`` must be held and keyed by block_id.
 
     ``residual="lagged"`` measures the old x against the old z, one iteration late.
@@ -196,19 +214,38 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
     The fit has converged when the residuals are within their tolerances and every block of that
     iteration was solved; the trace counts unsolved blocks. Blocks with values that are not finite
     raise an error.
+
+    ``journal`` keeps every iteration in a table and the state of all blocks next to it, and goes on
+    from the last one found there; blocks must then have the same ids and rows as before.
     """
     if residual not in ("current", "lagged"):
         raise ValueError(f"unknown residual {residual!r}")
     apply_prox = prox_function(prox)
     rho = 0.13 * n_rows / n_blocks if rho is None else float(rho)
     trace = trace or Trace(run_id, method)
-    z, state, state_rho = np.zeros(d), admm_start(blocks, d), rho
-    tol, converged = inner_tol, False
+    z, state_rho, tol, done, converged = np.zeros(d), rho, inner_tol, 0, False
+    last = None
+    if journal is not None:
+        last = trace.keep_in(Entries(blocks.sparkSession, journal, [trace.run_id], {
+            "method": trace.method, "width": d, "rows": n_rows, "blocks": n_blocks, "rho": rho, "alpha": alpha,
+            "factor": factor, "mu": mu, "residual": residual, "inner_schedule": inner_schedule,
+            "prox": repr(prox) if isinstance(prox, Penalty) else getattr(prox, "__qualname__", None)}))
+        trace.journal.begin(trace.run_id, z)
+    if last and last["iteration"]:
+        done, z, rho = last["iteration"], np.array(last["model"]), last["rho"]
+        state_rho, tol = last["carried"]["state_rho"], last["carried"]["next_tol"]
+        converged = last["primal_residual"] <= last["primal_tol"] and last["dual_residual"] <= last[
+            "dual_tol"] and not last["unsolved_blocks"]
+        state = trace.journal.read_state(trace.run_id, done)
+    else:
+        state = admm_start(blocks, d)
+    oldest = trace.journal.oldest_state(done) if trace.journal else 0
     trace.ready()
-    for k in range(1, max_iter + 1):
+    for k in range(done + 1, max_iter + 1 if not converged else done + 1):
         prepared = admm_rescale(admm_dual_update(state, z), state_rho, rho, rescale_eps)
         solved = admm_local_solve(blocks, prepared, z, rho, tol, solution, memory)
-        state, sums = cut_and_sum(admm_relax(solved, z, alpha), admm_packed(z), 3 * d + 5)
+        keep = trace.journal.keep_state(trace.run_id, k) if trace.journal else cut_lineage
+        state, sums = cut_and_sum(admm_relax(solved, z, alpha), admm_packed(z), 3 * d + 5, keep)
         state_rho = rho
         u, x, gap = sums[:d] / n_blocks, sums[d:2 * d] / n_blocks, sums[2 * d:3 * d]
         gap2, lagged2, seen, steps, unsolved = sums[3 * d:]
@@ -224,22 +261,39 @@ def consensus_admm(blocks: DataFrame, solution: Callable[..., Column], d: int, n
         primal_tol = float(
             np.sqrt(d) * abstol + reltol * max(np.linalg.norm(x), np.linalg.norm(z_new)))
         dual_tol = float(np.sqrt(d) * abstol + next_rho * reltol * np.linalg.norm(u))
+        next_tol = max(dual + primal, inner_tol) if inner_schedule else tol
         trace.add(
             k, z_new, n_eval=int(steps), rho=next_rho, dual_residual=dual, dual_tol=dual_tol,
             primal_residual=primal, primal_tol=primal_tol, inner_tol=tol,
-            unsolved_blocks=unsolved)
-        z, rho = z_new, next_rho
-        if inner_schedule:
-            tol = max(dual + primal, inner_tol)
+            unsolved_blocks=unsolved,
+            state={"carried": {"state_rho": state_rho, "next_tol": float(next_tol)}})
+        if trace.journal:
+            oldest = trace.journal.drop_states(trace.run_id, oldest)
+        z, rho, tol = z_new, next_rho, next_tol
         if primal <= primal_tol and dual <= dual_tol and not unsolved:
             converged = True
             break
-    if losses is not None and trace.rows:
+    def values(models):
+        extra = [prox.value(w) if isinstance(prox, Penalty) else 0.0 for w in models]
+        return losses(blocks, models) / n_rows + extra
+
+    if trace.journal:
+        trace.journal.commit()
+        trace.journal.drop_states(trace.run_id, oldest)
+        at_once = max(1, MAX_SHIPPED_BYTES // (8 * d))
+        for part, models in trace.journal.unevaluated(trace.run_id, at_once) if losses else ():
+            found = values(models)
+            trace.journal.add_objectives(trace.run_id, part, found)
+            if part[-1] == trace.rows[-1]["iteration"]:
+                trace.rows[-1]["objective"] = float(found[-1])
+        if losses and trace.rows and trace.rows[-1]["objective"] is None:  # evaluated before
+            end = trace.rows[-1]["iteration"]
+            trace.rows[-1]["objective"] = trace.frame(blocks.sparkSession).where(
+                F.col("iteration") == end).first()["objective"]
+    elif losses is not None and trace.rows:
         # One more pass over the blocks gives the objective of every iterate.
-        models = np.array([r["model"] for r in trace.rows])
-        for row, w, loss in zip(trace.rows, models, losses(blocks, models) / n_rows):
-            extra = prox.value(w) if isinstance(prox, Penalty) else 0.0
-            row["objective"] = float(loss + extra)
+        for row, value in zip(trace.rows, values(np.array([r["model"] for r in trace.rows]))):
+            row["objective"] = float(value)
     return Fit(blocks.sparkSession, z, trace, converged,
                trace.rows[-1]["objective"] if trace.rows else None,
                stop_reason="residuals" if converged else "iterations")
@@ -268,6 +322,16 @@ def least_squares_losses(grams: DataFrame, models: np.ndarray) -> np.ndarray:
     return 0.5 * (np.einsum("ki,ij,kj->k", models, ata, models) - 2.0 * models @ atb + total["btb"])
 
 
+def bucketed(blocks: DataFrame, buckets: int) -> tuple[str, str]:
+    """Writes blocks bucketed by id to the shared folder: (table, path) of the session's catalog."""
+    spark = blocks.sparkSession
+    path = shared_path(spark, "blocks")
+    name = "optabula_" + path.rsplit("/", 1)[1].replace("-", "_")
+    blocks.repartition(buckets, "block_id").write.bucketBy(buckets, "block_id").sortBy(
+        "block_id").option("path", path).saveAsTable(name)
+    return name, path
+
+
 @contextmanager
 def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bool = False):
     """Hash-partitions and sorts blocks by id, once, and keeps them (memory, then disk).
@@ -276,9 +340,11 @@ def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bo
     sorts about one input split; where the rows were shuffled before, to
     spark.sql.shuffle.partitions.
 
-    ``durable`` writes them to the shared checkpoint folder instead. Use it when the rows
-    below the blocks come in no reproducible order (after a shuffle, say): a lost cached
-    block would then be rebuilt from other rows.
+    ``durable`` writes them to the shared folder instead, as a table bucketed by id with one file
+    per bucket, which is removed at the end: every iteration streams the buckets past their states,
+    executors hold no blocks, and a lost one costs a read. Use it for blocks beyond the executors'
+    memory, or when the rows below them come in no reproducible order (after a shuffle, say): a lost
+    cached block would then be rebuilt from other rows.
     """
     if partitions is None:
         spark = blocks.sparkSession
@@ -287,10 +353,15 @@ def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bo
         if scanned is not None:
             cores = spark.sparkContext.defaultParallelism
             partitions = max(cores, scanned)
-    placed = blocks.repartition(partitions, "block_id").sortWithinPartitions("block_id")
     if durable:
-        yield cut_lineage(placed)
+        name, path = bucketed(blocks, partitions)
+        try:
+            yield blocks.sparkSession.table(name)
+        finally:
+            blocks.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(blocks.sparkSession, path)
         return
+    placed = blocks.repartition(partitions, "block_id").sortWithinPartitions("block_id")
     placed.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield placed
@@ -299,14 +370,17 @@ def co_partitioned(blocks: DataFrame, partitions: int | None = None, durable: bo
 
 
 def admm_logistic(blocks: DataFrame, partitions: int | None = None, durable: bool = False,
-                  run_id: str = "admm_logistic", **options) -> Fit:
-    """Logistic regression over sign-folded blocks (see ``fold_blocks``, ``to_blocks``)."""
+                  run_id: str = "admm_logistic", inner_steps: int | None = None, **options) -> Fit:
+    """Logistic regression over sign-folded blocks (see ``fold_blocks``, ``to_blocks``).
+
+    ``inner_steps`` bounds the steps of a block in one iteration; later iterations go on from there.
+    """
     trace = Trace(run_id, "admm_logistic")
     with co_partitioned(blocks, partitions, durable) as held:
         n_blocks, n_rows, d = block_totals(held)
         return consensus_admm(
-            held, logistic_solution, d, n_rows, n_blocks, trace=trace, losses=logistic_losses,
-            **options)
+            held, partial(logistic_solution, inner_steps=inner_steps), d, n_rows, n_blocks, trace=trace,
+            losses=logistic_losses, **options)
 
 
 def admm_logistic_rows(rows: DataFrame, height: int = 4096, features: str = "features",

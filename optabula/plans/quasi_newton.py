@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import curvature_direction, logistic_objective
 from ..operators.objectives import Objective, segment_pass
+from .journal import Entries, Journal, floats
 from .passes import MeanObjective, held, infer_width, penalized_mask
 from .trace import Fit, Trace
 
@@ -46,10 +48,25 @@ def _search(start, first, shrink, accept):
     return None
 
 
-def _remember(pairs, s, y, memory):
-    if s @ y > 1e-14 * (y @ y):
-        pairs = [*pairs, (s, y)][-memory:]
-    return pairs
+def _bends(s, y):
+    """Whether a step with its change of the gradient is worth remembering."""
+    return bool(s @ y > 1e-14 * (y @ y))
+
+
+def _resumed(steps, memory):
+    """(model, gradient, remembered steps, stalled) from the entries of a journal."""
+    by_number = {r["iteration"]: r for r in steps}
+    models = {k: np.array(r["model"]) for k, r in by_number.items()}
+    grads = {k: np.array(r["gradient"]) for k, r in by_number.items()}
+    pairs = []
+    for k, r in by_number.items():
+        if r["dropped"]:
+            pairs = []
+        if r["kept"] and k - 1 in models:
+            pairs = [*pairs, (models[k] - models[k - 1], grads[k] - grads[k - 1])][-memory:]
+    end = max(by_number)
+    stalled = end > 0 and np.array_equal(models[end], models[end - 1])
+    return models[end], grads[end], pairs, stalled
 
 
 def search(w0, l1, m: int, tol: float, max_iter: int, orthant: bool, trace: Trace):
@@ -59,14 +76,22 @@ def search(w0, l1, m: int, tol: float, max_iter: int, orthant: bool, trace: Trac
     returns (weights, value, reason). Iterates go to ``trace``. One or many of them can be advanced
     by the same scans, see ``lockstep``.
     """
-    w = np.array(w0, dtype=float)
-    asked = 1
-    losses, grads = yield w[None, :]
-    trace.ready()
-    loss, grad = float(losses[0]), grads[0]
-    value = loss + np.abs(l1 * w).sum()
-    pairs, reason = [], "iterations"
-    for k in range(1, max_iter + 1):
+    last = trace.journal and trace.journal.last.get(trace.run_id)
+    if last:
+        w, grad, pairs, stalled = _resumed(trace.journal.steps(trace.run_id, m), m)
+        trace.ready()
+        done, asked, loss = last["iteration"], 0, last["carried"]["loss"]
+        if stalled:
+            return w, loss + np.abs(l1 * w).sum(), "precision"
+    else:
+        w, pairs, done, asked = np.array(w0, dtype=float), [], 0, 1
+        losses, grads = yield w[None, :]
+        trace.ready()
+        loss, grad = float(losses[0]), grads[0]
+        if trace.journal:
+            trace.journal.begin(trace.run_id, w, grad, loss=loss)
+    value, reason = loss + np.abs(l1 * w).sum(), "iterations"
+    for k in range(done + 1, max_iter + 1):
         slope = pseudo_gradient(w, grad, l1) if orthant else grad
         size = np.linalg.norm(slope)
         if size <= tol * max(1.0, np.linalg.norm(w)):
@@ -75,7 +100,8 @@ def search(w0, l1, m: int, tol: float, max_iter: int, orthant: bool, trace: Trac
         direction = curvature_direction(slope, pairs)
         if orthant:
             direction = np.where(direction * slope < 0, direction, 0.0)
-        if direction @ slope >= 0:
+        dropped = bool(direction @ slope >= 0)
+        if dropped:
             direction, pairs = -slope, []
         signs = np.where(w != 0, np.sign(w), np.sign(-slope))
 
@@ -104,11 +130,15 @@ def search(w0, l1, m: int, tol: float, max_iter: int, orthant: bool, trace: Trac
             reason = "precision"  # no descent left
             break
         trial, loss, trial_grad = found
-        pairs = _remember(pairs, trial - w, trial_grad - grad, m)
+        kept = _bends(trial - w, trial_grad - grad)
+        if kept:
+            pairs = [*pairs, (trial - w, trial_grad - grad)][-m:]
         stalled = np.array_equal(trial, w)
         w, grad = trial + 0.0, trial_grad  # no -0.0
         value = loss + np.abs(l1 * w).sum()
-        trace.add(k, w, value, n_eval=asked, inner_tol=tol)
+        state = trace.journal and {
+            "gradient": floats(grad), "kept": kept, "dropped": dropped, "carried": {"loss": loss}}
+        trace.add(k, w, value, n_eval=asked, inner_tol=tol, state=state)
         asked = 0
         if stalled:
             reason = "precision"
@@ -126,7 +156,12 @@ def lockstep(searches: Mapping, evaluate: Callable[[dict], Mapping]) -> dict:
     ``evaluate`` maps {key: models} to {key: (mean losses, mean gradients)}. Returns what each
     search returned. A search that has ended asks for nothing more.
     """
-    ended, asked = {}, {key: next(one) for key, one in searches.items()}
+    ended, asked = {}, {}
+    for key, one in searches.items():
+        try:
+            asked[key] = next(one)
+        except StopIteration as end:  # a journal held its end
+            ended[key] = end.value
     while asked:
         found, still = evaluate(asked), {}
         for key in asked:
@@ -151,41 +186,50 @@ def _l1(l1, d, intercept):
 
 
 def _minimize(df, l1, m, tol, max_iter, w0, features, label, cache, run_id, method, orthant,
-              objective):
+              objective, journal):
     trace = Trace(run_id, method)
+    if journal is not None:
+        trace.keep_in(Entries(df.sparkSession, journal, [run_id], {
+            "method": method, "m": m, "width": len(l1), "l1": sha256(l1.tobytes()).hexdigest(),
+            "objective": getattr(objective, "__qualname__", None)}))
     with held(df, features, label, cache) as rows:
         mean = MeanObjective(rows, features, label, objective)
         run = search(w0, l1, m, tol, max_iter, orthant, trace)
         ended = lockstep({0: run}, lambda asked: {0: mean(asked[0])})
+    if trace.journal:
+        trace.journal.commit()
     return _fit(df.sparkSession, trace, ended[0])
 
 
 def lbfgs(df: DataFrame, m: int = 20, tol: float = 1e-9, max_iter: int = 1000, w0=None,
           features: str = "features", label: str = "label", cache: bool = True,
-          run_id: str = "lbfgs", objective: Objective | None = None) -> Fit:
+          run_id: str = "lbfgs", objective: Objective | None = None,
+          journal: Journal | str | None = None) -> Fit:
     """Minimizes a mean loss; stops when |gradient| <= tol * max(1, |w|).
 
     Logistic loss by default. ``objective`` takes any smooth one instead: see ``Objective``, and
-    ``least_squares_objective`` and ``huber_objective`` in kernels.
+    ``least_squares_objective`` and ``huber_objective`` in kernels. ``journal`` keeps every
+    iteration in a table and goes on from the last one found there, with the same steps remembered.
     """
     d = infer_width(df, features)
     w0 = np.zeros(d) if w0 is None else w0
     return _minimize(df, np.zeros(d), m, tol, max_iter, w0, features, label, cache, run_id,
-                     "lbfgs", False, objective)
+                     "lbfgs", False, objective, journal)
 
 
 def owlqn(df: DataFrame, l1, m: int = 20, tol: float = 1e-9, max_iter: int = 1000, w0=None,
           features: str = "features", label: str = "label", intercept: bool = True,
-          cache: bool = True, run_id: str = "owlqn", objective: Objective | None = None) -> Fit:
+          cache: bool = True, run_id: str = "owlqn", objective: Objective | None = None,
+          journal: Journal | str | None = None) -> Fit:
     """Minimizes a mean loss + sum l1_i |w_i|; l1 is a number or one per coordinate.
 
     A number leaves the intercept (last coordinate) free unless ``intercept=False``. ``objective``
-    as in ``lbfgs``.
+    and ``journal`` as in ``lbfgs``.
     """
     d = infer_width(df, features)
     w0 = np.zeros(d) if w0 is None else w0
     return _minimize(df, _l1(l1, d, intercept), m, tol, max_iter, w0, features, label, cache, run_id,
-                     "owlqn", True, objective)
+                     "owlqn", True, objective, journal)
 
 
 @dataclass(frozen=True)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from .journal import Entries
+
 TRACE_SCHEMA = """
     run_id string, method string, iteration int, n_eval int, elapsed_seconds double,
     iter_seconds double, rho double, dual_residual double, dual_tol double,
@@ -21,27 +25,44 @@ SUMMARY_SCHEMA = """
     iterations int, n_eval int, converged boolean, stop_reason string, objective double,
     expected array<double>, final array<double>
 """
-_ORDER = [part.split()[0] for part in TRACE_SCHEMA.split(",")]
+TRACE_COLUMNS = [part.split()[0] for part in TRACE_SCHEMA.split(",")]
 
 
 @dataclass
 class Trace:
-    """Collects one row per iteration on the driver."""
+    """One row per iteration: all on the driver, or the last one if a journal takes them."""
 
     run_id: str
     method: str
     start: float = field(default_factory=time.perf_counter)
     init_seconds: float = 0.0
     rows: list = field(default_factory=list)
+    journal: Entries | None = None
+    iterations: int = 0
+    n_eval: int = 0
+    earlier_seconds: float = 0.0
 
     def ready(self) -> None:
         """Marks the end of initialization."""
         self.init_seconds = time.perf_counter() - self.start
 
+    def keep_in(self, journal: Entries | None) -> dict | None:
+        """Writes to a journal from now on; gives the last iteration of a run that goes on."""
+        self.journal = journal
+        last = None if journal is None else journal.last.get(self.run_id)
+        if last is not None:
+            self.iterations, self.n_eval = journal.counts[self.run_id]
+            self.earlier_seconds = last["elapsed_seconds"]
+            self.rows = [last] if last["iteration"] > 0 else []
+        return last
+
     def add(self, iteration: int, model, objective=None, n_eval: int = 1, timed: bool = True,
-            **values) -> None:
-        """Adds a row; ``model=None`` and ``timed=False`` leave what is not known NULL."""
-        elapsed = time.perf_counter() - self.start - self.init_seconds
+            state: dict | None = None, **values) -> None:
+        """Adds a row; ``model=None`` and ``timed=False`` leave what is not known NULL.
+
+        ``state`` is what a journal keeps beside it: gradient, kept and dropped steps, numbers carried.
+        """
+        elapsed = self.earlier_seconds + time.perf_counter() - self.start - self.init_seconds
         before = max((r["elapsed_seconds"] or 0.0 for r in self.rows[-1:]), default=0.0)
         row = {
             "run_id": self.run_id, "method": self.method, "iteration": iteration,
@@ -51,10 +72,17 @@ class Trace:
             "model": None if model is None else [float(v) for v in model],
         }
         row.update({k: None if v is None else float(v) for k, v in values.items()})
-        self.rows.append(row)
+        self.iterations, self.n_eval = self.iterations + 1, self.n_eval + n_eval
+        if self.journal is None:
+            self.rows.append(row)
+        else:
+            self.rows = [row]
+            self.journal.add(row | (state or {}))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [tuple(row.get(name) for name in _ORDER) for row in self.rows]
+        if self.journal is not None:
+            return self.journal.trace().where(F.col("run_id") == self.run_id)
+        rows = [tuple(row.get(name) for name in TRACE_COLUMNS) for row in self.rows]
         return spark.createDataFrame(rows, TRACE_SCHEMA)
 
 
@@ -92,8 +120,8 @@ class Fit:
         expected = None if self.expected is None else [float(v) for v in self.expected]
         row = (
             self.trace_rows.run_id, self.trace_rows.method, self.trace_rows.init_seconds,
-            rows[-1]["elapsed_seconds"] if rows else 0.0, len(rows),
-            sum(r["n_eval"] for r in rows), self.converged,
+            rows[-1]["elapsed_seconds"] if rows else 0.0, self.trace_rows.iterations,
+            self.trace_rows.n_eval, self.converged,
             self.stop_reason, None if self.objective is None else float(self.objective),
             expected, [float(v) for v in self.weights],
         )

@@ -170,8 +170,9 @@ def score_accuracy(spark, sf_dir):
     return found.select("n_rows", F.round("accuracy", 9).alias("accuracy"))
 
 
-def mirror_sql(height):
-    score_sql = "(v1 * CAST(0.5 AS DOUBLE) + v2 * CAST(-0.3 AS DOUBLE) + v3 * CAST(0.2 AS DOUBLE) + CAST(-0.1 AS DOUBLE))"
+def mirror_sql(height, model=(0.5, -0.3, 0.2, -0.1), rows=EVENTS_SQL):
+    a, b, c, d = (f"CAST({m} AS DOUBLE)" for m in model)
+    score_sql = f"(v1 * {a} + v2 * {b} + v3 * {c} + {d})"
 
     def noised(v):
         return f"""CASE WHEN a.pos = n - 1 THEN a.{v} WHEN a.pos < n - 1 - a.pos
@@ -179,7 +180,7 @@ def mirror_sql(height):
             ELSE a.{v} + 0.2 * (b.{v} + 0.2 * a.{v}) END"""
 
     return f"""
-    WITH {EVENTS_SQL},
+    WITH {rows},
     a AS (SELECT event_id // {height} AS block_id, event_id % {height} AS pos, v1, v2, v3 FROM r),
     s AS (SELECT block_id, count(*) AS n FROM a GROUP BY block_id)
     SELECT a.block_id, a.pos, {rounded(noised('v1'), 9)} AS f0, {rounded(noised('v2'), 9)} AS f1,

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from optabula.cluster import shared_path
 from optabula.functions.prep import training_rows
 from optabula.kernels import huber_objective, least_squares_objective
-from optabula.operators.blocks import fold_blocks, fold_labeled_blocks, to_blocks
+from optabula.operators.blocks import fold_blocks, fold_labeled_blocks, mirror_noise, to_blocks
 from optabula.operators.gram import block_gram, gram
 from optabula.operators.objectives import batch_of, logistic_value_grad
 from optabula.operators.report import compare_methods, time_to_tolerance
@@ -26,6 +25,7 @@ from optabula.sources.tables import read_csv_matrix, write_trace
 from .fixtures import (
     P1_SQL,
     P3_SQL,
+    P4_COLUMNS,
     P4_SQL,
     p1,
     p1_training,
@@ -35,6 +35,7 @@ from .fixtures import (
     table,
     write_binary,
 )
+from .prep import mirror_sql
 from .registry import query, rounded
 
 NAMES = ("x1", "x2", "x3", "x4")
@@ -240,12 +241,15 @@ def admm_trace_sql(residual="current"):
     FROM t"""
 
 
-def admm_trace_query(residual):
+def admm_trace_query(residual, stopped_after=None):
+    """The trace of one fit, or of one that stopped early and went on from its journal."""
     def run(spark, sf_dir):
         grams = gram(p3(spark, sf_dir), 2, by="block_id")
-        fit = A.admm_least_squares(
-            grams, rho=TRACE_RHO, alpha=TRACE_ALPHA, abstol=1e-4, reltol=1e-3, max_iter=TRACE_STEPS,
-            residual=residual)
+        options = {"rho": TRACE_RHO, "alpha": TRACE_ALPHA, "abstol": 1e-4, "reltol": 1e-3, "residual": residual}
+        if stopped_after:
+            options["journal"] = shared_path(spark, "journal")
+            A.admm_least_squares(grams, max_iter=stopped_after, **options)
+        fit = A.admm_least_squares(grams, max_iter=TRACE_STEPS, **options)
         places = {"primal_residual": 6, "dual_residual": 6, "primal_tol": 8, "dual_tol": 7, "objective": 7}
         return fit.trace.select("iteration", "rho", "unsolved_blocks", *[
             F.round(name, digits).alias(name) for name, digits in places.items()])
@@ -255,17 +259,51 @@ def admm_trace_query(residual):
 
 query("admm_trace", admm_trace_sql())(admm_trace_query("current"))
 query("admm_trace_lagged", admm_trace_sql("lagged"))(admm_trace_query("lagged"))
+query("admm_trace_resumed", admm_trace_sql())(admm_trace_query("current", 3))
 
 
-@query("admm_unsolved", """
-    SELECT CAST(k AS INTEGER) AS iteration, CAST(0 AS DOUBLE) AS unsolved_blocks, true AS objective_falls
-    FROM range(2, 7) r(k) WHERE (SELECT count(*) FROM lineitem) > 0""")
+# A consensus fit whose blocks get one Newton step in each iteration: many stay unsolved at first.
+ONE_STEP = {"rho": 40.0, "inner_tol": 0.05, "steps": 7}
+
+
+def one_step_sql():
+    rho, tol, steps = f"{ONE_STEP['rho']}e0", f"{ONE_STEP['inner_tol']}e0", ONE_STEP["steps"]
+    margin = "1 / (1 + exp(-(x0 * x1 + y0 * x2)))"  # x0, y0 the model of a block; x1, x2 a row
+    kept = ", ".join(f"any_value({c}) AS {c}" for c in ("u0", "v0", "x0", "y0", "z0", "w0"))
+    return f"""
+    WITH RECURSIVE {P4_SQL}, b AS MATERIALIZED (SELECT event_id // 500 AS block_id, x1, x2, t FROM p1),
+    it AS (SELECT DISTINCT block_id, 0 AS k, 0e0 AS u0, 0e0 AS v0, 0e0 AS x0, 0e0 AS y0, 0e0 AS z0, 0e0 AS w0,
+        0e0 AS pz, 0e0 AS pw, 0 AS n FROM b
+      UNION ALL
+      SELECT block_id, k, u0, v0, x0, y0, avg(u0 + x0) OVER (), avg(v0 + y0) OVER (), z0, w0, n
+      FROM (SELECT block_id, k, u0, v0, z0, w0, CAST(g * g + h * h > {tol} * {tol} AS INTEGER) AS n,
+          x0 - CASE WHEN g * g + h * h > {tol} * {tol} THEN (c * g - e * h) / (a * c - e * e) ELSE 0 END AS x0,
+          y0 - CASE WHEN g * g + h * h > {tol} * {tol} THEN (a * h - e * g) / (a * c - e * e) ELSE 0 END AS y0
+        FROM (SELECT block_id, k, {kept}, sum(s * (1 - s) * x1 * x1) + {rho} AS a, sum(s * (1 - s) * x1 * x2) AS e,
+            sum(s * (1 - s) * x2 * x2) + {rho} AS c,
+            sum((s - t) * x1) + {rho} * any_value(x0 - z0 + u0) AS g, sum((s - t) * x2) + {rho} * any_value(y0 - w0 + v0) AS h
+          FROM (SELECT i.*, x1, x2, t, {margin} AS s
+            FROM (SELECT block_id, k + 1 AS k, u0 + x0 - z0 AS u0, v0 + y0 - w0 AS v0, x0, y0, z0, w0
+              FROM it WHERE k < {steps}) i JOIN b USING (block_id)) r GROUP BY block_id, k) q) p),
+    left_over AS (SELECT block_id, k, any_value(z0) AS z0, any_value(w0) AS w0, any_value(n) AS n,
+        sqrt(power(sum((s - t) * x1) + {rho} * any_value(x0 - pz + u0), 2)
+          + power(sum((s - t) * x2) + {rho} * any_value(y0 - pw + v0), 2)) AS size
+      FROM (SELECT it.*, x1, x2, t, {margin} AS s FROM it JOIN b USING (block_id) WHERE k > 0) r GROUP BY block_id, k)
+    SELECT k AS iteration, CAST(sum(n) AS INTEGER) AS n_eval, CAST(count(*) FILTER (size > {tol}) AS DOUBLE) AS unsolved_blocks,
+      {rounded('any_value(z0)', 7)} AS w0, {rounded('any_value(w0)', 7)} AS w1 FROM left_over GROUP BY k"""
+
+
+@query("admm_unsolved", one_step_sql())
 def admm_unsolved(spark, sf_dir):
-    """Blocks that were not solved in each iteration of a logistic consensus fit."""
-    fit = A.admm_logistic(p1_blocks(spark, sf_dir), rho=400.0, max_iter=6, abstol=1e-12, reltol=1e-12)
-    step = Window.orderBy("iteration")  # one row per iteration
-    return fit.trace.withColumn("before", F.lag("objective").over(step)).where("iteration > 1").select(
-        "iteration", "unsolved_blocks", (F.col("objective") <= F.col("before")).alias("objective_falls"))
+    """Blocks that are not within the inner tolerance after an iteration's step, and steps taken."""
+    folded = p4(spark, sf_dir).selectExpr(
+        "event_id", "transform(slice(values, 1, 2), v -> -values[2] * v) AS values")
+    blocks = to_blocks(folded, 500, 2, pos="event_id")
+    fit = A.admm_logistic(
+        blocks, durable=True, rho=ONE_STEP["rho"], inner_tol=ONE_STEP["inner_tol"], inner_steps=1,
+        max_iter=ONE_STEP["steps"], abstol=1e-12, reltol=1e-12)
+    return fit.trace.selectExpr(
+        "iteration", "n_eval", "unsolved_blocks", "round(model[0], 7) AS w0", "round(model[1], 7) AS w1")
 
 
 # Single local solves: per block argmin of sum loss + rho/2 |x + u - z|^2, by SQL Newton.
@@ -352,6 +390,34 @@ def admm_from_csv(spark, sf_dir):
     return model(A.admm_least_squares(grams, alpha=1.8, abstol=1e-6, reltol=1e-10, max_iter=300), 6)
 
 
+MIRROR_MODEL = (1.0, -0.8, 0.5, 0.1)
+MIRROR_COLUMNS = [*P4_COLUMNS.values(), "(event_id * 104729 % 97) / CAST(48 AS DOUBLE) - 1"]
+
+
+def mirror_optimum(steps=120):
+    """Elastic net on the labelled rows of the mirror rule."""
+    names = "f0 AS x1, f1 AS x2, f2 AS x3, 1e0 AS x4, (label + 1) / 2 AS t"
+    rows = ", ".join(f"{sql} AS v{i + 1}" for i, sql in enumerate(MIRROR_COLUMNS))
+    noised = mirror_sql(500, MIRROR_MODEL, f"r AS (SELECT event_id, {rows} FROM events)")
+    return last_iterate(recursion(elastic("0.01e0", "0.1e0"), steps, "3e0"), steps).replace(
+        P1_SQL, f"p1 AS MATERIALIZED (SELECT {names} FROM ({noised}) m)")
+
+
+@query("admm_mirror_from_csv", mirror_optimum())
+def admm_mirror_from_csv(spark, sf_dir):
+    """CSV matrix -> numbered rows -> mirror noise and labels -> blocks, bucketed -> consensus fit."""
+    path = shared_path(spark, "csv")
+    table(spark, sf_dir, "events").selectExpr("CAST(event_id AS DOUBLE)", *MIRROR_COLUMNS).write.csv(path)
+    numbered = read_csv_matrix(spark, path, 4).selectExpr(
+        "CAST(values[0] AS BIGINT) DIV 500 AS block_id", "CAST(values[0] AS BIGINT) % 500 AS pos",
+        "concat(slice(values, 2, 3), array(1D)) AS features")
+    noised = mirror_noise(numbered, MIRROR_MODEL, 500).selectExpr(
+        "block_id * 500 + pos AS row", "features AS values")
+    blocks = fold_labeled_blocks(to_blocks(noised, 500, 4, pos="row"))
+    penalty = Penalty("elastic_net", 0.01, gamma=0.1)
+    return model(A.admm_logistic(blocks, durable=True, prox=penalty, **ADMM))
+
+
 @query("lbfgs_least_squares", p3_optimum(lambda i, v: v))
 def lbfgs_least_squares(spark, sf_dir):
     """Quasi-Newton on an objective given as a function."""
@@ -487,6 +553,23 @@ def sgd_lasso_iterates(spark, sf_dir):
     return trace_rows(sgd(p1_training(spark, sf_dir), 0.05, iters=SGD_STEPS).trace)
 
 
+@query("sgd_resumed", f"""
+    WITH RECURSIVE {P1_SQL}, {iterates('0.05e0', SGD_STEPS)} {iterate_rows('', SGD_STEPS)}""")
+def sgd_resumed(spark, sf_dir):
+    """A fit that stopped after two iterations and goes on from its journal."""
+    rows, journal = p1_training(spark, sf_dir), shared_path(spark, "journal")
+    for iters in (2, SGD_STEPS):
+        fit = sgd(rows, 0.05, iters=iters, journal=journal)
+    return trace_rows(fit.trace)
+
+
+@query("owlqn_resumed", optimum(soft("0.02e0")))
+def owlqn_resumed(spark, sf_dir):
+    rows, journal = p1_training(spark, sf_dir), shared_path(spark, "journal")
+    owlqn(rows, 0.02, max_iter=3, journal=journal)
+    return model(owlqn(rows, 0.02, journal=journal))
+
+
 ROW_KEY = "l_orderkey * 8 + l_linenumber"
 
 
@@ -626,6 +709,49 @@ def trace_sink(spark, sf_dir):
     return trace_rows(back.join(summary, "run_id"), "run_id")
 
 
+EXPECTED = [0.8, -0.5, 0.0, 0.1]
+
+
+def trace_csv_sql(steps=3):
+    ws = "[w0, w1, w2, w3]"
+    margin = " + ".join(f"w{i} * {x}" for i, x in enumerate(NAMES))
+    return f"""
+    WITH RECURSIVE {P1_SQL}, {iterates('0.05e0', steps)},
+    o AS (SELECT k + 1 AS k, avg(ln(1 + exp(m)) - t * m) + 0.05e0 * any_value(penalty) AS objective
+      FROM (SELECT k, t, {margin} AS m, abs(w0) + abs(w1) + abs(w2) AS penalty FROM it, p1 WHERE k < {steps}) q GROUP BY k),
+    r AS (SELECT k, unnest(range(4)) AS pos, unnest({ws}) AS w, objective, unnest({EXPECTED!r}) AS expected FROM it JOIN o USING (k))
+    SELECT 'iterations' AS part, k AS iteration, 1 AS n_eval, CAST(pos AS INTEGER) AS pos, {rounded('w', 8)} AS weight,
+      {rounded('objective', 8)} AS objective, CAST(NULL AS DOUBLE) AS expected, 'sgd' AS method, CAST(NULL AS VARCHAR) AS stop_reason FROM r
+    UNION ALL SELECT 'summary', k, {steps}, CAST(pos AS INTEGER), {rounded('w', 8)}, {rounded('objective', 8)},
+      CAST(expected AS DOUBLE), 'sgd', 'iterations' FROM r WHERE k = {steps}"""
+
+
+@query("trace_csv", trace_csv_sql())
+def trace_csv(spark, sf_dir):
+    """Iterations and summary (expected and final model) written as CSV and read back."""
+    fit = sgd(p1_training(spark, sf_dir), 0.05, iters=3)
+    fit.expected = np.array(EXPECTED)
+    path = shared_path(spark, "trace")
+    write_trace(fit.trace, path, "csv", fit.summary)
+
+    def read(name, *columns):
+        rows = spark.read.csv(f"{path}/{name}", header=True).where(
+            "run_id = 'sgd'" + (" AND CAST(init_seconds AS DOUBLE) >= 0 AND converged = 'false'" if name == "summary" else ""))
+        long = rows.selectExpr("method", *columns)
+        return long.selectExpr(
+            f"'{name}' AS part", "iteration", "n_eval", "pos", "round(CAST(w.a AS DOUBLE), 8) AS weight",
+            "round(CAST(objective AS DOUBLE), 8) AS objective", "CAST(w.b AS DOUBLE) AS expected", "method",
+            "stop_reason")
+
+    done = read("iterations", "CAST(iteration AS INT) AS iteration", "CAST(n_eval AS INT) AS n_eval", "objective",
+                "CAST(NULL AS STRING) AS stop_reason",
+                "posexplode(transform(split(model, ','), a -> named_struct('a', a, 'b', NULL))) AS (pos, w)")
+    end = read("summary", "CAST(iterations AS INT) AS iteration", "CAST(n_eval AS INT) AS n_eval", "objective",
+               "stop_reason", "posexplode(zip_with(split(final, ','), split(expected, ','), "
+               "(a, b) -> named_struct('a', a, 'b', b))) AS (pos, w)")
+    return done.unionByName(end)
+
+
 @query("trace_time_delta", """
     SELECT user_id, event_id, round(elapsed - lag(elapsed, 1, CAST(0 AS DOUBLE))
       OVER (PARTITION BY user_id ORDER BY event_id), 6) AS iter_seconds

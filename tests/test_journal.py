@@ -137,13 +137,13 @@ def test_bucketed_blocks_stay_where_they_are(spark, rows):
     """The table of blocks is scanned by bucket: no exchange and no sort on its side."""
     blocks = A.to_blocks(A.fold_blocks(rows), 30, 4)
     with A.co_partitioned(blocks, 5, durable=True) as kept:
-        state = A.admm_start(kept, 4).repartition(3)
+        state = A.admm_start(kept, 4).repartition(3)  # states lie anywhere
         solved = A.admm_local_solve(kept, state, np.zeros(4), 1.0)
         plan = solved._jdf.queryExecution().executedPlan().toString()
         table, path = kept.inputFiles()[0], kept.inputFiles()[0].rsplit("/", 1)[0]
         assert table.endswith(".parquet") and kept.rdd.getNumPartitions() == 5
         assert solved.count() == blocks.count() == 14
-    moved = [line for line in plan.split("\n") if "Exchange" in line]
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
     assert "ShuffledHashJoin" in plan and "SelectedBucketsCount: 5 out of 5" in plan
     assert len(moved) == 1 and "Sort" not in plan.replace("SortMergeJoin", "Sort")
     # The one exchange is the state's: what is joined first is the scan of the buckets.

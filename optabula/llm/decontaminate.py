@@ -79,6 +79,18 @@ def near_blocks(items: DataFrame) -> DataFrame:
         "value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
 
 
+def near_items(prints: DataFrame, items: DataFrame, window: list[str]) -> DataFrame:
+    """window, item_key: the items of a window's size whose fingerprint is within the radius.
+
+    The listed items are merged, not broadcast: Spark reckons them as small as the items, but they are
+    1,800 rows an item, all of which would pass through the driver.
+    """
+    return (prints.select(*window, "fp", F.inline(blocks(F.col("fp"))))
+            .join(near_blocks(items).hint("merge"), ["size", "block", "value"])
+            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+            .select(*window, "item_key").distinct())
+
+
 def _broadcast_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -144,11 +156,7 @@ def _of_size(rows: DataFrame, given: DataFrame, shingle: int, similarity: float)
     window_shingles = written(shingles(windows, "w", shingle), "window-shingles")
     window = ["doc_id", "text_key", "size", "start"]
     prints = simhash(window_shingles.groupBy(*window))
-    near = (prints.select(*window, "fp", F.inline(blocks(F.col("fp"))))
-            .join(near_blocks(items),
-                  ["size", "block", "value"])
-            .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-            .select(*window, "item_key").distinct())
+    near = near_items(prints, items, window)
     weights = window_shingles.groupBy(*window, "h").agg(F.count(F.lit(1)).alias("n"))
     item_weights = item_shingles.select("item_key", "h", "item_id").groupBy("item_key", "item_id", "h").agg(
         F.count(F.lit(1)).alias("item_n"))

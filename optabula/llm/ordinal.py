@@ -27,6 +27,8 @@ SIZE_BITS = 18
 GRADES = 3
 # Features of fewer sampled documents have weight 0.
 LEAST_DOCUMENTS = 5
+# Features whose part of the loss is worked out at once: the driver holds them all, in four bytes each.
+AT_ONCE = 1 << 19
 _RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -61,19 +63,33 @@ class Ordinal(NamedTuple):
             return 1.0 / (1.0 + np.exp(self.thresholds[None, :] - scores[:, None]))
 
 
+def _cuts(owner: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of whole documents, of about AT_ONCE features each."""
+    starts = np.searchsorted(owner, owner[::AT_ONCE])
+    edges = np.unique(np.r_[starts, len(owner)]).tolist()
+    return list(zip(edges, edges[1:]))
+
+
 def _loss(p: np.ndarray, rows: tuple, grades: np.ndarray, ridge: float) -> tuple:
     """Mean negative log-likelihood with its gradient; p: weights, first threshold, log gaps."""
     index, owner, n_features = rows
     n = len(grades)
     w, gaps = p[:n_features], np.exp(p[n_features + 1:])
     t = np.r_[-np.inf, p[n_features] + np.r_[0.0, np.cumsum(gaps)], np.inf]
-    score = np.bincount(owner, w[index], minlength=n)
+    cuts = _cuts(owner)
+    score = np.zeros(n)
+    for a, b in cuts:
+        first, last = owner[a], owner[b - 1] + 1
+        score[first:last] = np.bincount(owner[a:b] - first, w[index[a:b]], minlength=last - first)
     with np.errstate(over="ignore"):
         hi, lo = (1.0 / (1.0 + np.exp(-(t[grades + k] - score))) for k in (1, 0))
     mass = np.maximum(hi - lo, 1e-300)
     d_hi, d_lo = hi * (1 - hi) / mass, lo * (1 - lo) / mass
     by_score = (d_hi - d_lo) / n
-    grad_w = np.bincount(index, by_score[owner], minlength=n_features) + ridge * w
+    grad_w = np.zeros(n_features)
+    for a, b in cuts:  # added one by one: the sum does not depend on the cuts
+        np.add.at(grad_w, index[a:b].astype(np.intp), by_score[owner[a:b]])
+    grad_w += ridge * w
     by_t = (np.bincount(grades, -d_hi, minlength=GRADES)[:-1]
             + np.bincount(grades, d_lo, minlength=GRADES)[1:]) / n
     grad_t = np.r_[by_t.sum(), [by_t[k + 1:].sum() * gaps[k] for k in range(len(gaps))]]
@@ -92,14 +108,16 @@ def fit_ordinal(sets: list[np.ndarray], grades: np.ndarray, ridge: float = 5e-4,
     weights = np.zeros(1 << SIZE_BITS, np.float32)
     if not len(grades):
         return Ordinal(weights, np.full(GRADES - 1, -np.inf))
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
-    index = np.concatenate(sets)
-    held = np.bincount(index, minlength=1 << SIZE_BITS) >= LEAST_DOCUMENTS
+    found_in = np.zeros(1 << SIZE_BITS, np.int64)
+    for s in sets:
+        np.add.at(found_in, s, 1)
+    held = found_in >= LEAST_DOCUMENTS
     number = (np.cumsum(held) - 1).astype(np.int32)
-    keep = held[index]
     n_features = int(held.sum())
-    rows = (number[index[keep]], owner[keep], n_features)
-    del owner, index, keep
+    sets = [number[s[held[s]]] for s in sets]
+    rows = (np.concatenate(sets), np.repeat(
+        np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]), n_features)
+    del sets
     p = np.r_[np.zeros(n_features), -1.0, np.zeros(GRADES - 2)]
     value, grad = _loss(p, rows, grades, ridge)
     pairs: list = []
@@ -164,8 +182,8 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 20_000) -> Ordinal:
     if found.count() > sample:  # doc_ids that come with several texts
         found = found.orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(sample)
     cases = found.select("grade", "features").toArrow()
-    sets = [np.asarray(x.values) for x in cases.column("features").combine_chunks()] if len(cases) else []
-    return fit_ordinal(sets, cases.column("grade").to_numpy().astype(np.int64))
+    return fit_ordinal([np.asarray(x.values) for x in cases.column("features")],
+                       cases.column("grade").to_numpy().astype(np.int64))
 
 
 def scored(spark, model: Ordinal, keep_from: int = 2, least: float = 0.5):

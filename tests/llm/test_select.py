@@ -105,6 +105,20 @@ def test_contaminated(spark):
     assert contaminated(frame(spark, docs), table.limit(0)).count() == 0
 
 
+def test_listed_items_are_not_broadcast(spark):
+    from optabula.llm.common import written
+    from optabula.llm.decontaminate import near_items
+
+    prints = written(spark.createDataFrame(
+        [(i, 60, i << 20) for i in range(50)], "doc_id long, size int, fp long"), "prints")
+    items = written(spark.createDataFrame(
+        [(0, 7, 60), (3 << 20, 8, 60), (3 << 20, 9, 61)], "fp long, item_key long, size int"), "items")
+    near = near_items(prints, items, ["doc_id", "size"])
+    assert "BroadcastExchange" not in near._jdf.queryExecution().executedPlan().toString()
+    # The radius holds all of these.
+    assert sorted((r.doc_id, r.item_key) for r in near.collect()) == sorted((i, k) for i in range(50) for k in (7, 8))
+
+
 def test_contaminated_in_another_order(spark):
     rng = random.Random(6)
     item, other = [f"i{k}" for k in range(60)], [f"o{k}" for k in range(300)]
@@ -189,6 +203,25 @@ def test_gradient_of_the_ordinal_loss():
         assert math.isclose(slope, gradient[k], abs_tol=1e-7)
 
 
+def test_the_ordinal_loss_holds_few_features_at_once(monkeypatch):
+    import tracemalloc
+
+    from optabula.llm import ordinal
+
+    rng = np.random.default_rng(1)
+    p = rng.normal(size=1002) * 0.1
+    owner = np.repeat(np.arange(2000, dtype=np.int32), rng.integers(0, 1000, 2000))
+    rows, grades = (rng.integers(0, 1000, len(owner)).astype(np.int32), owner, 1000), rng.integers(0, 3, 2000)
+    whole = _loss(p, rows, grades, 1e-2)
+    monkeypatch.setattr(ordinal, "AT_ONCE", 20_000)
+    tracemalloc.start()
+    value, gradient = _loss(p, rows, grades, 1e-2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(owner)  # the features themselves take eight times that with their documents
+    assert value == whole[0] and (gradient == whole[1]).all()
+
+
 def test_ordered_grades_are_learned():
     rng = random.Random(0)
     sets, grades = [], []

@@ -8,8 +8,9 @@
    of its documents, compiles their texts into one automaton and streams all its documents through
    it. The automaton alone tells where phrases occur. A phrase goes to the shards that need it, so
    automata stay small and every text is streamed once, however many phrases the corpus repeats.
-3. Windows around the occurrences are hashed with 128 bits; grouping gives the least doc_id in which
-   each word sequence starts. Words of windows that start in a smaller doc_id are removed.
+3. Of the windows around the occurrences, those whose least phrase is confirmed are hashed with 128
+   bits; grouping gives the least doc_id in which each word sequence starts. Words of windows that
+   start in a smaller doc_id are removed.
 
 Equal texts are one document up to the end: all but the first lose every window.
 """
@@ -138,6 +139,17 @@ def _locate(docs: list[tuple], phrases: set[str], window: int) -> dict[tuple, np
     return found
 
 
+def led(words: list[bytes], starts: np.ndarray, least_of: np.ndarray, window: int) -> np.ndarray:
+    """The starts of windows whose least phrase is one of `least_of`, hashes of confirmed phrases."""
+    kept = []
+    for at in range(0, len(words) - window + 1, CHUNK):
+        here = starts[(starts >= at) & (starts < at + CHUNK)]
+        if len(here):
+            least = sliding_least(phrase_hashes(words[at:at + CHUNK + window - 1]), window - PHRASE + 1)
+            kept.append(here[np.isin(least[here - at], least_of)])
+    return np.concatenate(kept) if kept else starts
+
+
 def shard_windows(window: int):
     """Cogrouped function: a shard's documents and its phrases -> STATE."""
 
@@ -155,6 +167,8 @@ def shard_windows(window: int):
         confirmed = {phrase for phrase in wanted if phrase is not None}
         unique = {k: w for k, w in zip(keys, words) if k not in copies}
         starts = _locate(list(unique.items()), confirmed, window) if confirmed else {}
+        hashes = np.array([phrase_hashes(p.encode().split())[0] for p in confirmed], np.uint64)
+        starts = {key: led(unique[key], at, hashes, window) for key, at in starts.items()}
         rows = []
         for key, own in zip(keys, words):
             joined = b" ".join(own)
@@ -233,14 +247,14 @@ def dedup_substrings(docs: DataFrame, window: int = 50, shard_bytes: int = 1 <<
     firsts = digest.groupBy("md5").agg(F.min("doc_id").alias("first_id"))
     copies = written(digest.join(firsts, "md5").where("doc_id > first_id")
                      .select("shard", "doc_id", "text_key").distinct(), "copies")
-    found = written(phrases(docs, window, shards), "phrases").join(
-        copies, ["shard", "doc_id", "text_key"], "left_anti")
+    found = written(phrases(docs, window, shards), "phrases")
     # Grouped by hash alone, and written so that Spark knows its size before it plans the next join;
     # of phrases that share a hash all are looked for, which costs time only.
-    confirmed = written(found.groupBy("phrase").agg(
+    once = found.drop("words").join(copies, ["shard", "doc_id", "text_key"], "left_anti")
+    confirmed = written(once.groupBy("phrase").agg(
         F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase"),
         "confirmed")
-    # Each shard gets a phrase once, not once a document.
+    # Each shard gets a phrase once, not once a document, be it from a copy: copies are not searched.
     hits = found.join(confirmed, "phrase").select("shard", "words").distinct().select(
         "shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"),
         "words").unionByName(copies.withColumn("words", F.lit(None).cast("string")))

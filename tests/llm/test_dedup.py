@@ -78,6 +78,32 @@ def test_automaton_locates_every_occurrence():
         [(k, [x.encode() for x in w]) for k, w in docs], {"z " * 9 + "z"}, 15)
 
 
+@pytest.mark.parametrize("chunk", [100_000, 90])
+def test_only_windows_led_by_a_confirmed_phrase_are_hashed(monkeypatch, chunk):
+    import pyarrow as pa
+
+    from optabula.llm import phrases
+
+    monkeypatch.setattr(phrases, "CHUNK", chunk)
+    rng = random.Random(6)
+    passage = [f"p{rng.randint(0, 999)}" for _ in range(60)]
+    docs = [[f"w{rng.randint(0, 999)}" for _ in range(200)] for _ in range(2)]
+    docs = [w[:100] + passage + w[100:] for w in docs]
+    own = [phrases.least_phrases([x.encode() for x in w], 50) for w in docs]
+    confirmed = [own[0][h] for h in own[0].keys() & own[1].keys()]
+    empty = [None] * len(confirmed)
+    out = phrases.shard_windows(50)(
+        None, pa.table({"shard": [0, 0], "doc_id": [1, 2], "text_key": [0, 0], "text": [" ".join(w) for w in docs]}),
+        pa.table({"shard": empty, "doc_id": empty, "text_key": empty, "words": confirmed})).to_pylist()
+    for r, w in zip(out, docs):
+        want = []
+        for s in range(211):
+            runs = [w[p:p + phrases.PHRASE] for p in range(s, s + 50 - phrases.PHRASE + 1)]
+            if " ".join(min(runs, key=lambda x: phrase_hashes([y.encode() for y in x])[0])) in confirmed:
+                want.append(s)
+        assert r["starts"] == want and set(range(100, 111)) <= set(want)
+
+
 def test_phrase_hashes_depend_on_the_words_only():
     w = [b"a", b"bc", b"d", b"e"] * 30
     h = phrase_hashes(w)

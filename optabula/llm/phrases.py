@@ -2,8 +2,8 @@
 
 1. Every window of `window` words holds the `PHRASE` words that hash least in it. Equal windows hold
    equal phrases, so a window can recur only if its least phrase does. One pass over all texts gives
-   the least phrases (about one in twenty words) with their texts; grouping confirms those of two
-   documents or more. Where a phrase stands is not kept.
+   the least phrases (about one in twenty words) with their texts; grouping by these confirms those
+   of two different texts or more and gives their shards. Where a phrase stands is not kept.
 2. Documents are dealt to shards of about `shard_bytes` of text. A shard gets the confirmed phrases
    of its documents, compiles their texts into one automaton and streams all its documents through
    it. The automaton alone tells where phrases occur. A phrase goes to the shards that need it, so
@@ -73,8 +73,8 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
-def least_phrases(words: list[bytes], window: int) -> dict[int, str]:
-    """The distinct phrases that hash least in some window, by hash."""
+def least_phrases(words: list[bytes], window: int) -> dict[tuple[int, str], str]:
+    """The distinct phrases that hash least in some window, by hash and text: hashes may collide."""
     found = {}
     for at in range(0, len(words) - window + 1, CHUNK):
         h = phrase_hashes(words[at:at + CHUNK + window - 1])
@@ -82,29 +82,38 @@ def least_phrases(words: list[bytes], window: int) -> dict[int, str]:
         least = least[np.r_[True, least[1:] != least[:-1]]]
         places = np.flatnonzero(np.isin(h, least))
         for p, x in zip(places.tolist(), h[places].view(np.int64).tolist()):
-            if x not in found:
-                found[x] = b" ".join(words[at + p:at + p + PHRASE]).decode()
+            phrase = b" ".join(words[at + p:at + p + PHRASE]).decode()
+            found[x, phrase] = phrase
     return found
 
 
 def phrases(docs: DataFrame, window: int, shards: int) -> DataFrame:
-    """(phrase, words, shard, doc_id, text_key): the least phrases of every document."""
+    """(words, shard, md5): the least phrases of every document, with the digest of its text."""
 
     def select(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            found = [least_phrases(t.as_py().encode().split(), window) for t in batch.column(3)]
+            found = [least_phrases(t.as_py().encode().split(), window) for t in batch.column(2)]
             owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
             if len(owner):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x for f in found for x in f], pa.int64()),
-                     pa.array([w for f in found for w in f.values()], pa.string()),
-                     *[c.take(pa.array(owner)) for c in batch.columns[:3]]],
-                    names=["phrase", "words", "shard", "doc_id", "text_key"])
+                    [pa.array([w for f in found for w in f.values()], pa.string()),
+                     *[c.take(pa.array(owner)) for c in batch.columns[:2]]],
+                    names=["words", "shard", "md5"])
 
-    return sharded(docs, shards).mapInArrow(
-        select, "phrase long, words string, shard int, doc_id long, text_key long")
+    return sharded(docs, shards).select("shard", F.unhex(F.md5("text")).alias("md5"), "text").mapInArrow(
+        select, "words string, shard int, md5 binary")
+
+
+def confirmed(found: DataFrame) -> DataFrame:
+    """(shard, words): the phrases of two different texts or more, once for every shard that has them.
+
+    The words move in this one grouping only; equal texts, of one digest, confirm nothing.
+    """
+    return found.groupBy("words").agg(
+        F.min("md5").alias("a"), F.max("md5").alias("b"), F.collect_set("shard").alias("shards")).where(
+        "a < b").select(F.explode("shards").alias("shard"), "words")
 
 
 def sharded(docs: DataFrame, shards: int) -> DataFrame:
@@ -247,15 +256,8 @@ def dedup_substrings(docs: DataFrame, window: int = 50, shard_bytes: int = 1 <<
     firsts = digest.groupBy("md5").agg(F.min("doc_id").alias("first_id"))
     copies = written(digest.join(firsts, "md5").where("doc_id > first_id")
                      .select("shard", "doc_id", "text_key").distinct(), "copies")
-    found = written(phrases(docs, window, shards), "phrases")
-    # Grouped by hash alone, and written so that Spark knows its size before it plans the next join;
-    # of phrases that share a hash all are looked for, which costs time only.
-    once = found.drop("words").join(copies, ["shard", "doc_id", "text_key"], "left_anti")
-    confirmed = written(once.groupBy("phrase").agg(
-        F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("phrase"),
-        "confirmed")
     # Each shard gets a phrase once, not once a document, be it from a copy: copies are not searched.
-    hits = found.join(confirmed, "phrase").select("shard", "words").distinct().select(
+    hits = confirmed(phrases(docs, window, shards)).select(
         "shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("text_key"),
         "words").unionByName(copies.withColumn("words", F.lit(None).cast("string")))
     state = written(keyed.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(

@@ -104,6 +104,34 @@ def test_only_windows_led_by_a_confirmed_phrase_are_hashed(monkeypatch, chunk):
         assert r["starts"] == want and set(range(100, 111)) <= set(want)
 
 
+def test_phrases_of_one_hash_are_all_looked_for(spark):
+    from optabula.llm import phrases
+
+    twin = "a"  # two words of the same polynomial hash, whatever the base
+    for _ in range(11):
+        twin += twin.translate(str.maketrans("ab", "ba"))
+    other, rest = twin.translate(str.maketrans("ab", "ba")), [f"r{i}" for i in range(9)]
+    p, q = [twin, *rest], [other, *rest]
+    assert phrase_hashes([x.encode() for x in p]) == phrase_hashes([x.encode() for x in q])
+    words = [*p, *q]
+    assert {" ".join(p), " ".join(q)} <= set(phrases.least_phrases([x.encode() for x in words], 10).values())
+    rows = [(1, " ".join(words)), (2, " ".join(["t", *q])), (3, " ".join(words))]
+    got = dedup_substrings(frame(spark, rows), window=10, shard_bytes=1).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 10), (3, 20)]
+
+
+def test_words_of_phrases_move_once_and_are_not_stored(spark, monkeypatch):
+    """Disk of op8: unconfirmed phrases, nearly all, are shuffled once and never written."""
+    from optabula.llm import phrases
+
+    frames, stored = {}, phrases.written
+    monkeypatch.setattr(phrases, "written", lambda df, name: (frames.update({name: df}), stored(df, name))[1])
+    dedup_substrings(frame(spark, documents(0)), window=50, shard_bytes=4096).count()
+    assert sorted(frames) == ["copies", "state", "windows"]
+    plan = frames["state"]._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_phrase_hashes_depend_on_the_words_only():
     w = [b"a", b"bc", b"d", b"e"] * 30
     h = phrase_hashes(w)

@@ -395,9 +395,25 @@ def logistic_sums(model):
     return sums
 
 
-def rechunk(width, height, first_id):
+def first_rows(pieces, n):
+    """Takes ``n`` rows off the front of a list of matrices."""
+    taken = []
+    while n:
+        part = pieces[0][:n]
+        if len(part) < len(pieces[0]):
+            pieces[0] = pieces[0][n:]
+        else:
+            del pieces[0]
+        taken.append(part)
+        n -= len(part)
+    return taken
+
+
+def rechunk(width, height, first_id, tail=0):
     """mapInArrow body: consecutive rows of a partition -> blocks of ``height`` rows.
 
+    The last ``tail`` full blocks are held back and share the rest of the rows evenly with it, so that
+    no block has below ``tail / (tail + 1)`` of the height, unless the partition holds less.
     ``first_id`` gives the id of this partition's first block; ids rise by one.
     """
 
@@ -415,16 +431,16 @@ def rechunk(width, height, first_id):
         block_id, pieces, held = first_id(), [], 0
         for batch in batches:
             x = as_matrix(batch.column(0), width)
-            start = 0
-            while start < len(x):
-                take = min(height - held, len(x) - start)
-                pieces.append(x[start:start + take])
-                held, start = held + take, start + take
-                if held == height:
-                    yield emit(block_id, pieces, held)
-                    block_id, pieces, held = block_id + 1, [], 0
-        if held:
-            yield emit(block_id, pieces, held)
+            if len(x):
+                pieces.append(x)
+                held += len(x)
+            while held >= (tail + 1) * height:
+                yield emit(block_id, first_rows(pieces, height), height)
+                block_id, held = block_id + 1, held - height
+        for left in range(-(-held // height), 0, -1):
+            n = -(-held // left)
+            yield emit(block_id, first_rows(pieces, n), n)
+            block_id, held = block_id + 1, held - n
 
     return run
 

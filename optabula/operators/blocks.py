@@ -21,6 +21,9 @@ MIRROR_WEIGHT = 0.2
 # Largest block a task has to hold.
 MAX_BLOCK_BYTES = 256 << 20
 
+# Full blocks of a partition that share its last rows, as far as MAX_BLOCK_BYTES holds them.
+EVEN_BLOCKS = 7
+
 # Block ids of one partition: partition id in the high bits, running number in the low ones.
 IDS_PER_PARTITION = 1 << 33
 
@@ -29,8 +32,10 @@ def to_blocks(df: DataFrame, height: int, width: int, values: str = "values",
               pos: str | None = None) -> DataFrame:
     """Groups rows into blocks of at most ``height`` rows.
 
-    Without ``pos``: consecutive rows of each partition, the last block of a partition
-    being shorter. A narrow step: no shuffle, and skewed keys cannot make a big block.
+    Without ``pos``: consecutive rows of each partition, its last blocks (``EVEN_BLOCKS`` and the rest)
+    being shorter and of even size: one block far below the others slows every consensus fit down.
+    Blocks above half of ``MAX_BLOCK_BYTES`` are not held back, and the last one may be of any size.
+    A narrow step: no shuffle, and skewed keys cannot make a big block.
     Row order must be reproducible (a file scan is; after a shuffle, cut lineage first).
 
     With ``pos`` (unique dense row number): block floor(pos / height), the same on every
@@ -42,11 +47,13 @@ def to_blocks(df: DataFrame, height: int, width: int, values: str = "values",
         raise ValueError(
             f"blocks of {height} x {width} values are above {MAX_BLOCK_BYTES} bytes; lower height")
     if pos is None:
+        tail = min(EVEN_BLOCKS, max(1, MAX_BLOCK_BYTES // (8 * height * width)) - 1)
+
         def first_id():
             return TaskContext.get().partitionId() * IDS_PER_PARTITION
 
         return df.select(F.col(values).cast("array<double>")).mapInArrow(
-            kernels.rechunk(width, height, first_id), BLOCK_SCHEMA
+            kernels.rechunk(width, height, first_id, tail), BLOCK_SCHEMA
         )
     ordered = df.select(
         F.floor(F.col(pos) / height).cast("long").alias("block_id"),

@@ -143,6 +143,24 @@ def test_blocks_hold_every_row_once(spark, n, height, placed):
         assert len(found) == -(-n // height)
 
 
+@pytest.mark.parametrize("n,sizes", [
+    (9, [5, 4]), (3, [3]), (40, [5] * 8), (41, [5, 5, 5, 5, 5, 4, 4, 4, 4]), (402, [5] * 78 + [4] * 3)])
+def test_last_blocks_are_even(spark, n, sizes):
+    """The rows left over make no short block; ids and rows stay in order."""
+    made = B.to_blocks(values_frame(spark, n, partitions=1), 5, 2).orderBy("block_id").collect()
+    assert [b["n_rows"] for b in made] == sizes and [b["block_id"] for b in made] == list(range(len(sizes)))
+    assert [v for b in made for v in b["values"][::2]] == [float(i) for i in range(n)]
+
+
+def test_last_rows_of_large_blocks_are_not_held_back(spark, monkeypatch):
+    monkeypatch.setattr(B, "MAX_BLOCK_BYTES", 3 * 8 * 5 * 2)  # two blocks and the rest in memory
+    made = B.to_blocks(values_frame(spark, 41, partitions=1), 5, 2).orderBy("block_id").collect()
+    assert [b["n_rows"] for b in made] == [5] * 6 + [4, 4, 3]
+    monkeypatch.setattr(B, "MAX_BLOCK_BYTES", 8 * 5 * 2)
+    made = B.to_blocks(values_frame(spark, 41, partitions=1), 5, 2).orderBy("block_id").collect()
+    assert [b["n_rows"] for b in made] == [5] * 8 + [1]
+
+
 def test_narrow_blocks_do_not_shuffle(spark):
     plan = B.to_blocks(values_frame(spark, 50), 4, 2)._jdf.queryExecution().toString()
     assert "Exchange" not in plan
